@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._shared import read
+from pagewright.llm.decontaminate import find_leaks
 from pagewright.llm.minhash_dedup import near_duplicates
 from pagewright.llm.substring_dedup import dedup_substrings
 
@@ -13,6 +14,31 @@ ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '
 SPACE_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand inside a ten-word window of a benchmark item."""
+    out = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all({ASCII_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS k
+  FROM item, unnest(range(1, len(w) - least(len(w), 10) + 2)) t(i) WHERE len(w) > 0),
+gram AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+  FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(w) - n + 2)) t(i)),
+hit AS (SELECT doc_id, i, gram.n, item_id FROM gram JOIN win USING (n, k)),
+word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.8 or more of their two-word shingles."""
     out = near_duplicates(read(spark, sf_dir, "documents"), width=2)
@@ -54,10 +80,12 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE = {
+    "op5_decontaminate": OP5_SQL,
     "op8_minhash_dedup": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
