@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._shared import read
+from pagewright.llm.bpe import decode, encode
 from pagewright.llm.decontaminate import find_leaks
 from pagewright.llm.minhash_dedup import near_duplicates
 from pagewright.llm.substring_dedup import dedup_substrings
@@ -14,6 +15,19 @@ ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '
 SPACE_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every document and the text they decode to."""
+    path = vocabulary()
+    out = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand inside a ten-word window of a benchmark item."""
     out = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -80,6 +94,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
