@@ -50,3 +50,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     kept = [named(c) for c in dict.fromkeys([id_col, *(carry or [])])]
     return docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("_k1"), F.xxhash64(text).alias("_k2"), text.alias("_text"), F.struct(*kept).alias("_carry"))
+
+
+class Masked:
+    """A frame whose columns go by position, so that no name of the caller's can clash with an operator's."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        self.names = docs.columns
+        self.columns = [f"_c{i}" for i in range(len(self.names))]
+        self.docs = docs.toDF(*self.columns)
+        self.id, self.text = (self.columns[self.names.index(c)] for c in (id_col, text_col))
+
+    def back(self, out: DataFrame, **changed: Column) -> DataFrame:
+        """The caller's columns again, those in ``changed`` (by the caller's name) replaced."""
+        cols = [changed[n].alias(c) if n in changed else F.col(c) for n, c in zip(self.names, self.columns)]
+        return out.select(*cols).toDF(*self.names)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import keyed, named, write_table
+from pagewright.llm._shared import Masked, keyed, named, write_table
 
 WINDOW = 10
 #: Words up to which suffixes are in order; at least the window.
@@ -221,5 +221,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any word inside a window of the test set, with their own columns."""
-    columns = docs.columns
-    return find_leaks(docs, items, window, id_col, text_col, carry=columns).where("n_hit = 0").select(*[named(c) for c in columns])
+    m = Masked(docs, id_col, text_col)
+    return m.back(find_leaks(m.docs, items, window, m.id, m.text, carry=m.columns).where("n_hit = 0"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import NO_ID, keyed, named, write_table
+from pagewright.llm._shared import NO_ID, Masked, keyed, write_table
 from pagewright.llm.components import components
 
 SKETCH = 48
@@ -213,6 +213,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 
 def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of each group the one with the least id stays."""
-    columns = docs.columns
-    out = near_duplicates(docs, width, id_col, text_col, carry=columns)
-    return out.where(named(id_col).isNull() | (named(id_col) == F.col("component_id"))).select(*[named(c) for c in columns])
+    m = Masked(docs, id_col, text_col)
+    out = near_duplicates(m.docs, width, m.id, m.text, carry=m.columns)
+    return m.back(out.where(F.col(m.id).isNull() | (F.col(m.id) == F.col("component_id"))))

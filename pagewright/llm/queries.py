@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._shared import read
 from pagewright.llm.bpe import decode, encode
 from pagewright.llm.decontaminate import find_leaks
+from pagewright.llm.language_id import learn, predict
 from pagewright.llm.minhash_dedup import near_duplicates
 from pagewright.llm.substring_dedup import dedup_substrings
 
@@ -75,6 +76,17 @@ FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of the labelled ones."""
+    docs = read(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out()).select("text", "lang"))
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 35-word windows that occur more than once, for every document."""
     out = dedup_substrings(read(spark, sf_dir, "documents"))
@@ -97,6 +109,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE = {

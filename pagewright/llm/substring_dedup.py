@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import keyed
+from pagewright.llm._shared import Masked, keyed
 
 WIDTH = 35
 GRAM = 4
@@ -305,3 +305,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     kind = texts.schema["_carry"].dataType.simpleString()
     schema = f"_carry {kind}, n_words long, n_removed long, kept_text string" + ", clean_text string" * with_clean
     return both.mapInArrow(_remove(with_clean), schema).select("_carry.*", "n_words", "n_removed", "kept_text", *["clean_text"] * with_clean)
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their own columns; words under repeated windows are cut out of the text (a null text stays null)."""
+    m = Masked(docs, id_col, text_col)
+    out = dedup_substrings(m.docs, width, m.id, m.text, carry=m.columns, with_clean=True)
+    return m.back(out, **{text_col: F.when(F.col(m.text).isNotNull(), F.col("clean_text"))})

@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from pagewright.llm.substring_dedup import dedup_substrings
+from pagewright.llm.substring_dedup import dedup_substrings, without_repeats
 
 
 def brute(rows, width):
@@ -50,6 +50,13 @@ def test_clean_text_keeps_separators(spark):
     assert got == {1: "head  here\ntail  end", 2: ""}
 
 
+def test_without_repeats_keeps_columns(spark):
+    rows = [(1, "a b c x", "k", 5), (2, "y a b c", None, 6), (3, None, "m", 7), (None, "q r", "n", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, clean_text string, _k1 int")
+    got = sorted((tuple(r) for r in without_repeats(df, width=3).collect()), key=str)
+    assert got == sorted([(1, "x", "k", 5), (2, "y ", None, 6), (3, None, "m", 7), (None, "q r", "n", 8)], key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_substrings(df).collect() == []
