@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._shared import read
+from pagewright.llm.ann import build_index, search
 from pagewright.llm.bpe import decode, encode
 from pagewright.llm.decontaminate import find_leaks
 from pagewright.llm.language_id import learn, predict
@@ -17,6 +18,12 @@ ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '
 SPACE_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one, among all others."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), vectors.where("vec_id % 100 = 0"), 10)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -130,6 +137,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
