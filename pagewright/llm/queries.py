@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm._shared import read
+from pagewright.llm._shared import fresh_path, read
 from pagewright.llm.ann import build_index, search
 from pagewright.llm.bpe import decode, encode
 from pagewright.llm.decontaminate import find_leaks
 from pagewright.llm.language_id import learn, predict
+from pagewright.llm.licenses import scan
 from pagewright.llm.minhash_dedup import near_duplicates
+from pagewright.llm.sharding import Store
 from pagewright.llm.substring_dedup import dedup_substrings
 from pagewright.llm.url_filter import build, judge
 
@@ -85,6 +87,26 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+ARRIVALS = 11
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it stands in a store to which eleven arrivals were appended, after compaction."""
+    store = Store(spark, fresh_path(spark, "store"))
+    store.append(read(spark, sf_dir, "documents"), arrival=F.coalesce(F.pmod(F.col("doc_id"), F.lit(ARRIVALS)), F.lit(0)))
+    store.compact()
+    store.vacuum()
+    return store.rows().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+OP6_SQL = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document, and the number of paragraphs that name one."""
+    return scan(read(spark, sf_dir, "documents")).select("doc_id", F.concat_ws(",", "families").alias("families"), "n_licensed", "probability")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.8 or more of their two-word shingles."""
     out = near_duplicates(read(spark, sf_dir, "documents"), width=2)
@@ -141,6 +163,8 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_sharding": op6_sharding,
+    "op7_licenses": op7_licenses,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
@@ -148,6 +172,7 @@ QUERIES = {
 ORACLE = {
     "op4_url_filter": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op6_sharding": OP6_SQL,
     "op8_minhash_dedup": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
