@@ -11,6 +11,7 @@ from pagewright.llm.bpe import decode, encode
 from pagewright.llm.decontaminate import find_leaks
 from pagewright.llm.language_id import learn, predict
 from pagewright.llm.licenses import scan
+from pagewright.llm.masked_lm import score, train
 from pagewright.llm.minhash_dedup import near_duplicates
 from pagewright.llm.sharding import Store
 from pagewright.llm.substring_dedup import dedup_substrings
@@ -26,6 +27,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(vectors), vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -160,6 +167,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_masked_lm": op2_masked_lm,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
