@@ -1,4 +1,345 @@
-"""Registry of the document-quality queries and their SQL twins."""
+"""Registry of the document-quality queries; their SQL twins are in ``oracle``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions import captions, checks, decisions, files, markers
+from pagewright.functions.thresholds import DEFAULTS
+from pagewright.operators import index2, ocr, pixels, rollup
+from pagewright.plans.oracle import ORACLE
+from pagewright.sources import derive
+from pagewright.streaming import batches
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+KEYS = ["doc_id", "page_number"]
+
+
+def query(make):
+    QUERIES[make.__name__] = make
+    return make
+
+
+def _read(spark, sf, table):
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _cat(name: str, alias: str):
+    return F.concat_ws(",", name).alias(alias)
+
+
+def _staged(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.all_stages(derive.page_metrics(spark, sf))
+
+
+def _pages(spark, sf):
+    return decisions.page_decisions(_staged(spark, sf))
+
+
+def _documents(spark, sf):
+    return rollup.document_decisions(_pages(spark, sf))
+
+
+def _items(spark, sf):
+    return rollup.batch_items(_documents(spark, sf))
+
+
+def _check(name: str):
+    def run(spark, sf):
+        return derive.page_metrics(spark, sf).select(*KEYS, checks.check_kinds()[name].alias("kind"))
+
+    run.__name__ = f"check_{name}"
+    return query(run)
+
+
+for _name in checks.CHECKS:
+    _check(_name)
+
+
+@query
+def stage1_score(spark, sf):
+    return checks.stage1(derive.page_metrics(spark, sf)).select(*KEYS, "s1_score", _cat("s1_critical", "critical"), _cat("s1_warnings", "warnings"))
+
+
+@query
+def ocr_page_stats(spark, sf):
+    return ocr.page_stats(ocr.words_of(_read(spark, sf, "documents")))
+
+
+@query
+def stage2_score(spark, sf):
+    return checks.stage2(ocr_page_stats(spark, sf)).select(*KEYS, "s2_score", _cat("s2_critical", "critical"), _cat("s2_warnings", "warnings"))
+
+
+@query
+def handwriting_pct(spark, sf):
+    c = F.col
+    return derive.page_metrics(spark, sf).select(*KEYS, checks.handwriting_pct(c("stroke"), c("baseline"), c("spacing"), c("component")).alias("hw"))
+
+
+@query
+def stage3_ladder(spark, sf):
+    out = checks.stage3(checks.with_distribution(derive.page_metrics(spark, sf)))
+    return out.select(*KEYS, "s3_branch", "s3_score", "s3_action", _cat("s3_critical", "critical"), _cat("s3_warnings", "warnings"))
+
+
+@query
+def stage4_bands(spark, sf):
+    return checks.stage4(derive.page_metrics(spark, sf)).select(*KEYS, "s4_score", "quality_level", _cat("s4_warnings", "warnings"))
+
+
+@query
+def final_score(spark, sf):
+    return _staged(spark, sf).select(*KEYS, "final_score")
+
+
+@query
+def failure_filter(spark, sf):
+    return decisions.failure_filter(_staged(spark, sf)).select(*KEYS, _cat("critical", "critical"), _cat("warnings", "warnings"))
+
+
+@query
+def consensus_rule(spark, sf):
+    return decisions.consensus(decisions.failure_filter(_staged(spark, sf))).select(*KEYS, "consensus_rule")
+
+
+@query
+def score_status(spark, sf):
+    return _staged(spark, sf).withColumn("has_critical", F.lit(False)).select(*KEYS, decisions.ladder(decisions.score_rules()).alias("rule_id"))
+
+
+@query
+def page_decision(spark, sf):
+    return _pages(spark, sf).select(*KEYS, "rule_id", "status", "priority", "message", "final_score", "has_critical")
+
+
+@query
+def best_page(spark, sf):
+    return rollup.best_pages(_pages(spark, sf)).select("doc_id", "total_pages", "best_page", "final_score", "rule_id", "accepted_pages")
+
+
+@query
+def document_decision(spark, sf):
+    return _documents(spark, sf).select("doc_id", "total_pages", "status", "priority", "message_kind", "final_score", F.size("rejection_reasons").cast("long").alias("n_reasons"))
+
+
+@query
+def bulk_items(spark, sf):
+    return _items(spark, sf)
+
+
+@query
+def bulk_report(spark, sf):
+    return rollup.bulk_report(_items(spark, sf))
+
+
+@query
+def score_band(spark, sf):
+    return _items(spark, sf).groupBy(rollup.score_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query
+def batch_summary(spark, sf):
+    items = _items(spark, sf).withColumns({"batch_id": F.col("doc_id") % 97, "error": F.when(F.col("doc_id") % 13 == 0, "Download failed")})
+    return rollup.batch_summary(items)
+
+
+@query
+def batch_cap(spark, sf):
+    n, cap = F.count("*"), F.lit(DEFAULTS.max_files).cast("long")
+    return derive.relation(spark, sf, derive.UPLOADS).groupBy("batch_id").agg(n.alias("files"), (n > cap).alias("refused"), F.least(n, cap).alias("shown"))
+
+
+@query
+def allowed_file(spark, sf):
+    name = F.col("filename")
+    return derive.relation(spark, sf, derive.UPLOADS).select("item_idx", files.allowed_file(name).alias("allowed"), files.is_image_file(name).alias("is_image"), files.is_pdf(name).alias("is_pdf"))
+
+
+@query
+def size_limit(spark, sf):
+    return derive.relation(spark, sf, derive.UPLOADS).select("item_idx", files.too_large(F.col("length")).alias("too_large"))
+
+
+@query
+def auth_check(spark, sf):
+    i = F.col("item_idx")
+    header = F.when(i % 3 != 0, F.concat(F.lit("t"), (i % 2).cast("string")))
+    return derive.relation(spark, sf, derive.UPLOADS).select("item_idx", files.authorised(header, F.when(i % 4 != 0, "t1")).alias("authorised"))
+
+
+@query
+def filenames_match(spark, sf):
+    events = _read(spark, sf, "events")
+    least = events.agg(F.min("event_type").alias("least"))
+    named = events.join(F.broadcast(least), F.col("event_type") != F.col("least"), "left")
+    return named.groupBy(F.col("user_id").alias("batch_id")).agg((F.count("*") == F.count("least")).alias("matches"))
+
+
+@query
+def bulk_url_zip(spark, sf):
+    urls = derive.relation(spark, sf, derive.URLS).withColumn("name", F.concat(F.lit("n"), F.col("page_id").cast("string")))
+    pairs = F.array_sort(F.collect_list(F.struct("page_id", "url", "name")))
+    lists = urls.groupBy((F.col("page_id") % 10).alias("batch_id")).agg(pairs.alias("p")).select("batch_id", F.col("p.url").alias("urls"), F.col("p.name").alias("names"))
+    rows = lists.where(F.size("urls") == F.size("names")).select("batch_id", F.posexplode(F.arrays_zip("urls", "names")).alias("idx", "z"))
+    return rows.select("batch_id", "idx", F.col("z.urls").alias("url"), F.col("z.names").alias("filename"))
+
+
+@query
+def url_extension(spark, sf):
+    urls = derive.relation(spark, sf, derive.URLS)
+    out = urls.select("page_id", files.url_is_valid(F.col("url")).alias("valid"), files.url_extension(F.col("url")).alias("from_url"), files.content_type_extension(F.col("content_type")).alias("from_type"))
+    return out.withColumn("extension", F.coalesce("from_url", "from_type", F.lit("pdf")))
+
+
+def _captions(spark, sf):
+    return captions.parse_captions(derive.relation(spark, sf, derive.CAPTIONS))
+
+
+@query
+def caption_parse(spark, sf):
+    return _captions(spark, sf).select("doc_id", "caption_branch", "is_printed", "caption_confidence")
+
+
+@query
+def caption_gate(spark, sf):
+    return derive.page_metrics(spark, sf).select(*KEYS, captions.caption_gate(F.col("ocr"), F.col("hw")).alias("asked"))
+
+
+@query
+def caption_override(spark, sf):
+    pages = derive.page_metrics(spark, sf).select(*KEYS, "ocr", "hw")
+    return captions.caption_override(pages.join(_captions(spark, sf), KEYS)).select(*KEYS, "f")
+
+
+def _marker_text(spark, sf):
+    return derive.relation(spark, sf, derive.MARKER_TEXT)
+
+
+def _sorted(column, alias):
+    return F.concat_ws(",", F.array_sort(column)).alias(alias)
+
+
+@query
+def text_markers(spark, sf):
+    t = F.col("text")
+    return _marker_text(spark, sf).select(
+        "doc_id", *[_sorted(markers.found(t, m), n) for m, n in ((markers.CRITICAL, "critical"), (markers.STRONG, "strong"), (markers.SUPPORTING, "supporting"))],
+        markers.partial_header(t).alias("partial_header"), markers.regn(t).alias("regn"), markers.early_gate(t).alias("gated"),
+    )
+
+
+@query
+def header_markers(spark, sf):
+    return _marker_text(spark, sf).select("doc_id", _sorted(markers.found(F.col("text"), markers.HEADER), "header"))
+
+
+@query
+def negative_signals(spark, sf):
+    return markers.negatives(_marker_text(spark, sf)).select("doc_id", _sorted("neg_exact", "neg_exact"), _sorted("neg_partial", "neg_partial"))
+
+
+@query
+def visual_indicators(spark, sf):
+    return index2.visual_indicators(derive.relation(spark, sf, derive.PAGE_VISUALS)).select("doc_id", _cat("visual_markers", "markers"), "visual_score")
+
+
+def _confident(spark, sf, text=derive.MARKER_TEXT):
+    signals = markers.negatives(index2.text_indicators(derive.relation(spark, sf, text)))
+    seen = index2.visual_indicators(derive.relation(spark, sf, derive.PAGE_VISUALS)).select("doc_id", "visual_markers", "visual_score", "has_barcode", "has_seal", "has_table")
+    both = signals.join(seen, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    return index2.confidence(both.withColumns({"visual_markers": F.coalesce("visual_markers", none), "visual_score": F.coalesce("visual_score", F.lit(0.0))}))
+
+
+def _confidence_columns(df):
+    return df.select("doc_id", "confidence_rule", (F.rint(F.col("confidence") * 1000) / 1000).alias("confidence"), "is_index2", "method")
+
+
+@query
+def index2_confidence(spark, sf):
+    return _confidence_columns(_confident(spark, sf))
+
+
+@query
+def index2_confidence_clean(spark, sf):
+    return _confidence_columns(_confident(spark, sf, derive.MARKER_TEXT_CLEAN))
+
+
+@query
+def validator_ocr(spark, sf):
+    return ocr.validator_stats(ocr.words_of(_read(spark, sf, "documents")))
+
+
+def _validated(spark, sf):
+    read = validator_ocr(spark, sf).select("doc_id", F.col("confidence").alias("ocr"))
+    said = _captions(spark, sf).select("doc_id", "is_printed", "caption_confidence")
+    df = _confident(spark, sf).join(read, "doc_id").join(said, "doc_id")
+    df = df.withColumn("structure", index2.structure_score(F.col("has_barcode"), F.col("has_seal"), F.col("has_table"), F.col("text")))
+    return index2.validate(index2.fully_handwritten(df))
+
+
+@query
+def validator_score(spark, sf):
+    return _validated(spark, sf).select("doc_id", "structure", "hand_branch", "is_handwritten", "index2_score", "decision")
+
+
+@query
+def index2_route(spark, sf):
+    return index2.route(_validated(spark, sf)).select("doc_id", "route", "document_type")
+
+
+def _pixel(name, make):
+    def run(spark, sf):
+        return make(pixels.pixels_of(_read(spark, sf, "embeddings")))
+
+    run.__name__ = name
+    return query(run)
+
+
+_pixel("pixel_brightness", pixels.brightness)
+_pixel("pixel_contrast", pixels.contrast)
+_pixel("pixel_white_space", pixels.white_space)
+_pixel("pixel_laplacian_blur", pixels.laplacian_blur)
+_pixel("row_projection_cv", pixels.baseline_score)
+_pixel("col_projection_cv", lambda p: pixels.spacing_score(p, least_gap=0))
+
+
+@query
+def stage_catalog(spark, sf):
+    rows = [(1, "Basic quality", 7, 0.35), (2, "Recognition confidence", 4, 0.40), (3, "Handwriting", 5, 0.20), (4, "Overall quality", 1, 0.05)]
+    return spark.createDataFrame(rows, "stage int, name string, checks int, weight double")
+
+
+@query
+def result_json(spark, sf):
+    """Results as JSON text and read back."""
+    text = _items(spark, sf).select(F.to_json(F.struct("doc_id", "status", "score")).alias("j"))
+    return text.select(F.from_json("j", "doc_id long, status string, score double").alias("r")).select("r.*")
+
+
+@query
+def field_extraction(spark, sf):
+    """Extracted fields of nested JSON documents, compared with what was expected."""
+    field = F.struct(F.lit("dob").alias("field_name"), F.col("doc_id").cast("string").alias("expected_value"), F.col("doc_id").cast("string").alias("extracted_value"), F.lit(0.95).alias("confidence"))
+    text = _read(spark, sf, "documents").select("doc_id", F.to_json(F.struct(F.lit("u").alias("doc_url"), F.array(field).alias("fields"))).alias("j"))
+    kind = "doc_url string, fields array<struct<field_name string, expected_value string, extracted_value string, confidence double>>".replace("field_name string", "field_name:string").replace("expected_value string", "expected_value:string").replace("extracted_value string", "extracted_value:string").replace("confidence double", "confidence:double")
+    rows = text.select("doc_id", F.explode(F.from_json("j", kind)["fields"]).alias("x")).select("doc_id", "x.*")
+    return rows.select("doc_id", "field_name", "expected_value", "extracted_value", F.col("expected_value").eqNullSafe(F.col("extracted_value")).alias("matches"), "confidence")
+
+
+@query
+def daily_counts(spark, sf):
+    return batches.daily_counts(_read(spark, sf, "events"))
+
+
+@query
+def stream_batch_summary(spark, sf):
+    """The same counts from a stream over the table's file, final state."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    events = _read(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    return batches.run_available(batches.daily_counts(stream), f"daily_{uuid.uuid4().hex}", f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
