@@ -256,8 +256,14 @@ def line_mass(g: np.ndarray) -> tuple[float, float]:
 
 def circles(g: np.ndarray, least: int = 40, most: int = 150, apart: int = 100, share: float = 0.5) -> int:
     """Round seals: edge pixels vote along their gradient for centres; a centre counts with ``share`` of its circle."""
-    e = canny(g, 50, 100)
-    gy, gx = np.gradient(g.astype(np.float64))
+    r = np.arange(-4, 5)
+    k = np.exp(-(r**2) / 8)
+    k /= k.sum()
+    p = np.pad(g.astype(np.float64), 4, mode="edge")
+    p = sum(k[i] * p[i : i + g.shape[0], :] for i in range(9))
+    soft = sum(k[i] * p[:, i : i + g.shape[1]] for i in range(9))
+    e = canny(np.rint(soft).astype(np.uint8), 50, 100)
+    gy, gx = np.gradient(soft)
     ys, xs = np.nonzero(e)
     size = np.hypot(gx[ys, xs], gy[ys, xs])
     ys, xs, ux, uy = ys[size > 0], xs[size > 0], (gx[ys, xs] / np.maximum(size, 1e-9))[size > 0], (gy[ys, xs] / np.maximum(size, 1e-9))[size > 0]
@@ -271,8 +277,8 @@ def circles(g: np.ndarray, least: int = 40, most: int = 150, apart: int = 100, s
             cy, cx = np.rint(ys + sign * r * uy).astype(int), np.rint(xs + sign * r * ux).astype(int)
             ok = (cy >= 0) & (cy < h) & (cx >= 0) & (cx < w)
             np.add.at(votes, (cy[ok], cx[ok]), 1)
-        p = np.pad(votes, 1)
-        near = sum(p[1 + a : 1 + a + h, 1 + b : 1 + b + w] for a in (-1, 0, 1) for b in (-1, 0, 1))
+        p = np.pad(votes, 2)
+        near = sum(p[a : a + h, b : b + w] for a in range(5) for b in range(5))
         y, x = divmod(int(near.argmax()), w)
         best.append((near[y, x] / (2 * np.pi * r), y, x))
     kept: list[tuple[int, int]] = []
