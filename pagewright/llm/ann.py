@@ -210,7 +210,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """The index: one row for each shard and vector length, in the shared folder."""
     rows = _rows(df, id_col, vector_col)
     shards = max(1, -(-df.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("shards", F.lit(shards))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     made = dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, entry int, points binary, edges binary, ids binary, counts binary")
     return write_table(made, "graphs")
 
@@ -219,10 +219,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (Euclidean distance) of the nearest found for each query."""
     blocks = max(1, -(-queries.count() // BLOCK))
     asked = _rows(queries, id_col, vector_col).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    shards = index.select("dim", "shard").distinct()
-    # every block goes to every shard of its length: the shards of a length are as one list, the queries of a block stay together
-    of_dim = shards.groupBy("dim").agg(F.collect_list("shard").alias("shard"))
-    sent = asked.join(F.broadcast(of_dim), "dim").withColumn("shard", F.explode("shard"))
+    # every block goes to every shard; where a length of vectors has no such shard, its queries find nothing there
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = graphs.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")).applyInArrow(_find(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
