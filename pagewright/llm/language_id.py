@@ -131,9 +131,7 @@ class Scorer:
             if not w:
                 out.append(UNKNOWN)
                 continue
-            total = np.bincount(np.fromiter(map(get, w), np.int64, len(w)), minlength=1)
-            used = np.flatnonzero(total)
-            mean = (self.rows[used] * total[used, None]).sum(axis=0) / len(w) * np.sqrt(len(w))
+            mean = self.rows[np.fromiter(map(get, w), np.int64, len(w))].sum(axis=0) / np.sqrt(len(w))
             odds = np.exp(mean - mean.max())
             best = int(mean.argmax())
             out.append(self.langs[best])
