@@ -5,14 +5,17 @@ hashes of its set (its sketch). Inverted lists of retained values propose overla
 sketches filters them; the exact Jaccard similarity of the full sets verifies what is left. The verified links make groups.
 
 Which retained values are listed: two similar sets share at least ``t`` of their retained values, hence a shared one is among
-the ``K - t + 1`` rarest of either (prefix filtering by one global order, rarest first). Values in a single class are dropped,
-they link nothing. For sets of fewer than K shingles t is a certainty; for larger ones fewer than ``SHARED`` shared values have
+the ``n - t + 1`` rarest of the n that either shares with any class of like size (prefix filtering by one global order, rarest
+first); a class with fewer than t such values links to nothing. For sets of fewer than K shingles t is a certainty; for larger ones fewer than ``SHARED`` shared values have
 a probability below 1e-9 at similarity 0.8. The estimate's cut lies six standard deviations below 0.8.
 
-Links are sought in two rounds. First each list links its members to its least member (a star, linear in the list). Then
-only members of a list that are still in different groups are compared with each other. Large groups of copies and near
-copies thus cost a star, and no list emits all its pairs. A list that is long, unverified by the star and made of unlike texts
-that have half of their sketch in common would still be compared in full; rarest-first order makes such lists rare.
+Links are sought in rounds. In the first ``STARS`` rounds each list compares its members with one of them, drawn by a hash (a
+star, linear in the list); as the draws differ from list to list, a large group of near copies becomes one. Then only members of
+a list that are still in different groups are compared with each other. Large groups of copies and near copies thus cost
+stars, and no list emits all its pairs: lists of up to ``SHORT`` members emit those that are apart, longer ones compare them
+block by block and emit links only. Lists carry a digest of 64 bins of four bits, so that pairs far from similar never leave
+the join. A long list of unlike texts with half of their sketch in common is still walked in full; rarest-first order makes
+such lists rare.
 
 Hot values: retained values are counted in a table of fixed size; those in an outstanding slot take the slot's count as
 their rank and skip the exact count, so that the exact count only meets values with few classes.
@@ -37,6 +40,12 @@ from pagewright.llm.components import components
 SKETCH = 48
 #: Retained values that two large similar sets have in common (see above), and the same for sets below SKETCH shingles.
 SHARED, SHARED_SMALL = 22, 36
+#: Bins, of 64, in which the digests of two similar sets may differ: six standard deviations above the 12.8 at similarity 0.8.
+DIFFER = 32
+STARS = 2
+#: Members up to which a list compares all that are still apart as pairs; longer lists do so in blocks of this many shingles.
+SHORT = 32
+BLOCK_SHINGLES = 200_000
 SLOT_BITS = 20
 #: Least estimate, in hundredths, that goes on to the exact check.
 CUT = 45
@@ -65,21 +74,30 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
             yield h[:0]
 
 
+def digest(s: np.ndarray) -> np.ndarray:
+    """64 bins by the low bits of the hashes, four bits of the least hash of each bin: four 64-bit numbers."""
+    bins, at = np.unique(s & K.U(63), return_index=True)
+    out = np.zeros(64, K.U)
+    out[bins.astype(np.int64)] = (s[at] >> K.U(6)) & K.U(15)
+    return (out.reshape(4, 16) << (np.arange(16, dtype=K.U) * K.U(4))).sum(axis=1, dtype=K.U).view(np.int64)
+
+
 def _sketches(width: int):
     def run(batches):
         for batch in batches:
             for at, data, offsets in K.slices(batch.column(2)):
-                size, d1, d2, kept = [], [], [], []
+                size, d1, d2, kept, codes = [], [], [], [], []
                 for s in shingle_sets(data, offsets, width):
                     size.append(len(s))
                     d1.append(int(K.mix(s + K.U(1)).sum(dtype=K.U).view(np.int64)))
                     d2.append(int(K.mix(s ^ K.U(0x5851F42D4C957F2D)).sum(dtype=K.U).view(np.int64)))
                     kept.append(s[:SKETCH].view(np.int64))
+                    codes.append(digest(s))
                 ends = np.append(0, np.cumsum([len(x) for x in kept])).astype(np.int32)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["_k1", "_k2", "size", "d1", "d2", "sketch"],
+                    [batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(codes)), 4).cast(pa.list_(pa.int64()))],
+                    names=["_k1", "_k2", "size", "d1", "d2", "sketch", "digest"],
                 )
 
     return run
@@ -113,7 +131,7 @@ def _explode(levels):
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """The inverted lists: ``value``, ``node``, ``size`` of the rarest retained values of each class."""
+    """The inverted lists: ``value``, ``node``, ``size``, ``digest`` of the rarest retained values of each class."""
     spark = classes.sparkSession
     found = {int(r["slot"]): int(r["n"]) for r in classes.select("sketch").mapInArrow(_outstanding, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     mean = found.pop(-1, 0) / (1 << SLOT_BITS)
@@ -126,18 +144,94 @@ def _postings(classes: DataFrame) -> DataFrame:
     counted = rows.withColumn("salt", salt).withColumn("df", F.count("*").over(Window.partitionBy("value", "salt")))
     rank = F.when(F.col("level") > 0, F.col("level")).otherwise(F.col("df"))
     useful = counted.where("level > 0 or df > 1").select("node", "size", F.struct((F.col("level") > 0).alias("hot"), rank.alias("rank"), "value").alias("v"))
-    kept = F.least(F.col("size"), F.lit(SKETCH))
     sure = F.when(F.col("size") < SKETCH, F.least(F.ceil(F.col("size") * 0.8), F.lit(SHARED_SMALL))).otherwise(F.lit(SHARED))
     by_node = useful.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("v")).alias("vs"))
-    # values in one class only are the rarest and already dropped: they use up their part of the prefix
-    take = (kept - sure + 1 - (kept - F.size("vs"))).cast("int")
-    return by_node.where(take > 0).select("node", "size", F.explode(F.slice("vs", 1, F.greatest(take, F.lit(1)))).alias("v")).select("node", "size", F.col("v.value").alias("value"))
+    take = (F.size("vs") - sure + 1).cast("int")
+    few = by_node.where(take > 0).select("node", "size", F.slice("vs", 1, F.greatest(take, F.lit(1))).alias("vs"))
+    return few.join(classes.select("node", "digest"), "node").select("node", "size", "digest", F.explode("vs.value").alias("value"))
 
 
 def _like_sizes(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * 80)
 
 
+def _like_digests(a: str, b: str) -> Column:
+    """At most ``DIFFER`` of the 64 bins differ."""
+    bins = []
+    for i in range(4):
+        x = f"({a}[{i}] ^ {b}[{i}])"
+        any_bit = " | ".join([x, *(f"shiftrightunsigned({x}, {k})" for k in (1, 2, 3))])
+        bins.append(f"bit_count(({any_bit}) & {0x1111111111111111}L)")
+    return F.expr(f"{' + '.join(bins)} <= {DIFFER}")
+
+
+def _star(lists: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each list's head, by a hash of value and node, with the members of other groups."""
+    drawn = F.struct(F.xxhash64(F.lit(seed), "value", "node").alias("h"), "node", "size", "digest", "label")
+    head = lists.groupBy("value").agg(F.min(drawn).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    near = (F.col("label") != F.col("head.label")) & _like_sizes(F.col("size"), F.col("head.size")) & _like_digests("digest", "head.digest")
+    pairs = lists.join(head.select("value", "head"), "value").where(near)
+    return pairs.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs of members of a list of at most ``SHORT`` that are still in different groups."""
+    mixed = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    rows = lists.join(mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") <= SHORT)).select("value"), "value")
+    x, y = (rows.select("value", *[F.col(c).alias(f"{c}{k}") for c in ("node", "size", "digest", "label")]) for k in (1, 2))
+    near = (F.col("label1") < F.col("label2")) & _like_sizes(F.col("size1"), F.col("size2")) & _like_digests("digest1", "digest2")
+    pairs = x.join(y, (x["value"] == y["value"]) & near)
+    return pairs.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+
+
+def _long_lists(lists: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Exact links between members of longer lists that are still in different groups.
+
+    A list is cut into blocks of about ``BLOCK_SHINGLES`` shingles; each two blocks meet in a group of their own, where the
+    full sets are compared without any pair being emitted but links.
+    """
+    lists = lists.select("value", "node", "size", "label")
+    long = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("total"))
+    long = long.where((F.col("lo") != F.col("hi")) & (F.col("n") > SHORT)).select("value", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = lists.join(long, "value").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("value", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label")
+    rows = write_table(rows, "blocks")
+    some = write_table(texts.join(rows.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
+    node = some.schema["node"].dataType.simpleString()
+    return rows.join(some, "node").groupBy("value", "b1", "b2").applyInArrow(_compare(width), f"u {node}, v {node}").distinct()
+
+
+def _compare(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = lambda name: table.column(name).combine_chunks() if table.num_rows else pa.array([])
+        nodes, blocks = column("node"), np.asarray(column("block"))
+        across = table.column("b1")[0].as_py() != table.column("b2")[0].as_py()
+        labels = np.unique([f"{x['a']},{x['b']}" for x in column("label").to_pylist()], return_inverse=True)[1]
+        sets = [s for _, data, off in K.slices(column("_text")) for s in shingle_sets(data, off, width)]
+        sizes = np.array([len(s) for s in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        first = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(codes) + 1, np.int32)
+        u, v = [], []
+        # members of the commonest group need no search of their own: the others find them
+        for x in np.flatnonzero(labels != np.bincount(labels).argmax()):
+            mine = codes[first[x] : first[x] + sizes[x]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[codes], first)
+            mark[mine] = 0
+            linked = (labels != labels[x]) & (100 * both >= 80 * (sizes + sizes[x] - both))
+            if across:
+                linked &= blocks != blocks[x]
+            for y in np.flatnonzero(linked):
+                u.append(x)
+                v.append(y)
+        return pa.table({"u": nodes.take(pa.array(u, pa.int64())), "v": nodes.take(pa.array(v, pa.int64()))})
+
+    return run
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose similarity, as estimated from the union of their sketches, reaches the cut."""
     a = classes.select(F.col("node").alias("u"), F.col("sketch").alias("su"))
@@ -175,32 +269,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     """One row per document: ``id_col``, the carried columns, ``n_shingles`` and ``component_id`` (least id of its group)."""
     texts = keyed(docs, id_col, text_col, carry)
     first = F.when(F.col("_k1") == NO_ID, F.lit(LAST)).otherwise(F.col("_k1"))
-    made = texts.select("_k1", "_k2", "_text").mapInArrow(_sketches(width), "_k1 long, _k2 long, size int, d1 long, d2 long, sketch array<bigint>")
-    made = write_table(made.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "size", "d1", "d2", "sketch"), "sketches")
+    made = texts.select("_k1", "_k2", "_text").mapInArrow(_sketches(width), "_k1 long, _k2 long, size int, d1 long, d2 long, sketch array<bigint>, digest array<bigint>")
+    made = write_table(made.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "size", "d1", "d2", "sketch", "digest"), "sketches")
     filled = made.where("size > 0")
-    classes = write_table(filled.groupBy("size", "d1", "d2").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch")), "classes")
+    classes = write_table(filled.groupBy("size", "d1", "d2").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest")), "classes")
     lists = write_table(_postings(classes), "lists")
     own = texts.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "_text")
 
-    head = lists.groupBy("value").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).where("n > 1").select("value", "head")
-    star = lists.join(head, "value").where((F.col("node") != F.col("head.node")) & _like_sizes(F.col("size"), F.col("head.size")))
-    star = star.select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(_estimated(star, classes), own, width)
-    groups = write_table(components(links), "groups")
-
-    # the second round: lists whose members are still in several groups
-    labelled = lists.join(groups, "node", "left").select("value", "node", "size", F.coalesce("label", "node").alias("label"))
-    labelled = write_table(labelled, "labelled")
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    rows = labelled.join(mixed, "value")
-    x = rows.select("value", F.col("node").alias("u"), F.col("size").alias("su"), F.col("label").alias("lu"))
-    y = rows.select("value", F.col("node").alias("v"), F.col("size").alias("sv"), F.col("label").alias("lv"))
-    cross = x.join(y, (x["value"] == y["value"]) & (F.col("lu") < F.col("lv")) & _like_sizes(F.col("su"), F.col("sv"))).select("u", "v").distinct()
-    # the star has already judged these
-    cross = cross.join(star.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), (F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b")), "left_anti")
-    more = _verified(_estimated(cross, classes), own, width)
-    if not more.isEmpty():
-        groups = write_table(components(links.union(more)), "groups")
+    groups = links = judged = None
+    # stars until they find nothing new, at most STARS of them; then what is still apart
+    for turn in range(STARS + 1):
+        labelled = lists.withColumn("label", F.col("node"))
+        if groups is not None:
+            labelled = write_table(lists.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        pairs = _star(labelled, turn) if turn < STARS else _across(labelled)
+        if judged is not None:
+            pairs = pairs.join(judged, ["u", "v"], "left_anti")
+        pairs = write_table(pairs, "pairs")
+        found = _verified(_estimated(pairs, classes), own, width)
+        if turn == STARS:
+            found = write_table(found.union(_long_lists(labelled, own, width)), "links")
+        judged = pairs if judged is None else judged.union(pairs)
+        links = found if links is None else links.union(found)
+        if turn == 0 or not found.isEmpty():
+            groups = write_table(components(links), "groups")
 
     node_of = classes.select("size", "d1", "d2", F.col("node").alias("rep"))
     of_class = node_of.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select("size", "d1", "d2", F.coalesce("label", "rep").alias("label"))
