@@ -141,9 +141,13 @@ def _postings(classes: DataFrame) -> DataFrame:
     rows = classes.select("node", "size", "sketch").mapInArrow(_explode(levels), f"value long, level long, node {node}, size int")
     # one exchange by value; hot values get a salt, they are not counted here
     salt = F.when(F.col("level") > 0, F.pmod(F.xxhash64("node"), F.lit(1 << 20))).otherwise(F.lit(-1))
-    counted = rows.withColumn("salt", salt).withColumn("df", F.count("*").over(Window.partitionBy("value", "salt")))
+    by_size = Window.partitionBy("value", "salt").orderBy("size")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = rows.withColumn("salt", salt).withColumns({"df": F.count("*").over(whole), "below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
+    partner = F.coalesce(_like_sizes(F.col("size"), F.col("below")), F.lit(False)) | F.coalesce(_like_sizes(F.col("size"), F.col("above")), F.lit(False))
     rank = F.when(F.col("level") > 0, F.col("level")).otherwise(F.col("df"))
-    useful = counted.where("level > 0 or df > 1").select("node", "size", F.struct((F.col("level") > 0).alias("hot"), rank.alias("rank"), "value").alias("v"))
+    # a value that no class of like size shares cannot be among a pair's shared ones: it goes before the prefix is taken
+    useful = sized.where((F.col("level") > 0) | partner).select("node", "size", F.struct((F.col("level") > 0).alias("hot"), rank.alias("rank"), "value").alias("v"))
     sure = F.when(F.col("size") < SKETCH, F.least(F.ceil(F.col("size") * 0.8), F.lit(SHARED_SMALL))).otherwise(F.lit(SHARED))
     by_node = useful.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("v")).alias("vs"))
     take = (F.size("vs") - sure + 1).cast("int")

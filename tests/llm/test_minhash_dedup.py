@@ -1,6 +1,7 @@
 import random
 import re
 
+from pagewright.llm import minhash_dedup
 from pagewright.llm.components import components
 from pagewright.llm.minhash_dedup import keep_first, near_duplicates
 
@@ -75,3 +76,22 @@ def test_components_long_chain(spark):
     df = spark.createDataFrame(edges, "u long, v long").selectExpr("struct(u as a, 0L as b) as u", "struct(v as a, 0L as b) as v")
     got = {r["node"]["a"]: r["label"]["a"] for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """Without stars and pairs, blocks alone find every link."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", 1)
+    monkeypatch.setattr(minhash_dedup, "STARS", 0)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 500)
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(150)]
+    base = [r.choice(vocab) for _ in range(90)]
+    rows = []
+    for k in range(45):
+        w = list(base)
+        for _ in range(r.randrange(0, 14)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(df, 2).collect())
+    assert got == brute(rows, 2)
