@@ -7,16 +7,21 @@ of stochastic gradient descent over all its tokens from a common start, and the
 tokens, in two levels of aggregation, so that no task gathers more than ``FAN`` sets of them at a time at the first level.
 
 Tokens are words (letters, digits and all non-ASCII characters, A-Z in lower case). Words are counted over the whole corpus;
-the most frequent ones have an id of their own, all others share ``SHARED`` ids by their hash, so every token is predicted. The
-vocabulary and the network are of fixed size, whatever the corpus, and are broadcast.
+the most frequent ones have an id of their own, all others share ``SHARED`` ids by their hash. The ids and the network are of
+fixed size, whatever the corpus, and are broadcast. The table of counts holds every word and grows with the corpus; it is
+never gathered. Given that table, ``score`` predicts the word itself: to the log-probability of its id comes that of the
+word among those that share the id, the word's count over all of theirs and one more. The words of a slice of texts that share
+ids meet the table by fingerprint; a slice asks for each of them once, and no pair of document and word is shuffled by itself.
 
-Defined cases: a null, empty or wordless text has no tokens, log-likelihood 0 and a null mean; places outside the text have an
+Defined cases: a word that the table lacks counts ``UNSEEN``; a null, empty or wordless text has no tokens, log-likelihood 0 and a null mean; places outside the text have an
 id of their own; texts of any length are scored whole; repeated rows train as often as they stand there and score alike; an
 empty corpus leaves the start weights; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +39,8 @@ BATCH = 2048
 RATE = 0.5
 FAN = 64
 EDGE = SIZE
+#: Count of a word that the table lacks.
+UNSEEN = 0.5
 
 
 class Vocabulary:
@@ -147,12 +154,17 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def frequent_words(texts: DataFrame) -> tuple[list[int], np.ndarray]:
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word`` (fingerprint) and ``n`` of every word of the corpus, as a table in the shared folder."""
+    return write_table(texts.select("_text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent_words(texts: DataFrame, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
     """Fingerprints of the most frequent words, by falling count, and the start weights.
 
     The start predicts each id by its frequency in the corpus: the output biases are log frequencies.
     """
-    counts = write_table(texts.select("_text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = word_counts(texts) if counts is None else counts
     head = counts.orderBy(F.desc("n"), "word").limit(SIZE - SHARED).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     own = np.full(SIZE, 1.0)
@@ -194,9 +206,10 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> dict:
-    """The model: frequent words and the averaged weights, a small dictionary on the driver."""
+    """The model: frequent words and the averaged weights, small and on the driver, and the table of all words (``words``)."""
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    frequent, start = frequent_words(texts)
+    counts = word_counts(texts)
+    frequent, start = frequent_words(texts, counts)
     sent = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), start))
     schema = "part int, tokens long, weights binary"
     sums = texts.mapInArrow(_train(sent), schema).groupBy("part").applyInArrow(_add, schema)
@@ -204,10 +217,23 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     for r in sums.collect():  # at most FAN rows of the network's size
         total += r["tokens"]
         weights = np.frombuffer(r["weights"], np.float64) + (0 if weights is None else weights)
-    return {"frequent": frequent, "weights": (start if weights is None else weights / total).astype(np.float32)}
+    return {"frequent": frequent, "weights": (start if weights is None else weights / total).astype(np.float32), "words": counts}
+
 
+def _rare(words: K.Words, ids: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The distinct words with a shared id; for each the rows that have it and how often."""
+    at = ids >= SIZE - SHARED
+    h, code = np.unique(words.hash[at], return_inverse=True)
+    pair, times = np.unique(code * rows + words.row[at], return_counts=True)
+    ends = pa.array(np.searchsorted(pair // max(rows, 1), np.arange(len(h) + 1)).astype(np.int32))
+    lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % max(rows, 1), times))
+    return h.view(np.int64), *lists
+
+
+def _score(model, whole: bool):
+    """Rows of two kinds: texts, with the sums over their ids, and (only if ``whole``) the words that a slice asks for."""
+    names = ["_slice", "_row", "_carry", "n_tokens", "sum", "word", "rows", "times"]
 
-def _score(model):
     def run(batches):
         vocabulary, net = Vocabulary(model.value["frequent"]), Net(model.value["weights"])
         for batch in batches:
@@ -217,15 +243,50 @@ def _score(model):
                 for a in range(0, len(ids), 1 << 15):
                     scores[a : min(len(ids), a + (1 << 15))] = net.score(context[a : a + (1 << 15)], ids[a : a + (1 << 15)])
                 total = np.add.reduceat(scores, words.first[:-1]) * (words.counts > 0)
-                mean = pa.array(total / np.maximum(words.counts, 1), mask=words.counts == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, rows), pa.array(words.counts), pa.array(total), mean], names=["_carry", "n_tokens", "log_likelihood", "mean_log_probability"])
+                name = secrets.randbits(62)
+                carry, lists = batch.column(1).slice(at, rows), pa.list_(pa.int32())
+                own = pa.array(np.full(rows, name))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(rows, dtype=np.int32)), carry, pa.array(words.counts), pa.array(total), pa.nulls(rows, pa.int64()), pa.nulls(rows, lists), pa.nulls(rows, lists)], names=names)
+                if whole:
+                    h, which, times = _rare(words, ids, rows)
+                    n = len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, pa.int32()), pa.nulls(n, carry.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(h), which, times], names=names)
 
     return run
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: ``id_col``, carried columns, ``n_tokens``, ``log_likelihood`` and ``mean_log_probability``."""
+def _within(totals: dict[int, int]):
+    """Sums of the log-probabilities of the words among those that share their ids, for the texts of a slice."""
+    mass = np.log(np.array([totals.get(i, 0) + 1 for i in range(SHARED)], float))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        word, n = (table.column(c).to_numpy() for c in ("word", "n"))
+        own = np.log(n) - mass[(word.view(K.U) % K.U(SHARED)).astype(np.int64)]
+        rows, times = (table.column(c).combine_chunks() for c in ("rows", "times"))
+        sums = np.bincount(rows.flatten().to_numpy(), np.repeat(own, rows.value_lengths().to_numpy()) * times.flatten().to_numpy())
+        return pa.table({"_slice": pa.array(np.full(len(sums), table.column("_slice")[0].as_py())), "_row": pa.array(np.arange(len(sums), dtype=np.int32)), "within": pa.array(sums)})
+
+    return run
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
+    """One row per document: ``id_col``, carried columns, ``n_tokens``, ``log_likelihood`` and ``mean_log_probability``.
+
+    With ``words`` (the model's table of counts) the probabilities are those of the words; without it, of their ids alone.
+    """
     texts = keyed(docs, id_col, text_col, carry).select("_text", "_carry")
     kind = texts.schema["_carry"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return texts.mapInArrow(_score(sent), f"_carry {kind}, n_tokens long, log_likelihood double, mean_log_probability double").select("_carry.*", "n_tokens", "log_likelihood", "mean_log_probability")
+    sent = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("frequent", "weights")})
+    made = texts.mapInArrow(_score(sent, words is not None), f"_slice long, _row int, _carry {kind}, n_tokens long, sum double, word long, rows array<int>, times array<int>")
+    total = F.col("sum")
+    if words is not None:
+        made = write_table(made, "scored")
+        shared = words.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in model["frequent"]], "word long")), "word", "left_anti")
+        # SHARED is a power of two, so that the remainder is that of the unsigned number
+        totals = {r["id"]: r["n"] for r in shared.groupBy(F.pmod("word", F.lit(SHARED)).alias("id")).agg(F.sum("n").alias("n")).collect()}
+        asked = made.where("word is not null").select("_slice", "word", "rows", "times").join(words, "word", "left").withColumn("n", F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))
+        within = asked.groupBy("_slice").applyInArrow(_within(totals), "_slice long, _row int, within double")
+        made = made.where("word is null").join(within, ["_slice", "_row"], "left")
+        total = total + F.coalesce("within", F.lit(0.0))
+    return made.select("_carry.*", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_probability"))

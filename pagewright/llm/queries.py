@@ -30,7 +30,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every document under a network trained on all of them."""
     docs = read(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    model = train(docs)
+    return score(docs, model, words=model["words"])
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -60,3 +60,33 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     model = M.train(df)
     assert model["frequent"] == [] and M.score(df, model).collect() == []
+
+
+def test_words_that_share_an_id(spark):
+    """With the table of counts, words of one id differ by their counts, and unseen words come last."""
+    common = [f"w{i}" for i in range(M.SIZE - M.SHARED)]
+    rare = [f"r{i}" for i in range(600)]
+    texts = [" ".join(common * 3)] + [" ".join(rare[i::20]) for i in range(20)] + [f"{rare[0]} {rare[0]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = M.train(docs)
+    count = dict.fromkeys(rare, 1) | {rare[0]: 3}
+
+    def bucket(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(M.Vocabulary(model["frequent"])(K.span_hash(raw, np.array([0]), np.array([len(raw)])))[0])
+
+    shared = [w for w in rare if bucket(w) >= M.SIZE - M.SHARED]
+    first = shared[0]
+    rest = {}
+    for w in shared:
+        rest[bucket(w)] = rest.get(bucket(w), 0) + count[w]
+    unseen = next(w for i in range(100000) if bucket(w := f"zq{i}") == bucket(first))
+    rows = [(0, first), (1, unseen), (2, f"{unseen} {common[5]} {first} {first}"), (3, None), (4, "!"), (0, first)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_id = {r["doc_id"]: r["log_likelihood"] for r in M.score(df, model).collect()}
+    got = M.score(df, model, words=model["words"]).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(0, 1), (0, 1), (1, 1), (2, 4), (3, 0), (4, 0)]
+    one, other = np.log(count[first] / (rest[bucket(first)] + 1)), np.log(M.UNSEEN / (rest[bucket(first)] + 1))
+    want = {0: one, 1: other, 2: other + 2 * one, 3: 0, 4: 0}
+    assert all(np.isclose(r["log_likelihood"] - by_id[r["doc_id"]], want[r["doc_id"]]) for r in got)
+    assert np.isclose(by_id[0], by_id[1]) and other < one
