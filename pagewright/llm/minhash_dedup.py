@@ -269,8 +269,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return write_table(pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(_verify(width), f"u {node}, v {node}"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: ``id_col``, the carried columns, ``n_shingles`` and ``component_id`` (least id of its group)."""
+def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
+    """One row per document: ``_carry``, ``node`` (id, nulls last, and fingerprint of the text), ``size`` and ``label``, the least node of its group."""
     texts = keyed(docs, id_col, text_col, carry)
     first = F.when(F.col("_k1") == NO_ID, F.lit(LAST)).otherwise(F.col("_k1"))
     made = texts.select("_k1", "_k2", "_text").mapInArrow(_sketches(width), "_k1 long, _k2 long, size int, d1 long, d2 long, sketch array<bigint>, digest array<bigint>")
@@ -300,15 +300,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 
     node_of = classes.select("size", "d1", "d2", F.col("node").alias("rep"))
     of_class = node_of.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select("size", "d1", "d2", F.coalesce("label", "rep").alias("label"))
-    per_doc = made.join(of_class, ["size", "d1", "d2"], "left").select("node", "size", F.coalesce(F.col("label"), F.col("node"))["a"].alias("least")).dropDuplicates(["node"])
+    per_doc = made.join(of_class, ["size", "d1", "d2"], "left").select("node", "size", F.coalesce(F.col("label"), F.col("node")).alias("label")).dropDuplicates(["node"])
     named_docs = texts.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "_carry")
-    out = named_docs.join(per_doc, "node", "left")
-    component = F.when(F.col("least") != LAST, F.col("least"))
-    return out.select("_carry.*", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return named_docs.join(per_doc, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per document: ``id_col``, the carried columns, ``n_shingles`` and ``component_id`` (least id of its group)."""
+    least = F.col("label")["a"]
+    return _grouped(docs, width, id_col, text_col, carry).select("_carry.*", F.col("size").cast("long").alias("n_shingles"), F.when(least != LAST, least).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near duplicates: of each group the one with the least id stays."""
+    """The documents without near duplicates: of each group one row stays.
+
+    It is the one with the least id, nulls last, then the one with the least fingerprint of its text; of rows that agree in both
+    the one with the least fingerprint of all columns, maps aside. A text without words has no duplicates, its rows all stay.
+    """
     m = Masked(docs, id_col, text_col)
-    out = near_duplicates(m.docs, width, m.id, m.text, carry=m.columns)
-    return m.back(out.where(F.col(m.id).isNull() | (F.col(m.id) == F.col("component_id"))))
+    least = _grouped(m.docs, width, m.id, m.text, m.columns).where("node = label")
+    plain = [F.col(f"_carry.{c}") for c, kind in m.docs.dtypes if "map<" not in kind and "variant" not in kind]
+    own = F.when(F.col("size") == 0, F.monotonically_increasing_id())
+    rows = least.select("node", own.alias("own"), F.xxhash64(*plain).alias("order"), "_carry")
+    return m.back(rows.groupBy("node", "own").agg(F.min_by("_carry", "order").alias("_carry")).select("_carry.*"))

@@ -95,3 +95,17 @@ def test_long_lists_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(df, 2).collect())
     assert got == brute(rows, 2)
+
+
+def test_keep_first_keeps_one_row_of_a_group(spark):
+    """Repeated rows, a shared id, null ids with and without an id in the group, and rows without words."""
+    near = " ".join(f"w{i}" for i in range(60))
+    also = near + " x"
+    alone = " ".join(f"q{i}" for i in range(40))
+    other = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, near, "s"), (2, also, "s"), (None, near, "s"), (None, alone, "s"), (None, alone, "s"), (7, other, "s"), (7, other, "t"), (8, "", "s"), (9, None, "s"), (None, "", "s"), (None, " ", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in keep_first(df).collect()]
+    assert sorted(str(r[:2]) for r in got if (r[1] or "").strip() and r[0] != 2) == sorted([str((1, "a b c d e f")), str((None, alone)), str((7, other))])
+    assert [r[0] for r in got if r[1] in (near, also)] == [2]
+    assert sorted((r for r in got if not (r[1] or "").strip()), key=str) == sorted(rows[-4:], key=str)

@@ -61,6 +61,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {x["doc_id"]: (x["n_tokens"], x["text"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_documents_loaded_twice_keep_one_whole_copy(spark, tmp_path):
+    """Stage 3 sees no copies that stage 2 left: repeated rows and null ids."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, one), (None, two), (None, two), (3, three), (3, three + " more"), (None, three)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    cut = corpus_pipeline.cut_repeats(spark, corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted((str(x["doc_id"]), x["text"][:2], len(spaced(x["text"])) >= 60) for x in cut) == [("1", "a0", True), ("3", "c0", True), ("None", "b0", True)]
+
+
 def test_entry_without_llm(tmp_path):
     """With the folders and the pipeline gone, the entry module still imports and has its other queries."""
     import os
