@@ -6,8 +6,11 @@ frequency in each language. For an unseen word the longest n-grams are tried fir
 knows any of them, the mean log frequency of the known ones is the word's score. The text's scores are sums over its words;
 the answer is the best language and its share after softmax of the mean per word, scaled by the square root of the number of words.
 
-The model is a classifier of bounded size: it keeps the ``max_words`` most frequent words and the ``max_grams`` most frequent
-n-grams of each length for each language, at most ``MAX_LANGS`` languages; so what is collected and broadcast has a fixed bound.
+The whole tables of words and n-grams stand in the shared folder and grow with the rows. A head of them is broadcast: the
+``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of each length of each language, at most
+``MAX_LANGS`` languages, each with its true counts in all languages. Where the head is not the whole, a word outside it is
+looked up in the tables by joins: first as a word, then by its n-grams; a slice of texts asks for each such word once. So the
+bound is one of the broadcast only, and no count is cut.
 
 Words are runs of letters (Unicode category L, with combining marks), in lower case. Defined cases: a null text, or one
 without a letter, is ``und`` with score 0; so is every text if nothing was learned; ties go to the first language in
@@ -17,6 +20,8 @@ table gives an empty result; other columns are not looked at. Words longer than
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -37,7 +42,7 @@ MEMO = 500_000
 
 
 def _cut(units: DataFrame, most: dict[int, int]) -> DataFrame:
-    """The most frequent units of each language and size, as many whole frequency classes as fit.
+    """The most frequent units of each language and size, as many whole frequency classes as fit, with their counts in all languages.
 
     Classes are eighths of powers of two, so a few hundred counts for each language and size say where to cut; no task
     sees all units of a language.
@@ -53,11 +58,15 @@ def _cut(units: DataFrame, most: dict[int, int]) -> DataFrame:
         if room[key] >= 0:
             least[key] = r["class"]
     cuts = spark.createDataFrame([(a, b, c) for (a, b), c in least.items()], "lang string, size int, least int")
-    return binned.join(F.broadcast(cuts), ["lang", "size"]).where("class >= least").select("lang", "unit", "n", "size")
+    kept = binned.join(F.broadcast(cuts), ["lang", "size"]).where("class >= least").select("unit", "size").distinct()
+    return units.join(F.broadcast(kept), ["unit", "size"]).select("lang", "unit", "n", "size")
 
 
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
-    """The model: languages, and log frequencies of words and n-grams, as a small dictionary on the driver."""
+    """The model: languages, and log frequencies of a head of words and n-grams, small and on the driver.
+
+    ``rest`` is None where the head is all; else it has the table of all units and, by size, the totals of the languages.
+    """
     found = F.explode(F.regexp_extract_all(F.lower(named(text_col).cast("string")), F.lit(WORD), F.lit(0)))
     some = rows.where(named(lang_col).isNotNull()).select(named(lang_col).cast("string").alias("lang"), found.alias("unit"))
     words = write_table(some.groupBy("lang", "unit").agg(F.count("*").alias("n")), "words")
@@ -73,15 +82,17 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     spots = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.length(padded))), all_of))
     grams = short.select("lang", "n", F.explode(spots).alias("unit")).where("trim(unit) <> ''").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     units = short.select("lang", "unit", "n", F.lit(0).alias("size")).union(grams.select("lang", "unit", "n", F.length("unit").alias("size")))
-    units = write_table(units, "units")
+    units = table_of_units = write_table(units, "units")
     gram_totals = {(r["lang"], r["size"]): r["n"] for r in units.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    distinct = units.select("unit", "size").distinct().count()
     kept = _cut(units, {0: max_words} | dict.fromkeys(range(1, MAX_GRAM + 1), max_grams)).collect()
     langs = sorted(totals)
     at = {x: i for i, x in enumerate(langs)}
     units: list[dict] = [{} for _ in range(MAX_GRAM + 1)]
     for r in kept:
         units[r["size"]].setdefault(r["unit"], {})[at[r["lang"]]] = r["n"]
-    model: dict = {"langs": langs, "units": []}
+    model: dict = {"langs": langs, "units": [], "rest": None}
+    every = []
     for size, known in enumerate(units):
         total = np.array([max(1, totals[x] if size == 0 else gram_totals.get((x, size), 1)) for x in langs], float)
         # half a count for what a language lacks, at one common scale, so that small languages gain nothing by their size
@@ -91,11 +102,15 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
             for lang, n in counts.items():
                 table[row, lang] = np.log(n / total[lang])
         model["units"].append((list(known), table))
+        every.append((total.tolist(), floor))
+    if sum(len(u) for u, _ in model["units"]) < distinct:
+        model["rest"] = table_of_units, every
     return model
 
 
 class Scorer:
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, whole: bool = True):
+        self.whole = whole
         self.langs = model["langs"]
         self.units = [(dict(zip(keys, range(len(keys)))), table) for keys, table in model["units"]]
         self.find = regex.compile(WORD)
@@ -115,59 +130,178 @@ class Scorer:
         return np.zeros(len(self.langs))
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        return self.judge(*self.sums(texts)[:2])
+
+    def judge(self, counts: np.ndarray, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and share of each text by its number of words and the sums of their scores."""
+        share = np.zeros(len(counts))
+        if not self.langs:
+            return [UNKNOWN] * len(counts), share
+        mean = sums / np.sqrt(np.maximum(counts, 1))[:, None]
+        odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+        best = mean.argmax(axis=1)
+        share = np.where(counts > 0, odds[np.arange(len(counts)), best] / odds.sum(axis=1), 0.0)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), counts.tolist())], share
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """For each text the number of words and the sums of their scores; words to be asked for, and their texts and places in that list."""
         words = [self.find.findall(t.lower()) for t in texts]
+        counts, sums = np.array([len(w) for w in words], np.int64), np.zeros((len(texts), len(self.langs)))
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return counts, sums, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(self.memo) > MEMO:
             self.memo, self.rows = {}, np.zeros((1 << 12, len(self.langs)))
         for w in set().union(*words) - self.memo.keys():
             if len(self.memo) == len(self.rows):
                 self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(self.memo)] = self.word(w)
+            known = self.whole or w in self.units[0][0]
+            self.rows[len(self.memo)] = self.word(w) if known else np.nan
             self.memo[w] = len(self.memo)
         get = self.memo.__getitem__
-        out, share = [], np.zeros(len(texts))
+        asked: dict[str, int] = {}
+        at_text, at_word = [], []
         for k, w in enumerate(words):
             if not w:
-                out.append(UNKNOWN)
                 continue
-            mean = self.rows[np.fromiter(map(get, w), np.int64, len(w))].sum(axis=0) / np.sqrt(len(w))
-            odds = np.exp(mean - mean.max())
-            best = int(mean.argmax())
-            out.append(self.langs[best])
-            share[k] = odds[best] / odds.sum()
-        return out, share
+            places = np.fromiter(map(get, w), np.int64, len(w))
+            own = self.rows[places]
+            if not self.whole and len(open_ := np.flatnonzero(np.isnan(own[:, 0]))):
+                own[open_] = 0
+                at_word += [asked.setdefault(w[i], len(asked)) for i in open_.tolist()]
+                at_text += [k] * len(open_)
+            sums[k] = own.sum(axis=0)
+        return counts, sums, list(asked), np.array(at_text, np.int64), np.array(at_word, np.int64)
 
 
 _LOADED: dict = {}
 
 
+def _scorer(model):
+    """The scorer of this process."""
+    name, tables, whole = model.value
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = Scorer(tables, whole)
+    return _LOADED[name]
+
+
+def _slices(batch):
+    for at, data, offsets in K.slices(batch.column(0)):
+        raw = data.tobytes()
+        yield at, [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def _predict(model):
     def run(batches):
-        name, tables = model.value
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = Scorer(tables)
-        scorer = _LOADED[name]
+        scorer = _scorer(model)
         for batch in batches:
-            for at, data, offsets in K.slices(batch.column(0)):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            for at, texts in _slices(batch):
                 langs, share = scorer.score(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(share)], names=["_carry", "lang_pred", "score"])
 
     return run
 
 
+def _ask(model):
+    """Rows of two kinds: texts with the sums over the words of the head, and the other words that a slice asks for."""
+    names = ["_slice", "_row", "_carry", "words", "sums", "word", "rows", "times"]
+
+    def run(batches):
+        scorer = _scorer(model)
+        for batch in batches:
+            for at, texts in _slices(batch):
+                counts, sums, asked, at_text, at_word = scorer.sums(texts)
+                rows, n, name = len(texts), len(asked), secrets.randbits(62)
+                carry, lists = batch.column(1).slice(at, rows), pa.list_(pa.int32())
+                ends = pa.array((np.arange(rows + 1) * sums.shape[1]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name)), pa.array(np.arange(rows, dtype=np.int32)), carry, pa.array(counts), pa.ListArray.from_arrays(ends, pa.array(sums.ravel())), pa.nulls(rows, pa.string()), pa.nulls(rows, lists), pa.nulls(rows, lists)], names=names)
+                pair, times = np.unique(at_word * rows + at_text, return_counts=True)
+                ends = pa.array(np.searchsorted(pair // rows, np.arange(n + 1)).astype(np.int32))
+                which, often = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % rows, times))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, pa.int32()), pa.nulls(n, carry.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float64())), pa.array(asked, pa.string()), which, often], names=names)
+
+    return run
+
+
+def _look_up(asked: DataFrame, langs: list[str], rest) -> DataFrame:
+    """``word`` and ``scores`` of the distinct words asked for, from the table of all units."""
+    units, totals = rest
+    n_langs = len(langs)
+
+    def logs(size: int):
+        total, floor = totals[size]
+        parts = [F.log(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))) / t, F.lit(floor))) for x, t in zip(langs, total)]
+        return F.array(*parts).alias("scores")
+
+    def table(size: int) -> DataFrame:
+        return units.where(F.col("size") == size).groupBy("unit").agg(logs(size))
+
+    words = write_table(asked.select("word").distinct(), "asked")
+    found = write_table(words.join(table(0).withColumnRenamed("unit", "word"), "word"), "known")
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    open_ = words.join(found, "word", "left_anti")
+    spots = None
+
+    def all_of(k):
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, k))
+
+    for k in range(1, MAX_GRAM + 1):
+        grams = open_.where(F.length(padded) >= k).select("word", F.explode(all_of(k)).alias("unit"))
+        part = grams.groupBy("word", "unit").agg(F.count("*").alias("times")).join(table(k), "unit")
+        sums = [(F.sum(F.col("scores")[i] * F.col("times")) / F.sum("times")) for i in range(n_langs)]
+        part = part.groupBy("word").agg(F.array(*sums).alias("scores")).withColumn("size", F.lit(k))
+        spots = part if spots is None else spots.union(part)
+    return found.select("word", "scores").union(spots.groupBy("word").agg(F.max_by("scores", "size").alias("scores")))
+
+
+def _add(n_langs: int):
+    """Sums of the scores of the words asked for, for the texts of a slice."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows, times, scores = (table.column(c).combine_chunks() for c in ("rows", "times", "scores"))
+        lengths, at = rows.value_lengths().to_numpy(), rows.flatten().to_numpy()
+        own = scores.flatten().to_numpy().reshape(-1, n_langs)
+        often = times.flatten().to_numpy()
+        sums = np.stack([np.bincount(at, np.repeat(own[:, i], lengths) * often) for i in range(n_langs)], axis=1)
+        ends = pa.array((np.arange(len(sums) + 1) * n_langs).astype(np.int32))
+        return pa.table({"_slice": pa.array(np.full(len(sums), table.column("_slice")[0].as_py())), "_row": pa.array(np.arange(len(sums), dtype=np.int32)), "more": pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))})
+
+    return run
+
+
+def _judge(model):
+    def run(batches):
+        scorer = _scorer(model)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            langs, share = scorer.judge(batch.column(1).to_numpy(), sums)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(share)], names=["_carry", "lang_pred", "score"])
+
+    return run
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``id_col``, the carried columns, ``lang_pred`` and ``score`` (0 to 1)."""
     import hashlib
 
-    name = hashlib.sha256(repr([model["langs"], [(k, t.tolist()) for k, t in model["units"]]]).encode()).hexdigest()
+    rest = model.get("rest")
+    small = {k: model[k] for k in ("langs", "units")}
+    name = hashlib.sha256(repr([rest is None, model["langs"], [(k, t.tolist()) for k, t in model["units"]]]).encode()).hexdigest()
     texts = keyed(docs, id_col, text_col, carry).select("_text", "_carry")
     kind = texts.schema["_carry"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((name, model))
-    return texts.mapInArrow(_predict(sent), f"_carry {kind}, lang_pred string, score double").select("_carry.*", "lang_pred", "score")
+    sent = docs.sparkSession.sparkContext.broadcast((name, small, rest is None))
+    out = f"_carry {kind}, lang_pred string, score double"
+    if rest is None:
+        return texts.mapInArrow(_predict(sent), out).select("_carry.*", "lang_pred", "score")
+    made = write_table(texts.mapInArrow(_ask(sent), f"_slice long, _row int, _carry {kind}, words long, sums array<double>, word string, rows array<int>, times array<int>"), "asking")
+    asked = made.where("word is not null").select("_slice", "word", "rows", "times")
+    more = asked.join(_look_up(asked, model["langs"], rest), "word").groupBy("_slice").applyInArrow(_add(len(model["langs"])), "_slice long, _row int, more array<double>")
+    summed = made.where("word is null").join(more, ["_slice", "_row"], "left")
+    both = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+    return summed.select("_carry", "words", both.alias("sums")).mapInArrow(_judge(sent), out).select("_carry.*", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,3 +43,15 @@ def test_defined_cases(spark):
     assert predict(df.limit(0), model).collect() == []
     nothing = learn(df.limit(0))
     assert {r["lang_pred"] for r in predict(df, nothing).collect()} == {UNKNOWN}
+
+
+def test_small_head_cuts_no_count(spark):
+    """With a head of a few units, words and n-grams beyond it count as they do with all units in the head."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    learned, df = docs.where("doc_id % 3 <> 1"), docs.union(spark.createDataFrame([(-1, None, "en"), (-2, "12", "en"), (-3, "xqzt жук " + "b" * 60, "en")], docs.schema))
+    whole, head = learn(learned, max_words=10**7, max_grams=10**7), learn(learned, max_words=40, max_grams=60)
+    assert whole["rest"] is None and head["rest"] is not None
+    full = dict(zip(*[whole["units"][0][0], whole["units"][0][1]]))
+    assert 0 < len(head["units"][0][0]) < len(full) and all(np.allclose(full[w], x) for w, x in zip(*head["units"][0]))
+    want, got = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(df, m).collect()} for m in (whole, head))
+    assert want.keys() == got.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
