@@ -80,7 +80,7 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
         return F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, k))
 
     spots = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.length(padded))), all_of))
-    grams = short.select("lang", "n", F.explode(spots).alias("unit")).where("trim(unit) <> ''").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    grams = words.select("lang", "n", F.explode(spots).alias("unit")).where("trim(unit) <> ''").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     units = short.select("lang", "unit", "n", F.lit(0).alias("size")).union(grams.select("lang", "unit", "n", F.length("unit").alias("size")))
     units = table_of_units = write_table(units, "units")
     gram_totals = {(r["lang"], r["size"]): r["n"] for r in units.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}

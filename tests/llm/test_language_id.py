@@ -55,3 +55,12 @@ def test_small_head_cuts_no_count(spark):
     assert 0 < len(head["units"][0][0]) < len(full) and all(np.allclose(full[w], x) for w, x in zip(*head["units"][0]))
     want, got = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(df, m).collect()} for m in (whole, head))
     assert want.keys() == got.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+
+
+def test_long_runs_give_ngrams(spark):
+    """A language of which only runs of more than LONG letters were seen wins by their n-grams; the runs are no words."""
+    df = spark.createDataFrame([(1, "กขคงจ" * 12, "th"), (2, "the cat and the dog", "en")], "doc_id long, text string, lang string")
+    model = learn(df)
+    assert "กขคง" in model["units"][4][0] and all(len(w) <= 40 for w in model["units"][0][0])
+    got = predict(spark.createDataFrame([(3, "ขคงจก" * 11), (4, "the dog")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {3: "th", 4: "en"}
