@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +14,12 @@ NO_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a folder beside the warehouse on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="pagewright-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagewright-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -33,6 +36,36 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a sieve: two megabytes, whatever the input.
+SIEVE_BITS = 24
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (a long) is in the one column of ``wanted``, and some others; null keys go.
+
+    A bitmap of ``1 << SIEVE_BITS`` slots is put together by partial aggregation and sent to the executors, so that most rows that a
+    join would drop never reach its shuffle. With more keys than slots more rows pass; which rows the join keeps is not changed.
+    """
+    spark = rows.sparkSession
+    slot = F.pmod(F.xxhash64(wanted.columns[0]), F.lit(1 << SIEVE_BITS))
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    if words.num_rows:
+        table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(table.tobytes())
+    names = rows.columns
+
+    def run(batches):
+        bits = np.frombuffer(sent.value, np.int64)
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            keep = (bits[at >> 6] >> (at & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(len(names))], names=names)
+
+    own = F.pmod(F.xxhash64(named(key)), F.lit(1 << SIEVE_BITS)).alias("_slot")
+    return rows.where(named(key).isNotNull()).select(*[named(c) for c in names], own).mapInArrow(run, rows.schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

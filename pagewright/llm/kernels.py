@@ -14,7 +14,8 @@ U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 SLICE_BYTES = 4 << 20
-_HASH_CHUNK = 1 << 20
+#: The low bytes of a piece that belong to a span, by their number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _POWERS: dict = {}
 
 SPACE_WORDS = np.ones(256, dtype=bool)
@@ -92,7 +93,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(rows, dtype=np.int64), self.counts)
-        self._hash = None
+        self._hash = self._eight = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -100,27 +101,69 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(self.data, self.starts, self.ends)
+            self._hash = self.hash_of()
         return self._hash
 
+    @property
+    def eight(self) -> np.ndarray:
+        """The eight bytes from each place on, as a view."""
+        if self._eight is None:
+            self._eight = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        return self._eight
+
+    def hash_of(self, seed: int = 0) -> np.ndarray:
+        return span_hash(self.eight, self.starts, self.ends, seed)
+
+
+def same_words(a: Words, x: np.ndarray, b: Words, y: np.ndarray) -> np.ndarray:
+    """Whether words ``x`` of ``a`` have the bytes of words ``y`` of ``b``."""
+    a_starts, b_starts = a.starts[x], b.starts[y]
+    sizes = a.ends[x] - a_starts
+    out = sizes == b.ends[y] - b_starts
+    at, open_ = 0, np.flatnonzero(out)
+    while len(open_):
+        mask = _MASKS[np.minimum(sizes[open_] - at, 8)]
+        same = ((a.eight[a_starts[open_] + at] ^ b.eight[b_starts[open_] + at]) & mask) == 0
+        out[open_[~same]] = False
+        at += 8
+        open_ = open_[same & (sizes[open_] > at)]
+    return out
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of byte spans that are in order and apart, a bounded piece of the bytes at a time."""
-    out = np.empty(len(starts), dtype=U)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + _HASH_CHUNK, side="right")))
-        stop = int(ends[to - 1])
-        up, down = powers(BYTE_BASE, stop - base + 1)
-        sums = np.zeros(stop - base + 1, dtype=U)
-        np.cumsum((data[base:stop].astype(U) + U(1)) * up[: stop - base], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
-        at = to
+
+def span_hash(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprints of byte spans of one byte or more (``eight``: see ``Words``): the mixed sum of their mixed eight-byte pieces, each with a key of its place.
+
+    The pieces go through ``mix`` one by one, so no arrangement of equal bytes can cancel out as in a polynomial; another
+    ``seed`` gives an independent fingerprint.
+    """
+    if not len(starts):
+        return np.zeros(0, U)
+    key = U((seed * 2 + 1) * WORD_BASE & ((1 << 64) - 1))
+    sizes = ends - starts
+    out = mix((eight[starts] & _MASKS[np.minimum(sizes, 8)]) + key) + sizes.astype(U)
+    long = np.flatnonzero(sizes > 8)
+    for a in range(0, len(long), step := 1 << 16):
+        part = long[a : a + step]
+        more = (sizes[part] - 1) >> 3
+        for b, c in _runs_of(more, 1 << 18):
+            some, count = part[b:c], more[b:c]
+            first = np.cumsum(count) - count
+            place = np.arange(int(count.sum())) - np.repeat(first, count) + 1
+            left = np.repeat(sizes[some], count) - 8 * place
+            piece = eight[np.repeat(starts[some], count) + 8 * place] & _MASKS[np.minimum(left, 8)]
+            out[some] += np.add.reduceat(mix(piece + key * (2 * place + 1).astype(U)), first)
     return mix(out)
 
 
+def _runs_of(counts: np.ndarray, most: int):
+    """Ranges of ``counts`` that sum up to about ``most``; a larger one stands alone."""
+    ends, at = np.cumsum(counts), 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def prefix_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and inverse powers, from which ``run_hash`` takes the hash of any run of words."""
     up, down = powers(WORD_BASE, len(h) + 1)

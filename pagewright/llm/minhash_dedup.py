@@ -1,24 +1,26 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-Each text is the set of its word shingles. Texts with equal sets fall into one class at once. A class keeps the ``K`` least
-hashes of its set (its sketch). Inverted lists of retained values propose overlaps; an estimate from the union of the two
-sketches filters them; the exact Jaccard similarity of the full sets verifies what is left. The verified links make groups.
-
-Which retained values are listed: two similar sets share at least ``t`` of their retained values, hence a shared one is among
-the ``n - t + 1`` rarest of the n that either shares with any class of like size (prefix filtering by one global order, rarest
-first); a class with fewer than t such values links to nothing. For sets of fewer than K shingles t is a certainty; for larger ones fewer than ``SHARED`` shared values have
-a probability below 1e-9 at similarity 0.8. The estimate's cut lies six standard deviations below 0.8.
-
-Links are sought in rounds. In the first ``STARS`` rounds each list compares its members with one of them, drawn by a hash (a
-star, linear in the list); as the draws differ from list to list, a large group of near copies becomes one. Then only members of
-a list that are still in different groups are compared with each other. Large groups of copies and near copies thus cost
-stars, and no list emits all its pairs: lists of up to ``SHORT`` members emit those that are apart, longer ones compare them
-block by block and emit links only. Lists carry a digest of 64 bins of four bits, so that pairs far from similar never leave
-the join. A long list of unlike texts with half of their sketch in common is still walked in full; rarest-first order makes
-such lists rare.
-
-Hot values: retained values are counted in a table of fixed size; those in an outstanding slot take the slot's count as
-their rank and skip the exact count, so that the exact count only meets values with few classes.
+Each text is the set of its word shingles. Texts with equal sets fall into one class at once; equality of sets is told by two
+independent 64-bit sums over the shingles' bytes. A class keeps the ``K`` least hashes of its set (its sketch). Inverted lists
+propose overlaps: a list stands under ``RUN`` retained values that follow each other in the sketch, so that texts which share
+only some common shingles rarely meet. An estimate from the union of the two sketches filters the pairs; the exact Jaccard
+similarity of the full sets, with the words of shared shingles compared byte by byte, verifies what is left. The verified
+links make groups.
+
+Why a list finds a pair: go through the union of two similar sets by rising hash. At most a fifth of it is in one set only, so
+at least one run of three shared shingles stands between them as soon as the union has six shingles (smaller unions: two, for
+which sets of up to five shingles have lists as well). That is certain as long as both sketches hold the union's part in
+question, that is up to a union of 104 shingles; above, all of the first 64 places of the union must be without such a run,
+which has the probability 1.3e-10 at similarity 0.8 and less above. The estimate loses a pair at similarity 0.8 with probability 6e-12.
+
+Links are sought in rounds. A list of two is a pair. In the first ``STARS`` rounds each longer list compares its members with one
+of them (a star, linear in the list): first with the least, which is often the same for many lists, then with one drawn by a hash
+for each list; a large group of near copies thus becomes one. Then only members of a list that are still in different groups
+are compared with each other: lists of up to ``SHORT`` members emit those pairs, longer ones compare them block by block and emit
+links only. A long list of unlike texts is walked in full.
+
+Skew: lists are counted with a map-side combine, members are dealt out by a join that splits hot lists, and only members of
+lists of three or more go into it (a bitmap of fixed size sieves them before the shuffle; where it is full, more rows pass).
 
 Defined cases: a null, empty or wordless text has the empty set, size 0, and is linked with nothing; a text with fewer words
 than a shingle is one shingle of its whole sequence; copies and repeated rows are one class; a null id stands behind all
@@ -31,30 +33,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import NO_ID, Masked, keyed, write_table
+from pagewright.llm._shared import NO_ID, Masked, keyed, sieve, write_table
 from pagewright.llm.components import components
 
-SKETCH = 48
-#: Retained values that two large similar sets have in common (see above), and the same for sets below SKETCH shingles.
-SHARED, SHARED_SMALL = 22, 36
-#: Bins, of 64, in which the digests of two similar sets may differ: six standard deviations above the 12.8 at similarity 0.8.
-DIFFER = 32
+SKETCH = 64
+#: Retained values in a row that make the key of a list, and the same for sets of up to ``TINY`` shingles beside it.
+RUN, RUN_TINY, TINY = 3, 2, 5
 STARS = 2
 #: Members up to which a list compares all that are still apart as pairs; longer lists do so in blocks of this many shingles.
 SHORT = 32
 BLOCK_SHINGLES = 200_000
-SLOT_BITS = 20
 #: Least estimate, in hundredths, that goes on to the exact check.
-CUT = 45
+CUT = 42
 LAST = (1 << 63) - 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
-    """For each row the sorted distinct 63-bit shingle hashes."""
-    words = K.Words(K.LOWER[data], offsets, K.SPACE_WORDS)
+def _sets(words: K.Words, width: int):
+    """For each row the sorted distinct 63-bit shingle hashes, and the first word of one occurrence of each."""
     h = words.hash
     n = max(0, len(h) - width + 1)
     grams = np.zeros(n, K.U)
@@ -63,156 +60,133 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
     grams = K.mix(grams) >> K.U(1)
     for first, count in zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True):
         if count >= width:
-            yield np.unique(grams[first : first + count - width + 1])
+            out, at = np.unique(grams[first : first + count - width + 1], return_index=True)
+            yield out, at + first
         elif count:  # the whole sequence, told apart from longer shingles by its length
             whole = K.U(count)
             with np.errstate(over="ignore"):
                 for x in h[first : first + count]:
                     whole = whole * K.U(K.BYTE_BASE) + x
-            yield K.mix(np.array([whole], K.U)) >> K.U(1)
+            yield K.mix(np.array([whole], K.U)) >> K.U(1), np.array([first])
         else:
-            yield h[:0]
+            yield h[:0], np.zeros(0, np.int64)
+
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> K.Words:
+    return K.Words(K.LOWER[data], offsets, K.SPACE_WORDS)
 
-def digest(s: np.ndarray) -> np.ndarray:
-    """64 bins by the low bits of the hashes, four bits of the least hash of each bin: four 64-bit numbers."""
-    bins, at = np.unique(s & K.U(63), return_index=True)
-    out = np.zeros(64, K.U)
-    out[bins.astype(np.int64)] = (s[at] >> K.U(6)) & K.U(15)
-    return (out.reshape(4, 16) << (np.arange(16, dtype=K.U) * K.U(4))).sum(axis=1, dtype=K.U).view(np.int64)
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
+    """For each row the sorted distinct 63-bit shingle hashes."""
+    for s, _ in _sets(_words(data, offsets), width):
+        yield s
 
 
 def _sketches(width: int):
     def run(batches):
         for batch in batches:
             for at, data, offsets in K.slices(batch.column(2)):
-                size, d1, d2, kept, codes = [], [], [], [], []
-                for s in shingle_sets(data, offsets, width):
+                words = _words(data, offsets)
+                other = words.hash_of(seed=1)
+                # a second hash of the shingle that starts at each word, of its words up to the width or the text's end
+                left = words.first[1:][words.row] - np.arange(len(words))
+                second = np.zeros(len(words), K.U)
+                for j in range(width):
+                    inside = left > j
+                    second[inside] = K.mix(second[inside] + other[np.flatnonzero(inside) + j])
+                size, d1, d2, kept = [], [], [], []
+                for s, spot in _sets(words, width):
                     size.append(len(s))
                     d1.append(int(K.mix(s + K.U(1)).sum(dtype=K.U).view(np.int64)))
-                    d2.append(int(K.mix(s ^ K.U(0x5851F42D4C957F2D)).sum(dtype=K.U).view(np.int64)))
+                    d2.append(int(second[spot].sum(dtype=K.U).view(np.int64)))
                     kept.append(s[:SKETCH].view(np.int64))
-                    codes.append(digest(s))
                 ends = np.append(0, np.cumsum([len(x) for x in kept])).astype(np.int32)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(codes)), 4).cast(pa.list_(pa.int64()))],
-                    names=["_k1", "_k2", "size", "d1", "d2", "sketch", "digest"],
-                )
+                rows = [batch.column(i).slice(at, len(size)) for i in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_k1", "_k2", "_carry", "size", "d1", "d2", "sketch"])
 
     return run
 
 
-def _outstanding(batches):
-    """Slots of retained values that stand out in this partition; slot -1 has the number of all values."""
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
+def _run_keys(batches):
+    """One row for each run of retained values: its hash and the node."""
     for batch in batches:
-        values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        counts += np.bincount(values >> (63 - SLOT_BITS), minlength=1 << SLOT_BITS)
-    high = np.flatnonzero(counts >= 4 * counts.mean() + 4)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(high, -1), pa.int64()), pa.array(np.append(counts[high], counts.sum()), pa.int64())], names=["slot", "n"])
-
-
-def _explode(levels):
-    """One row for each retained value, with the rank of its slot (0: not outstanding)."""
-
-    def run(batches):
-        table = np.zeros(1 << SLOT_BITS, np.int64)
-        slots, ranks = levels.value
-        table[np.frombuffer(slots, np.int64)] = np.frombuffer(ranks, np.int64)
-        for batch in batches:
-            node, size, sketch = batch.columns
-            values = sketch.flatten()
-            index = pa.array(np.repeat(np.arange(len(sketch)), np.diff(sketch.offsets.to_numpy())))
-            level = table[values.to_numpy(zero_copy_only=False) >> (63 - SLOT_BITS)]
-            yield pa.RecordBatch.from_arrays([values, pa.array(level), node.take(index), size.take(index)], names=["value", "level", "node", "size"])
-
-    return run
-
-
-def _postings(classes: DataFrame) -> DataFrame:
-    """The inverted lists: ``value``, ``node``, ``size``, ``digest`` of the rarest retained values of each class."""
-    spark = classes.sparkSession
-    found = {int(r["slot"]): int(r["n"]) for r in classes.select("sketch").mapInArrow(_outstanding, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
-    mean = found.pop(-1, 0) / (1 << SLOT_BITS)
-    hot = {s: n for s, n in found.items() if n >= 8 * mean + 8}
-    levels = spark.sparkContext.broadcast((np.array(list(hot), np.int64).tobytes(), np.array(list(hot.values()), np.int64).tobytes()))
-    node = classes.schema["node"].dataType.simpleString()
-    rows = classes.select("node", "size", "sketch").mapInArrow(_explode(levels), f"value long, level long, node {node}, size int")
-    # one exchange by value; hot values get a salt, they are not counted here
-    salt = F.when(F.col("level") > 0, F.pmod(F.xxhash64("node"), F.lit(1 << 20))).otherwise(F.lit(-1))
-    by_size = Window.partitionBy("value", "salt").orderBy("size")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sized = rows.withColumn("salt", salt).withColumns({"df": F.count("*").over(whole), "below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
-    partner = F.coalesce(_like_sizes(F.col("size"), F.col("below")), F.lit(False)) | F.coalesce(_like_sizes(F.col("size"), F.col("above")), F.lit(False))
-    rank = F.when(F.col("level") > 0, F.col("level")).otherwise(F.col("df"))
-    # a value that no class of like size shares cannot be among a pair's shared ones: it goes before the prefix is taken
-    useful = sized.where((F.col("level") > 0) | partner).select("node", "size", F.struct((F.col("level") > 0).alias("hot"), rank.alias("rank"), "value").alias("v"))
-    sure = F.when(F.col("size") < SKETCH, F.least(F.ceil(F.col("size") * 0.8), F.lit(SHARED_SMALL))).otherwise(F.lit(SHARED))
-    by_node = useful.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("v")).alias("vs"))
-    take = (F.size("vs") - sure + 1).cast("int")
-    few = by_node.where(take > 0).select("node", "size", F.slice("vs", 1, F.greatest(take, F.lit(1))).alias("vs"))
-    return few.join(classes.select("node", "digest"), "node").select("node", "size", "digest", F.explode("vs.value").alias("value"))
-
-
-def _like_sizes(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * 80)
-
-
-def _like_digests(a: str, b: str) -> Column:
-    """At most ``DIFFER`` of the 64 bins differ."""
-    bins = []
-    for i in range(4):
-        x = f"({a}[{i}] ^ {b}[{i}])"
-        any_bit = " | ".join([x, *(f"shiftrightunsigned({x}, {k})" for k in (1, 2, 3))])
-        bins.append(f"bit_count(({any_bit}) & {0x1111111111111111}L)")
-    return F.expr(f"{' + '.join(bins)} <= {DIFFER}")
-
-
-def _star(lists: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each list's head, by a hash of value and node, with the members of other groups."""
-    drawn = F.struct(F.xxhash64(F.lit(seed), "value", "node").alias("h"), "node", "size", "digest", "label")
-    head = lists.groupBy("value").agg(F.min(drawn).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    near = (F.col("label") != F.col("head.label")) & _like_sizes(F.col("size"), F.col("head.size")) & _like_digests("digest", "head.digest")
-    pairs = lists.join(head.select("value", "head"), "value").where(near)
-    return pairs.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
+        node, size, sketch = (batch.column(i).to_numpy(zero_copy_only=False) if i < 2 else batch.column(i) for i in range(3))
+        values, offsets = sketch.values.to_numpy().view(K.U), sketch.offsets.to_numpy()
+        row = np.repeat(np.arange(len(node)), np.diff(offsets))
+        values = values[offsets[0] : offsets[-1]]
+        place = np.arange(len(values))
+        keys, nodes = [], []
+        for run in (RUN, RUN_TINY):
+            n = max(0, len(values) - run + 1)
+            whole = (row[:n] == row[run - 1 :][:n]) & ((run == RUN) | (size[row[:n]] <= TINY))
+            at = place[:n][whole]
+            key = np.full(len(at), run, K.U)
+            for j in range(run):
+                key = K.mix(key * K.U(K.WORD_BASE) + values[at + j])
+            keys.append(key)
+            nodes.append(node[row[at]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+
+def _lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs from lists of two, and the members (``key``, ``node``) of longer lists with the least of them (``lo``) and their number."""
+    rows = classes.where(F.size("sketch") >= RUN_TINY).select("node", "size", "sketch").mapInArrow(_run_keys, "key long, node long")
+    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    heads = write_table(heads.where("n > 1"), "heads")
+    long = heads.where("n > 2").select("key", "n", "lo")
+    members = write_table(sieve(rows, "key", long.select("key")).join(long, "key"), "lists")
+    return heads.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v")), members
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _star(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each list's head with the members of other groups: the least member, in later turns one drawn by a hash."""
+    if turn == 0:
+        return lists.where("node <> lo").select(*_pair("lo", "node"))
+    drawn = F.xxhash64(F.lit(turn), "key", "node")
+    head = lists.groupBy("key").agg(F.min_by("node", drawn).alias("head"), F.min_by("label", drawn).alias("head_label"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return lists.join(head.select("key", "head", "head_label"), "key").where("label <> head_label").select(*_pair("head", "node"))
 
 
 def _across(lists: DataFrame) -> DataFrame:
     """Pairs of members of a list of at most ``SHORT`` that are still in different groups."""
-    mixed = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    rows = lists.join(mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") <= SHORT)).select("value"), "value")
-    x, y = (rows.select("value", *[F.col(c).alias(f"{c}{k}") for c in ("node", "size", "digest", "label")]) for k in (1, 2))
-    near = (F.col("label1") < F.col("label2")) & _like_sizes(F.col("size1"), F.col("size2")) & _like_digests("digest1", "digest2")
-    pairs = x.join(y, (x["value"] == y["value"]) & near)
-    return pairs.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+    mixed = lists.where(F.col("n") <= SHORT).groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    rows = lists.join(mixed.select("key"), "key")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "label")]) for k in (1, 2))
+    return x.join(y, (x["key"] == y["key"]) & (F.col("label1") < F.col("label2"))).select(*_pair("node1", "node2"))
 
 
-def _long_lists(lists: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Exact links between members of longer lists that are still in different groups.
+def _long_lists(lists: DataFrame, classes: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """Links between members of longer lists that are still in different groups, by the hashes of their full sets.
 
     A list is cut into blocks of about ``BLOCK_SHINGLES`` shingles; each two blocks meet in a group of their own, where the
     full sets are compared without any pair being emitted but links.
     """
-    lists = lists.select("value", "node", "size", "label")
-    long = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("total"))
-    long = long.where((F.col("lo") != F.col("hi")) & (F.col("n") > SHORT)).select("value", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    rows = lists.join(long, "value").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    lists = lists.where(F.col("n") > SHORT).select("key", "node", "label")
+    mixed = lists.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    lists = write_table(lists.join(mixed, "key"), "long")
+    if lists.isEmpty():
+        return lists.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    some = write_table(_texts_of(lists.select("node").distinct(), classes, own).join(classes.select("node", "size"), "node"), "texts")
+    sized = write_table(lists.join(some.select("node", "size"), "node"), "sized")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("value", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label")
-    rows = write_table(rows, "blocks")
-    some = write_table(texts.join(rows.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
-    node = some.schema["node"].dataType.simpleString()
-    return rows.join(some, "node").groupBy("value", "b1", "b2").applyInArrow(_compare(width), f"u {node}, v {node}").distinct()
+    rows = rows.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label")
+    return rows.join(some.select("node", "_text"), "node").groupBy("key", "b1", "b2").applyInArrow(_compare(width), "u long, v long")
 
 
 def _compare(width: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda name: table.column(name).combine_chunks() if table.num_rows else pa.array([])
-        nodes, blocks = column("node"), np.asarray(column("block"))
+        nodes, blocks, labels = (np.asarray(column(c)) for c in ("node", "block", "label"))
         across = table.column("b1")[0].as_py() != table.column("b2")[0].as_py()
-        labels = np.unique([f"{x['a']},{x['b']}" for x in column("label").to_pylist()], return_inverse=True)[1]
+        group = np.unique(labels, return_inverse=True)[1]
         sets = [s for _, data, off in K.slices(column("_text")) for s in shingle_sets(data, off, width)]
         sizes = np.array([len(s) for s in sets])
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -220,95 +194,139 @@ def _compare(width: int):
         mark = np.zeros(len(codes) + 1, np.int32)
         u, v = [], []
         # members of the commonest group need no search of their own: the others find them
-        for x in np.flatnonzero(labels != np.bincount(labels).argmax()):
+        for x in np.flatnonzero(group != np.bincount(group).argmax()):
             mine = codes[first[x] : first[x] + sizes[x]]
             mark[mine] = 1
             both = np.add.reduceat(mark[codes], first)
             mark[mine] = 0
-            linked = (labels != labels[x]) & (100 * both >= 80 * (sizes + sizes[x] - both))
+            linked = (group != group[x]) & (100 * both >= 80 * (sizes + sizes[x] - both))
             if across:
                 linked &= blocks != blocks[x]
             for y in np.flatnonzero(linked):
-                u.append(x)
-                v.append(y)
-        return pa.table({"u": nodes.take(pa.array(u, pa.int64())), "v": nodes.take(pa.array(v, pa.int64()))})
+                u.append(min(nodes[x], nodes[y]))
+                v.append(max(nodes[x], nodes[y]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose similarity, as estimated from the union of their sketches, reaches the cut."""
-    a = classes.select(F.col("node").alias("u"), F.col("sketch").alias("su"))
-    b = classes.select(F.col("node").alias("v"), F.col("sketch").alias("sv"))
-    union = F.slice(F.array_sort(F.array_union("su", "sv")), 1, SKETCH)
-    both = pairs.join(a, "u").join(b, "v").withColumn("least", union)
-    return both.where(F.size(F.array_intersect(F.array_intersect("least", "su"), F.col("sv"))) * 100 >= F.size("least") * CUT).select("u", "v")
+    """Pairs of like size whose similarity, as estimated from the union of their sketches, reaches the cut."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    some = write_table(sieve(classes.select("node", "size", "sketch"), "node", nodes), "some")
+    a = some.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("sketch").alias("su"))
+    b = some.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("sketch").alias("sv"))
+    both = pairs.join(a, "u").join(b, "v").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * 80)
+    return both.select("u", "v", "su", "sv").mapInArrow(_overlap, "u long, v long")
+
+
+def _overlap(batches):
+    for batch in batches:
+        left, right = batch.column(2), batch.column(3)
+        keep = []
+        for i in range(batch.num_rows):
+            a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
+            union = np.union1d(a, b)[:SKETCH]
+            shared = np.intersect1d(a, b, assume_unique=True)
+            keep.append(100 * np.searchsorted(shared, union[-1], side="right") >= CUT * len(union))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
 
 def _verify(width: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            left, right = ([s for _, data, off in K.slices(batch.column(i)) for s in shingle_sets(data, off, width)] for i in (2, 3))
-            for a, b in zip(left, right, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+            rows = batch.num_rows
+            keep = np.zeros(rows, bool)
+            sides = [[(words, *found) for _, data, off in K.slices(batch.column(i)) for words in [_words(data, off)] for found in _sets(words, width)] for i in (2, 3)]
+            for i, ((left, a, at_a), (right, b, at_b)) in enumerate(zip(*sides, strict=True)):
+                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                need = len(a) + len(b)
+                if 100 * len(x) < 80 * (need - len(x)):
+                    continue
+                x, y = at_a[x], at_b[y]
+                same = np.ones(len(x), bool)
+                # a set of less words than a shingle is one sequence, which both have whole
+                for j in range(min(width, left.counts[left.row[x[0]]], right.counts[right.row[y[0]]])):
+                    same &= K.same_words(left, x + j, right, y + j)
+                both = int(same.sum())
+                keep[i] = 100 * both >= 80 * (need - both)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs with an exact Jaccard similarity of 0.8 or more. Only texts of such pairs go on from the scan."""
+def _texts_of(nodes: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """``node`` and ``_text`` of classes; of the documents' texts only theirs (and few others) leave the scan."""
+    want = write_table(classes.select("node", "least").join(nodes, "node").select("node", F.col("least.a").alias("_a"), F.col("least.b").alias("_b")), "want")
+    some = sieve(own, "_b", want.select("_b"))
+    return some.join(want, ["_a", "_b"]).dropDuplicates(["node"]).select("node", "_text")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """Pairs with an exact Jaccard similarity of 0.8 or more."""
     pairs = write_table(pairs, "candidates")
     need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    some = write_table(texts.join(need, "node").dropDuplicates(["node"]), "texts")
+    some = write_table(_texts_of(need, classes, own), "texts")
     a = some.select(F.col("node").alias("u"), F.col("_text").alias("tu"))
     b = some.select(F.col("node").alias("v"), F.col("_text").alias("tv"))
-    node = some.schema["node"].dataType.simpleString()
-    return write_table(pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(_verify(width), f"u {node}, v {node}"), "links")
+    return write_table(pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(_verify(width), "u long, v long"), "links")
+
 
+def _first_id(k1: str = "_k1") -> Column:
+    """The id as it is compared: null behind all others."""
+    return F.when(F.col(k1) == NO_ID, F.lit(LAST)).otherwise(F.col(k1))
 
-def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
-    """One row per document: ``_carry``, ``node`` (id, nulls last, and fingerprint of the text), ``size`` and ``label``, the least node of its group."""
-    texts = keyed(docs, id_col, text_col, carry)
-    first = F.when(F.col("_k1") == NO_ID, F.lit(LAST)).otherwise(F.col("_k1"))
-    made = texts.select("_k1", "_k2", "_text").mapInArrow(_sketches(width), "_k1 long, _k2 long, size int, d1 long, d2 long, sketch array<bigint>, digest array<bigint>")
-    made = write_table(made.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "size", "d1", "d2", "sketch", "digest"), "sketches")
-    filled = made.where("size > 0")
-    classes = write_table(filled.groupBy("size", "d1", "d2").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest")), "classes")
-    lists = write_table(_postings(classes), "lists")
-    own = texts.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "_text")
+
+def _grouped(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (``_k1``, ``_k2``, ``_carry``, ``size``, ``d1``, ``d2``) and the classes of equal sets (``d1``, ``d2``, ``first``).
+
+    ``first`` is the least document of the class's group: its id, nulls last, and the fingerprint of its text. Texts without
+    words are in no class.
+    """
+    carry = texts.schema["_carry"].dataType.simpleString()
+    made = texts.select("_k1", "_k2", "_text", "_carry").mapInArrow(_sketches(width), f"_k1 long, _k2 long, _carry {carry}, size int, d1 long, d2 long, sketch array<bigint>")
+    made = write_table(made, "sketches")
+    least = F.min(F.struct(_first_id().alias("a"), F.col("_k2").alias("b"))).alias("least")
+    classes = made.where("size > 0").groupBy("d1", "d2").agg(least, F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    # a written number is stable: whatever is read later has it
+    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = texts.select(_first_id().alias("_a"), F.col("_k2").alias("_b"), "_text")
+    twos, lists = _lists(classes)
 
     groups = links = judged = None
-    # stars until they find nothing new, at most STARS of them; then what is still apart
+    # stars, then what is still apart
     for turn in range(STARS + 1):
         labelled = lists.withColumn("label", F.col("node"))
         if groups is not None:
             labelled = write_table(lists.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
         pairs = _star(labelled, turn) if turn < STARS else _across(labelled)
+        pairs = (pairs if judged is not None else pairs.union(twos)).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["u", "v"], "left_anti")
         pairs = write_table(pairs, "pairs")
-        found = _verified(_estimated(pairs, classes), own, width)
+        close = _estimated(pairs, classes)
         if turn == STARS:
-            found = write_table(found.union(_long_lists(labelled, own, width)), "links")
+            close = close.union(_long_lists(labelled, classes, own, width)).distinct()
+        found = _verified(close, classes, own, width)
         judged = pairs if judged is None else judged.union(pairs)
         links = found if links is None else links.union(found)
-        if turn == 0 or not found.isEmpty():
+        if groups is None or not found.isEmpty():
             groups = write_table(components(links), "groups")
 
-    node_of = classes.select("size", "d1", "d2", F.col("node").alias("rep"))
-    of_class = node_of.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select("size", "d1", "d2", F.coalesce("label", "rep").alias("label"))
-    per_doc = made.join(of_class, ["size", "d1", "d2"], "left").select("node", "size", F.coalesce(F.col("label"), F.col("node")).alias("label")).dropDuplicates(["node"])
-    named_docs = texts.select(F.struct(first.alias("a"), F.col("_k2").alias("b")).alias("node"), "_carry")
-    return named_docs.join(per_doc, "node", "left")
+    linked = classes.select("d1", "d2", "least", "node").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = linked.groupBy("label").agg(F.min("least").alias("first"))
+    return made, write_table(linked.join(first, "label").select("d1", "d2", "first"), "members")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``id_col``, the carried columns, ``n_shingles`` and ``component_id`` (least id of its group)."""
-    least = F.col("label")["a"]
-    return _grouped(docs, width, id_col, text_col, carry).select("_carry.*", F.col("size").cast("long").alias("n_shingles"), F.when(least != LAST, least).alias("component_id"))
+    made, members = _grouped(keyed(docs, id_col, text_col, carry), width)
+    of = members.select("d1", "d2", F.col("first.a").alias("least"))
+    out = made.select("_k1", "_carry", "size", "d1", "d2").join(of, ["d1", "d2"], "left")
+    least = F.when(F.col("size") == 0, _first_id()).otherwise(F.col("least"))
+    return out.select("_carry.*", F.col("size").cast("long").alias("n_shingles"), F.when(least != LAST, least).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,8 +336,11 @@ def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col
     the one with the least fingerprint of all columns, maps aside. A text without words has no duplicates, its rows all stay.
     """
     m = Masked(docs, id_col, text_col)
-    least = _grouped(m.docs, width, m.id, m.text, m.columns).where("node = label")
+    made, members = _grouped(keyed(m.docs, m.id, m.text), width)
+    named_rows = keyed(m.docs, m.id, m.text, m.columns).select(_first_id().alias("a"), F.col("_k2").alias("b"), "_carry")
+    firsts = members.select("first.*").distinct().withColumn("own", F.lit(False))
+    wordless = made.where("size = 0").select(_first_id().alias("a"), F.col("_k2").alias("b")).distinct().withColumn("own", F.lit(True))
+    rows = named_rows.join(firsts.union(wordless), ["a", "b"])
     plain = [F.col(f"_carry.{c}") for c, kind in m.docs.dtypes if "map<" not in kind and "variant" not in kind]
-    own = F.when(F.col("size") == 0, F.monotonically_increasing_id())
-    rows = least.select("node", own.alias("own"), F.xxhash64(*plain).alias("order"), "_carry")
-    return m.back(rows.groupBy("node", "own").agg(F.min_by("_carry", "order").alias("_carry")).select("_carry.*"))
+    rows = rows.select("a", "b", F.when(F.col("own"), F.monotonically_increasing_id()).alias("own"), F.xxhash64(*plain).alias("order"), "_carry")
+    return m.back(rows.groupBy("a", "b", "own").agg(F.min_by("_carry", "order").alias("_carry")).select("_carry.*"))

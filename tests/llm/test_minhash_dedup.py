@@ -109,3 +109,31 @@ def test_keep_first_keeps_one_row_of_a_group(spark):
     assert sorted(str(r[:2]) for r in got if (r[1] or "").strip() and r[0] != 2) == sorted([str((1, "a b c d e f")), str((None, alone)), str((7, other))])
     assert [r[0] for r in got if r[1] in (near, also)] == [2]
     assert sorted((r for r in got if not (r[1] or "").strip()), key=str) == sorted(rows[-4:], key=str)
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_differ_in_the_order_of_their_bytes(spark):
+    """Words whose bytes cancel out in a polynomial hash modulo 2**64 are not the same word."""
+    x, y = thue_morse(10)
+    rows = [(1, x), (2, y), (3, f"{x} {y} {x}"), (4, f"{y} {x} {y}"), (5, x)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates(df, 2).collect()) == [(1, 1, 1), (2, 1, 2), (3, 2, 3), (4, 2, 3), (5, 1, 1)]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    words = [f"t{r.randrange(3000)}" for _ in range(60_000)]
+    near, far = list(words), list(words)
+    for _ in range(2_000):
+        near[r.randrange(len(near))] = "n"
+    for _ in range(12_000):
+        far[r.randrange(len(far))] = f"f{r.randrange(3000)}"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "q" * 3_000_000), (5, "q" * 3_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(df, 2).collect()) == brute(rows, 2)
