@@ -145,7 +145,7 @@ def span_hash(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     for a in range(0, len(long), step := 1 << 16):
         part = long[a : a + step]
         more = (sizes[part] - 1) >> 3
-        for b, c in _runs_of(more, 1 << 18):
+        for b, c in runs_of(more, 1 << 18):
             some, count = part[b:c], more[b:c]
             first = np.cumsum(count) - count
             place = np.arange(int(count.sum())) - np.repeat(first, count) + 1
@@ -155,7 +155,7 @@ def span_hash(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix(out)
 
 
-def _runs_of(counts: np.ndarray, most: int):
+def runs_of(counts: np.ndarray, most: int):
     """Ranges of ``counts`` that sum up to about ``most``; a larger one stands alone."""
     ends, at = np.cumsum(counts), 0
     while at < len(counts):

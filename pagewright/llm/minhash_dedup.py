@@ -233,25 +233,30 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
 
+def _confirmed(left: K.Words, right: K.Words, a: tuple, b: tuple, width: int) -> bool:
+    """Whether two sets, each with the first words of its shingles, have a similarity of 0.8 or more."""
+    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    total = len(a[0]) + len(b[0])
+    if not len(x) or 100 * len(x) < 80 * (total - len(x)):
+        return False
+    x, y = a[1][x], b[1][y]
+    same = np.ones(len(x), bool)
+    # a text of fewer words than a shingle is one sequence
+    for j in range(min(width, left.counts[left.row[x[0]]], right.counts[right.row[y[0]]])):
+        same &= K.same_words(left, x + j, right, y + j)
+    both = int(same.sum())
+    return 100 * both >= 80 * (total - both)
+
+
 def _verify(width: int):
     def run(batches):
         for batch in batches:
-            rows = batch.num_rows
-            keep = np.zeros(rows, bool)
-            sides = [[(words, *found) for _, data, off in K.slices(batch.column(i)) for words in [_words(data, off)] for found in _sets(words, width)] for i in (2, 3)]
-            for i, ((left, a, at_a), (right, b, at_b)) in enumerate(zip(*sides, strict=True)):
-                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                need = len(a) + len(b)
-                if 100 * len(x) < 80 * (need - len(x)):
-                    continue
-                x, y = at_a[x], at_b[y]
-                same = np.ones(len(x), bool)
-                # a set of less words than a shingle is one sequence, which both have whole
-                for j in range(min(width, left.counts[left.row[x[0]]], right.counts[right.row[y[0]]])):
-                    same &= K.same_words(left, x + j, right, y + j)
-                both = int(same.sum())
-                keep[i] = 100 * both >= 80 * (need - both)
-            mask = pa.array(keep)
+            keep = []
+            columns = [K.column_buffers(batch.column(i)) for i in (2, 3)]
+            for at, to in K.runs_of(sum(np.diff(ends) for _, ends in columns), K.SLICE_BYTES):
+                left, right = (_words(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]) for data, ends in columns)
+                keep += [_confirmed(left, right, a, b, width) for a, b in zip(_sets(left, width), _sets(right, width), strict=True)]
+            mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
     return run
