@@ -40,8 +40,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 SIEVE_BITS = 24
 
 
-def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``key`` (a long) is in the one column of ``wanted``, and some others; null keys go.
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose ``key`` (a long, not null) is in the one column of ``wanted``, and some others; or else the rest of the rows.
 
     A bitmap of ``1 << SIEVE_BITS`` slots is put together by partial aggregation and sent to the executors, so that most rows that a
     join would drop never reach its shuffle. With more keys than slots more rows pass; which rows the join keeps is not changed.
@@ -59,11 +59,17 @@ def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         bits = np.frombuffer(sent.value, np.int64)
         for batch in batches:
             at = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            keep = (bits[at >> 6] >> (at & 63)) & 1 == 1
+            keep = ((bits[at >> 6] >> (at & 63)) & 1 == 1) == inside
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(len(names))], names=names)
 
     own = F.pmod(F.xxhash64(named(key)), F.lit(1 << SIEVE_BITS)).alias("_slot")
-    return rows.where(named(key).isNotNull()).select(*[named(c) for c in names], own).mapInArrow(run, rows.schema)
+    return rows.select(*[named(c) for c in names], own).mapInArrow(run, rows.schema)
+
+
+def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows (``_k1``, ``_k2`` and others) whose two keys are not in ``bad``; only rows that may be in it are shuffled."""
+    fingers = bad.select("_k2")
+    return sieve(rows, "_k2", fingers, inside=False).union(sieve(rows, "_k2", fingers).join(bad, ["_k1", "_k2"], "left_anti").select(*rows.columns))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -4,22 +4,23 @@ Training counts words per language over all labelled rows given (a map-side comb
 n-grams of every length up to ``MAX_GRAM``, words being padded with a blank on both sides. A known word scores by its log
 frequency in each language. For an unseen word the longest n-grams are tried first: at the first length at which the model
 knows any of them, the mean log frequency of the known ones is the word's score. The text's scores are sums over its words;
-the answer is the best language and its share after softmax of the mean per word, scaled by the square root of the number of words.
+the answer is the best language and its share after softmax of the sum divided by the square root of the number of words.
 
-The whole tables of words and n-grams stand in the shared folder and grow with the rows. A head of them is broadcast: the
-``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of each length of each language, at most
-``MAX_LANGS`` languages, each with its true counts in all languages. Where the head is not the whole, a word outside it is
-looked up in the tables by joins: first as a word, then by its n-grams; a slice of texts asks for each such word once. So the
-bound is one of the broadcast only, and no count is cut.
+The whole tables of words and n-grams stand in the shared folder and grow with the rows. A head of each, the most frequent
+units with their true counts in all languages, is broadcast; it has at most ``MAX_CELLS`` numbers (units times languages, at
+most ``MAX_LANGS`` languages). A word outside the head first scores by its n-grams; if the table of words has it, the difference
+between its own score and that one is added by a join. Where the n-grams are more than the head holds, words outside the head
+meet the tables of words and n-grams in joins. So the bound is one of the broadcast only, and no count is cut.
 
 Words are runs of letters (Unicode category L, with combining marks), in lower case. Defined cases: a null text, or one
 without a letter, is ``und`` with score 0; so is every text if nothing was learned; ties go to the first language in
 alphabetic order; rows with a null language are not learned from; repeated rows count as often as they stand there; an empty
-table gives an empty result; other columns are not looked at. Words longer than ``LONG`` characters score by their n-grams only.
+table gives an empty result; other columns are not looked at; words of any length are learned and looked up.
 """
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 
 import numpy as np
@@ -29,51 +30,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import Masked, keyed, named, write_table
+from pagewright.llm._shared import Masked, keyed, named, without, write_table
 
 MAX_GRAM = 4
-MAX_WORDS = 20_000
-MAX_GRAMS = 10_000
+MAX_CELLS = 1 << 21
 MAX_LANGS = 200
-LONG = 40
 WORD = r"\p{L}[\p{L}\p{M}]*"
 UNKNOWN = "und"
-MEMO = 500_000
+#: Words kept by a worker, in numbers (words times languages), and words looked up at a time.
+MEMO_CELLS = 1 << 20
+STEP_CELLS = 1 << 20
 
 
-def _cut(units: DataFrame, most: dict[int, int]) -> DataFrame:
-    """The most frequent units of each language and size, as many whole frequency classes as fit, with their counts in all languages.
+def _head(units: DataFrame, most: int) -> tuple[pa.Table, bool]:
+    """``lang``, ``unit``, ``n``, ``size`` of the most frequent units, as many whole frequency classes as fit into ``most`` units; whether those are all.
 
-    Classes are eighths of powers of two, so a few hundred counts for each language and size say where to cut; no task
-    sees all units of a language.
+    Classes are eighths of powers of two of the count over all languages, so a few hundred counts say where to cut.
     """
-    spark = units.sparkSession
-    binned = units.withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
-    sizes = binned.groupBy("lang", "size", "class").agg(F.count("*").alias("units")).orderBy("lang", "size", F.desc("class")).collect()
-    least: dict = {}
-    room: dict = {}
-    for r in sizes:
-        key = r["lang"], r["size"]
-        room[key] = room.get(key, most[r["size"]]) - r["units"]
-        if room[key] >= 0:
-            least[key] = r["class"]
-    cuts = spark.createDataFrame([(a, b, c) for (a, b), c in least.items()], "lang string, size int, least int")
-    kept = binned.join(F.broadcast(cuts), ["lang", "size"]).where("class >= least").select("unit", "size").distinct()
-    return units.join(F.broadcast(kept), ["unit", "size"]).select("lang", "unit", "n", "size")
-
-
-def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
+    whole = units.groupBy("unit").agg(F.sum("n").alias("total")).withColumn("class", F.floor(F.log2("total") * 8).cast("int"))
+    whole = write_table(whole.select("unit", "class"), "classes")
+    room, least = most, None
+    for r in whole.groupBy("class").agg(F.count("*").alias("units")).orderBy(F.desc("class")).collect():
+        room -= r["units"]
+        if room < 0:
+            break
+        least = r["class"]
+    if least is None:
+        return units.limit(0).select("lang", "unit", "n", "size").toArrow(), room >= 0
+    if room < 0:
+        units = units.join(whole.where(F.col("class") >= least).select("unit"), "unit")
+    return units.select("lang", "unit", "n", "size").toArrow(), room >= 0
+
+
+def _fingerprints(words: list[str]) -> np.ndarray:
+    if not words:
+        return np.zeros(0, K.U)
+    raw = "\n".join(words).encode()
+    w = K.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _LINES)
+    return w.hash
+
+
+#: Any byte but the one between words.
+_LINES = np.ones(256, dtype=bool)
+_LINES[0x0A] = False
+
+
+def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_cells: int = MAX_CELLS) -> dict:
     """The model: languages, and log frequencies of a head of words and n-grams, small and on the driver.
 
-    ``rest`` is None where the head is all; else it has the table of all units and, by size, the totals of the languages.
+    ``words`` and ``grams`` are the whole tables where the head is not all, else None.
     """
     found = F.explode(F.regexp_extract_all(F.lower(named(text_col).cast("string")), F.lit(WORD), F.lit(0)))
     some = rows.where(named(lang_col).isNotNull()).select(named(lang_col).cast("string").alias("lang"), found.alias("unit"))
-    words = write_table(some.groupBy("lang", "unit").agg(F.count("*").alias("n")), "words")
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(totals) > MAX_LANGS:
+    words = write_table(some.groupBy("lang", "unit").agg(F.count("*").alias("n")).withColumn("size", F.lit(0)), "words")
+    of_lang = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(of_lang) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    short = words.where(F.length("unit") <= LONG)
     padded = F.concat(F.lit(" "), F.col("unit"), F.lit(" "))
 
     def all_of(k):
@@ -81,56 +93,69 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
 
     spots = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.length(padded))), all_of))
     grams = words.select("lang", "n", F.explode(spots).alias("unit")).where("trim(unit) <> ''").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-    units = short.select("lang", "unit", "n", F.lit(0).alias("size")).union(grams.select("lang", "unit", "n", F.length("unit").alias("size")))
-    units = table_of_units = write_table(units, "units")
-    gram_totals = {(r["lang"], r["size"]): r["n"] for r in units.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    distinct = units.select("unit", "size").distinct().count()
-    kept = _cut(units, {0: max_words} | dict.fromkeys(range(1, MAX_GRAM + 1), max_grams)).collect()
-    langs = sorted(totals)
-    at = {x: i for i, x in enumerate(langs)}
-    units: list[dict] = [{} for _ in range(MAX_GRAM + 1)]
-    for r in kept:
-        units[r["size"]].setdefault(r["unit"], {})[at[r["lang"]]] = r["n"]
-    model: dict = {"langs": langs, "units": [], "rest": None}
-    every = []
-    for size, known in enumerate(units):
-        total = np.array([max(1, totals[x] if size == 0 else gram_totals.get((x, size), 1)) for x in langs], float)
-        # half a count for what a language lacks, at one common scale, so that small languages gain nothing by their size
-        floor = 0.5 / total.max() if len(total) else 1.0
-        table = np.full((len(known), len(langs)), np.log(floor) if len(langs) else 0.0)
-        for row, counts in enumerate(known.values()):
-            for lang, n in counts.items():
-                table[row, lang] = np.log(n / total[lang])
-        model["units"].append((list(known), table))
-        every.append((total.tolist(), floor))
-    if sum(len(u) for u, _ in model["units"]) < distinct:
-        model["rest"] = table_of_units, every
-    return model
+    grams = write_table(grams.withColumn("size", F.length("unit")), "grams")
+    langs = sorted(of_lang)
+    totals = {(0, x): n for x, n in of_lang.items()}
+    for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
+        totals[r["size"], r["lang"]] = r["n"]
+    most = max_cells // max(1, len(langs))
+    # half a count for what a language lacks, at one common scale, so that small languages gain nothing by their size
+    total = np.array([[max(1, totals.get((k, x), 1)) for x in langs] for k in range(MAX_GRAM + 1)], float).reshape(MAX_GRAM + 1, len(langs))
+    floor = 0.5 / total.max(axis=1, initial=1)
+
+    def logs(table: pa.Table) -> tuple[list[str], np.ndarray]:
+        unit = table.column("unit").combine_chunks().dictionary_encode()
+        unit = unit.chunk(0) if isinstance(unit, pa.ChunkedArray) else unit
+        code, size, n = unit.indices.to_numpy(), table.column("size").to_numpy(), table.column("n").to_numpy()
+        lang = np.searchsorted(np.array(langs, object), np.array(table.column("lang").to_pylist(), object)) if len(code) else np.zeros(0, np.int64)
+        own_size = np.zeros(len(unit.dictionary), np.int64)
+        own_size[code] = size
+        out = np.repeat(np.log(floor[own_size])[:, None], len(langs), axis=1)
+        out[code, lang] = np.log(n / total[size, lang])
+        return unit.dictionary.to_pylist(), out
+
+    (top_words, all_words), (top_grams, all_grams) = (_head(t, most) for t in (words, grams))
+    (known, word_logs), (parts, gram_logs) = logs(top_words), logs(top_grams)
+    h = _fingerprints(known)
+    order = np.argsort(h)
+    return {
+        "langs": langs, "word_hash": h[order], "word_logs": word_logs[order], "grams": parts, "gram_logs": gram_logs,
+        "total": total, "floor": floor, "words_table": None if all_words else words, "grams_table": None if all_grams else grams,
+    }
 
 
 class Scorer:
-    def __init__(self, model: dict, whole: bool = True):
-        self.whole = whole
-        self.langs = model["langs"]
-        self.units = [(dict(zip(keys, range(len(keys)))), table) for keys, table in model["units"]]
+    def __init__(self, model: dict):
+        self.langs, self.hash, self.logs = model["langs"], model["word_hash"], model["word_logs"]
+        self.grams, self.gram_logs = dict(zip(model["grams"], range(len(model["grams"])))), model["gram_logs"]
         self.find = regex.compile(WORD)
+        self.most = MEMO_CELLS // max(1, len(self.langs))
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(self.langs)))
+        self.rows = np.zeros((0, len(self.langs)))
+        self.tail = np.zeros(0, bool)
 
-    def word(self, w: str) -> np.ndarray:
-        known, table = self.units[0]
-        if w in known:
-            return table[known[w]]
-        padded = f" {w} "
+    def by_grams(self, word: str) -> np.ndarray:
+        """The score of a word that is not known."""
+        padded, known = f" {word} ", self.grams
         for size in range(min(MAX_GRAM, len(padded)), 0, -1):
-            known, table = self.units[size]
             at = [known[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in known]
             if at:
-                return table[at].mean(axis=0)
+                return self.gram_logs[at].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        return self.judge(*self.sums(texts)[:2])
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words by the head, and which of them are not in the head of words."""
+        h = _fingerprints(words)
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        has = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
+        out = np.zeros((len(words), len(self.langs)))
+        out[has] = self.logs[at[has]]
+        for i in np.flatnonzero(~has).tolist():
+            out[i] = self.by_grams(words[i])
+        return out, ~has
 
     def judge(self, counts: np.ndarray, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and share of each text by its number of words and the sums of their scores."""
@@ -143,103 +168,123 @@ class Scorer:
         share = np.where(counts > 0, odds[np.arange(len(counts)), best] / odds.sum(axis=1), 0.0)
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), counts.tolist())], share
 
-    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """For each text the number of words and the sums of their scores; words to be asked for, and their texts and places in that list."""
-        words = [self.find.findall(t.lower()) for t in texts]
-        counts, sums = np.array([len(w) for w in words], np.int64), np.zeros((len(texts), len(self.langs)))
-        if not self.langs:
-            return counts, sums, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(self.memo) > MEMO:
-            self.memo, self.rows = {}, np.zeros((1 << 12, len(self.langs)))
-        for w in set().union(*words) - self.memo.keys():
-            if len(self.memo) == len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            known = self.whole or w in self.units[0][0]
-            self.rows[len(self.memo)] = self.word(w) if known else np.nan
-            self.memo[w] = len(self.memo)
-        get = self.memo.__getitem__
-        asked: dict[str, int] = {}
-        at_text, at_word = [], []
-        for k, w in enumerate(words):
-            if not w:
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """For each text the number of words and the sums of their scores; texts, words and times of those outside the head."""
+        counts, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
+        row, word, times = [], [], []
+        step = max(1, STEP_CELLS // max(1, len(self.langs)))
+        for k, text in enumerate(texts):
+            found = self.find.findall(text.lower())
+            counts[k] = len(found)
+            if not found or not self.langs:
                 continue
-            places = np.fromiter(map(get, w), np.int64, len(w))
-            own = self.rows[places]
-            if not self.whole and len(open_ := np.flatnonzero(np.isnan(own[:, 0]))):
-                own[open_] = 0
-                at_word += [asked.setdefault(w[i], len(asked)) for i in open_.tolist()]
-                at_text += [k] * len(open_)
-            sums[k] = own.sum(axis=0)
-        return counts, sums, list(asked), np.array(at_text, np.int64), np.array(at_word, np.int64)
+            for a in range(0, len(found), step):
+                part = found[a : a + step]
+                new = list(set(part) - self.memo.keys())
+                if new:
+                    if len(self.memo) + len(new) > self.most:
+                        self.forget()
+                        new = list(set(part))
+                    scores, tail = self.look_up(new)
+                    base = len(self.memo)
+                    if base + len(new) > len(self.rows):
+                        room = max(2 * base, base + len(new), 1 << 12)
+                        self.rows = np.concatenate([self.rows[:base], np.zeros((room - base, len(self.langs)))])
+                        self.tail = np.concatenate([self.tail[:base], np.zeros(room - base, bool)])
+                    self.rows[base : base + len(new)], self.tail[base : base + len(new)] = scores, tail
+                    self.memo.update(zip(new, range(base, base + len(new))))
+                places = np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))
+                sums[k] += self.rows[places].sum(axis=0)
+                outside = np.flatnonzero(self.tail[places])
+                if len(outside):
+                    _, first, n = np.unique(places[outside], return_index=True, return_counts=True)
+                    word += [part[i] for i in outside[first].tolist()]
+                    row += [k] * len(first)
+                    times += n.tolist()
+        return counts, sums, np.array(row, np.int32), word, np.array(times, np.int32)
 
 
 _LOADED: dict = {}
 
 
-def _scorer(model):
-    """The scorer of this process."""
-    name, tables, whole = model.value
+def _scorer(model) -> Scorer:
+    """The scorer of this process for this model."""
+    name, tables = model.value
     if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[name] = Scorer(tables, whole)
+        _LOADED[name] = Scorer(tables)
     return _LOADED[name]
 
 
-def _slices(batch):
-    for at, data, offsets in K.slices(batch.column(0)):
+def _slices(column: pa.Array):
+    for at, data, offsets in K.slices(column):
         raw = data.tobytes()
         yield at, [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)), pa.array(rows.ravel()))
+
+
 def _predict(model):
     def run(batches):
         scorer = _scorer(model)
         for batch in batches:
-            for at, texts in _slices(batch):
-                langs, share = scorer.score(texts)
+            for at, texts in _slices(batch.column(0)):
+                langs, share = scorer.judge(*scorer.sums(texts)[:2])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(share)], names=["_carry", "lang_pred", "score"])
 
     return run
 
 
 def _ask(model):
-    """Rows of two kinds: texts with the sums over the words of the head, and the other words that a slice asks for."""
-    names = ["_slice", "_row", "_carry", "words", "sums", "word", "rows", "times"]
+    """Rows of two kinds: texts with the sums by the head, and the words of a text outside the head."""
+    names = ["_slice", "_row", "_carry", "words", "sums", "word", "times"]
 
     def run(batches):
         scorer = _scorer(model)
         for batch in batches:
-            for at, texts in _slices(batch):
-                counts, sums, asked, at_text, at_word = scorer.sums(texts)
-                rows, n, name = len(texts), len(asked), secrets.randbits(62)
-                carry, lists = batch.column(1).slice(at, rows), pa.list_(pa.int32())
-                ends = pa.array((np.arange(rows + 1) * sums.shape[1]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name)), pa.array(np.arange(rows, dtype=np.int32)), carry, pa.array(counts), pa.ListArray.from_arrays(ends, pa.array(sums.ravel())), pa.nulls(rows, pa.string()), pa.nulls(rows, lists), pa.nulls(rows, lists)], names=names)
-                pair, times = np.unique(at_word * rows + at_text, return_counts=True)
-                ends = pa.array(np.searchsorted(pair // rows, np.arange(n + 1)).astype(np.int32))
-                which, often = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % rows, times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, pa.int32()), pa.nulls(n, carry.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float64())), pa.array(asked, pa.string()), which, often], names=names)
+            for at, texts in _slices(batch.column(0)):
+                counts, sums, row, word, times = scorer.sums(texts)
+                rows, n, name = len(texts), len(row), secrets.randbits(62)
+                carry = batch.column(1).slice(at, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name)), pa.array(np.arange(rows, dtype=np.int32)), carry, pa.array(counts), _lists(sums), pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int32())], names=names)
+                for a in range(0, n, 1 << 16):
+                    m = min(n - a, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, name)), pa.array(row[a : a + m]), pa.nulls(m, carry.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float64())), pa.array(word[a : a + m], pa.string()), pa.array(times[a : a + m])], names=names)
 
     return run
 
 
-def _look_up(asked: DataFrame, langs: list[str], rest) -> DataFrame:
-    """``word`` and ``scores`` of the distinct words asked for, from the table of all units."""
-    units, totals = rest
-    n_langs = len(langs)
+def _less_grams(model):
+    """The scores of known words less those by their n-grams, which the texts' sums already have."""
 
-    def logs(size: int):
-        total, floor = totals[size]
-        parts = [F.log(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))) / t, F.lit(floor))) for x, t in zip(langs, total)]
-        return F.array(*parts).alias("scores")
+    def run(batches):
+        scorer = _scorer(model)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if words:
+                own = batch.column(1).flatten().to_numpy().reshape(len(words), -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own - np.array([scorer.by_grams(w) for w in words]))], names=["word", "more"])
+
+    return run
 
-    def table(size: int) -> DataFrame:
-        return units.where(F.col("size") == size).groupBy("unit").agg(logs(size))
 
-    words = write_table(asked.select("word").distinct(), "asked")
-    found = write_table(words.join(table(0).withColumnRenamed("unit", "word"), "word"), "known")
+def _table(units: DataFrame, langs: list[str], total: np.ndarray, floor: np.ndarray, size: int) -> DataFrame:
+    """``unit`` and ``scores``, an array in the order of the languages, of all units of a size."""
+    parts = [F.log(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))) / float(t), F.lit(float(floor[size])))) for x, t in zip(langs, total[size])]
+    return units.where(F.col("size") == size).groupBy("unit").agg(F.array(*parts).alias("scores"))
+
+
+def _from_tables(asked: DataFrame, words: DataFrame, model: dict, sent) -> DataFrame:
+    """``word`` and ``more``: what the tables add to the score of a word outside the head."""
+    langs, total, floor = model["langs"], model["total"], model["floor"]
+    if model["grams_table"] is None:
+        return words.mapInArrow(_less_grams(sent), "word string, more array<double>")
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    open_ = words.join(found, "word", "left_anti")
+    asked = write_table(asked.select("word").distinct(), "asked")
+    words = write_table(asked.join(words, "word"), "known")
+    open_ = asked.join(words, "word", "left_anti")
     spots = None
 
     def all_of(k):
@@ -247,27 +292,12 @@ def _look_up(asked: DataFrame, langs: list[str], rest) -> DataFrame:
 
     for k in range(1, MAX_GRAM + 1):
         grams = open_.where(F.length(padded) >= k).select("word", F.explode(all_of(k)).alias("unit"))
-        part = grams.groupBy("word", "unit").agg(F.count("*").alias("times")).join(table(k), "unit")
-        sums = [(F.sum(F.col("scores")[i] * F.col("times")) / F.sum("times")) for i in range(n_langs)]
+        part = grams.groupBy("word", "unit").agg(F.count("*").alias("times")).join(_table(model["grams_table"], langs, total, floor, k), "unit")
+        sums = [(F.sum(F.col("scores")[i] * F.col("times")) / F.sum("times")) for i in range(len(langs))]
         part = part.groupBy("word").agg(F.array(*sums).alias("scores")).withColumn("size", F.lit(k))
         spots = part if spots is None else spots.union(part)
-    return found.select("word", "scores").union(spots.groupBy("word").agg(F.max_by("scores", "size").alias("scores")))
-
-
-def _add(n_langs: int):
-    """Sums of the scores of the words asked for, for the texts of a slice."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rows, times, scores = (table.column(c).combine_chunks() for c in ("rows", "times", "scores"))
-        lengths, at = rows.value_lengths().to_numpy(), rows.flatten().to_numpy()
-        own = scores.flatten().to_numpy().reshape(-1, n_langs)
-        often = times.flatten().to_numpy()
-        sums = np.stack([np.bincount(at, np.repeat(own[:, i], lengths) * often) for i in range(n_langs)], axis=1)
-        ends = pa.array((np.arange(len(sums) + 1) * n_langs).astype(np.int32))
-        return pa.table({"_slice": pa.array(np.full(len(sums), table.column("_slice")[0].as_py())), "_row": pa.array(np.arange(len(sums), dtype=np.int32)), "more": pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))})
-
-    return run
+    scores = words.union(spots.groupBy("word").agg(F.max_by("scores", "size").alias("scores")))
+    return scores.mapInArrow(_less_grams(sent), "word string, more array<double>")
 
 
 def _judge(model):
@@ -285,20 +315,25 @@ def _judge(model):
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``id_col``, the carried columns, ``lang_pred`` and ``score`` (0 to 1)."""
-    import hashlib
+    return _predicted(keyed(docs, id_col, text_col, carry), model)
+
 
-    rest = model.get("rest")
-    small = {k: model[k] for k in ("langs", "units")}
-    name = hashlib.sha256(repr([rest is None, model["langs"], [(k, t.tolist()) for k, t in model["units"]]]).encode()).hexdigest()
-    texts = keyed(docs, id_col, text_col, carry).select("_text", "_carry")
+def _predicted(texts: DataFrame, model: dict) -> DataFrame:
+    texts, langs = texts.select("_text", "_carry"), model["langs"]
     kind = texts.schema["_carry"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((name, small, rest is None))
+    small = {k: model[k] for k in ("langs", "word_hash", "word_logs", "grams", "gram_logs")}
+    name = hashlib.sha256(b"".join([repr(langs).encode(), small["word_hash"].tobytes(), small["word_logs"].tobytes(), "\n".join(small["grams"]).encode(), small["gram_logs"].tobytes()])).hexdigest()
+    sent = texts.sparkSession.sparkContext.broadcast((name, small))
     out = f"_carry {kind}, lang_pred string, score double"
-    if rest is None:
+    if not langs or (model["words_table"] is None and model["grams_table"] is None):
         return texts.mapInArrow(_predict(sent), out).select("_carry.*", "lang_pred", "score")
-    made = write_table(texts.mapInArrow(_ask(sent), f"_slice long, _row int, _carry {kind}, words long, sums array<double>, word string, rows array<int>, times array<int>"), "asking")
-    asked = made.where("word is not null").select("_slice", "word", "rows", "times")
-    more = asked.join(_look_up(asked, model["langs"], rest), "word").groupBy("_slice").applyInArrow(_add(len(model["langs"])), "_slice long, _row int, more array<double>")
+    made = write_table(texts.mapInArrow(_ask(sent), f"_slice long, _row int, _carry {kind}, words long, sums array<double>, word string, times int"), "asking")
+    asked = made.where("word is not null").select("_slice", "_row", "word", "times")
+    # the words of the head are never asked for; they need not be in the table here
+    table = model["words_table"]
+    words = _table(table, langs, model["total"], model["floor"], 0).select(F.col("unit").alias("word"), "scores") if table is not None else made.where("false").select("word", F.col("sums").alias("scores"))
+    joined = asked.join(_from_tables(asked, words, model, sent), "word")
+    more = joined.groupBy("_slice", "_row").agg(F.array(*[F.sum(F.col("more")[i] * F.col("times")) for i in range(len(langs))]).alias("more"))
     summed = made.where("word is null").join(more, ["_slice", "_row"], "left")
     both = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
     return summed.select("_carry", "words", both.alias("sums")).mapInArrow(_judge(sent), out).select("_carry.*", "lang_pred", "score")
@@ -307,5 +342,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, whose language is identified with a score of at least ``least``."""
     m = Masked(docs, id_col, text_col)
-    out = predict(m.docs, model, m.id, m.text, carry=m.columns)
-    return m.back(out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
+    texts = keyed(m.docs, m.id, m.text).select("_text", F.struct("_k1", "_k2").alias("_carry"))
+    bad = _predicted(texts, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("_k1", "_k2")
+    rows = keyed(m.docs, m.id, m.text, m.columns).select("_k1", "_k2", "_carry")
+    return m.back(without(rows, write_table(bad.distinct(), "rejected")).select("_carry.*"))

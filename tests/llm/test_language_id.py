@@ -1,6 +1,10 @@
+import math
+from collections import Counter
+
 import numpy as np
+import regex
 
-from pagewright.llm.language_id import UNKNOWN, Scorer, keep_identified, learn, predict
+from pagewright.llm.language_id import UNKNOWN, WORD, keep_identified, learn, predict
 from pagewright.llm.queries import op9_language_id
 
 ROWS = [(1, "The cat and the dog", "en", 0.1), (2, "le chat et le chien", "fr", 0.2), (3, "der Hund und die Katze", "de", None), (4, None, "en", 0.0), (5, "123 !?", "fr", 1.0), (6, "unlabelled text", None, 1.0)]
@@ -17,21 +21,67 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
-def test_counts_and_backoff(spark):
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    model = learn(df)
-    assert model["langs"] == ["de", "en", "fr"]
-    scorer = Scorer(model)
-    known, table = model["units"][0]
-    assert np.isclose(table[known.index("the"), 1], np.log(2 / 5)) and "unlabelled" not in known
-    bigrams, table = model["units"][2]
-    three, four = model["units"][3][0], model["units"][4][0]
-    word = "hux"  # unseen: its longest known parts decide
-    parts = [f" {word} "[i : i + 3] for i in range(3)]
-    assert not set(f" {word} "[i : i + 4] for i in range(2)) & set(four)
-    at = [three.index(p) for p in parts if p in three]
-    assert at and np.allclose(scorer.word(word), model["units"][3][1][at].mean(axis=0))
-    assert np.allclose(scorer.word("ж"), scorer.word("ж")) and len(scorer.word("ж")) == 3
+def brute_learn(rows):
+    """Plain counts: words and padded n-grams for each language."""
+    langs = sorted({lang for _, lang in rows if lang is not None and regex.search(WORD, (_ or "").lower())})
+    counts = [{x: Counter() for x in langs} for _ in range(5)]
+    for text, lang in rows:
+        if lang is None:
+            continue
+        for w in regex.findall(WORD, (text or "").lower()):
+            counts[0][lang][w] += 1
+            p = f" {w} "
+            for k in range(1, 5):
+                counts[k][lang].update(g for i in range(len(p) - k + 1) if (g := p[i : i + k]).strip())
+    return langs, counts
+
+
+def brute_predict(text, langs, counts):
+    words = regex.findall(WORD, (text or "").lower())
+    if not words or not langs:
+        return UNKNOWN, 0.0
+    totals = [[max(1, sum(c[x].values())) for x in langs] for c in counts]
+
+    def unit(k, u):
+        if not any(u in counts[k][x] for x in langs):
+            return None
+        return [math.log(counts[k][x][u] / n if u in counts[k][x] else 0.5 / max(totals[k])) for x, n in zip(langs, totals[k])]
+
+    sums = [0.0] * len(langs)
+    for w in words:
+        scores = [unit(0, w)] if unit(0, w) else []
+        p = f" {w} "
+        for k in range(min(4, len(p)), 0, -1):
+            if scores:
+                break
+            scores = [s for i in range(len(p) - k + 1) if (s := unit(k, p[i : i + k]))]
+        for j in range(len(langs)):
+            sums[j] += sum(s[j] for s in scores) / max(1, len(scores))
+    z = [s / math.sqrt(len(words)) for s in sums]
+    e = [math.exp(x - max(z)) for x in z]
+    return langs[z.index(max(z))], max(e) / sum(e)
+
+
+def test_against_brute_force(spark):
+    """Learning and predicting again in plain Python; with small heads, which send words and n-grams to the joins, the same results."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    extra = [(-1, None, "en"), (-2, "12", "en"), (-3, "xqzt жук " + "b" * 60, "en"), (-4, "ééa " * 4000, None), (-4, "ééa " * 4000, None)]
+    df = docs.union(spark.createDataFrame(extra, docs.schema)).persist()
+    learned = df.where("doc_id % 3 <> 1")
+    langs, counts = brute_learn([(r["text"], r["lang"]) for r in learned.collect()])
+    want = sorted((r["doc_id"], *brute_predict(r["text"], langs, counts)) for r in df.collect())
+    words, grams = (len(set().union(*(u for c in some for u in c.values()))) for some in (counts[:1], counts[1:]))
+    for cells in (1 << 21, 4 * min(words, grams), 1_000):
+        model = learn(learned, max_cells=cells)
+        assert model["langs"] == langs and (model["words_table"] is None, model["grams_table"] is None) == (words <= cells // 4, grams <= cells // 4)
+        got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in predict(df, model).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+    df.unpersist()
+
+
+def test_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([(1, "same words", "zz"), (2, "same words", "aa")], "doc_id long, text string, lang string")
+    assert [tuple(r)[1:] for r in predict(df, learn(df)).collect()] == [("aa", 0.5)] * 2
 
 
 def test_defined_cases(spark):
@@ -45,22 +95,18 @@ def test_defined_cases(spark):
     assert {r["lang_pred"] for r in predict(df, nothing).collect()} == {UNKNOWN}
 
 
-def test_small_head_cuts_no_count(spark):
-    """With a head of a few units, words and n-grams beyond it count as they do with all units in the head."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
-    learned, df = docs.where("doc_id % 3 <> 1"), docs.union(spark.createDataFrame([(-1, None, "en"), (-2, "12", "en"), (-3, "xqzt жук " + "b" * 60, "en")], docs.schema))
-    whole, head = learn(learned, max_words=10**7, max_grams=10**7), learn(learned, max_words=40, max_grams=60)
-    assert whole["rest"] is None and head["rest"] is not None
-    full = dict(zip(*[whole["units"][0][0], whole["units"][0][1]]))
-    assert 0 < len(head["units"][0][0]) < len(full) and all(np.allclose(full[w], x) for w, x in zip(*head["units"][0]))
-    want, got = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(df, m).collect()} for m in (whole, head))
-    assert want.keys() == got.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
-
-
-def test_long_runs_give_ngrams(spark):
-    """A language of which only runs of more than LONG letters were seen wins by their n-grams; the runs are no words."""
+def test_long_runs(spark):
+    """Words of any length are learned and known, and their n-grams count."""
     df = spark.createDataFrame([(1, "กขคงจ" * 12, "th"), (2, "the cat and the dog", "en")], "doc_id long, text string, lang string")
     model = learn(df)
-    assert "กขคง" in model["units"][4][0] and all(len(w) <= 40 for w in model["units"][0][0])
-    got = predict(spark.createDataFrame([(3, "ขคงจก" * 11), (4, "the dog")], "doc_id long, text string"), model).collect()
-    assert {r["doc_id"]: r["lang_pred"] for r in got} == {3: "th", 4: "en"}
+    assert "กขคง" in model["grams"] and len(model["word_hash"]) == 5
+    got = predict(spark.createDataFrame([(3, "ขคงจก" * 11), (4, "the dog"), (5, "กขคงจ" * 200_000)], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {3: "th", 4: "en", 5: "th"}
+
+
+def test_keep_identified_keeps_columns(spark):
+    rows = [(1, "the cat", "en", "a"), (1, "the cat", "en", "a"), (None, "the dog", "en", None), (2, "...", None, "b"), (None, None, "en", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 string, _text string")
+    model = learn(spark.createDataFrame(ROWS, SCHEMA))
+    assert sorted((tuple(r) for r in keep_identified(df, model, 0.4).collect()), key=str) == sorted(rows[:3], key=str)
+    assert keep_identified(df.limit(0), model).collect() == []
