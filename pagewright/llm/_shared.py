@@ -36,6 +36,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(name: str, make):
+    """What ``make`` gives, kept by this Python worker under ``name`` until another operator keeps something."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 #: Bits of a sieve: two megabytes, whatever the input.
 SIEVE_BITS = 24
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import keyed, named
+from pagewright.llm._shared import kept_by_worker, keyed, named
 
 #: The public pattern that splits text before byte-level merges, white space as Unicode defines it.
 PATTERN = (
@@ -34,7 +34,9 @@ PATTERN = (
 )
 WIDE = 64
 NONE = np.int64(1) << np.int64(62)
-MEMO = 400_000
+#: Words kept by a worker, and words whose codes are sought at a time.
+MEMO = 200_000
+GROUP = 1 << 17
 PIECE = 1 << 20
 VOCAB_BYTES = 64 << 20
 
@@ -91,34 +93,49 @@ class Bpe:
         self.ends = np.cumsum([len(t) for t in spec["table"]])
         self.starts = np.append(0, self.ends[:-1])
 
-    def tokens(self, text: str) -> list[str]:
-        """Words of the text before merging; special tokens are words of their own."""
-        out: list[str] = []
+    def pieces(self, text: str):
+        """Words of the text before merging, as lists of the words of a piece; special tokens are words of their own."""
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                out.append(part)
+                yield [part]
                 continue
             while len(part) > PIECE:
                 # before a single blank between other characters a word always ends
                 at = regex.search(r"(?<=\P{White_Space}) (?=\P{White_Space})", part, pos=PIECE)
                 if not at:
                     break
-                out += self.split.findall(part[: at.start()])
+                yield self.split.findall(part[: at.start()])
                 part = part[at.start() :]
-            out += self.split.findall(part)
-        return out
+            yield self.split.findall(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Codes of each text as little-endian unsigned 32-bit integers."""
-        words = [self.tokens(t) for t in texts]
-        if len(self.memo) > MEMO:
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for words in self.pieces(text):
+                group.append((k, words))
+                size += len(words)
+                if size > GROUP:
+                    self._codes(group, out)
+                    group, size = [], 0
+        self._codes(group, out)
+        return [b"".join(parts) for parts in out]
+
+    def _codes(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        every = set().union(*(words for _, words in group))
+        new = list(every - self.memo.keys())
+        if len(self.memo) + len(new) > MEMO:
             self.memo = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
-        new = list(set().union(*words) - self.memo.keys())
+            new = list(every - self.memo.keys())
+        del every
         for a in range(0, len(new), 1 << 16):
             part = new[a : a + (1 << 16)]
             self.memo.update(zip(part, self.merge([w.encode() for w in part])))
         get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        for k, words in group:
+            out[k].append(b"".join(map(get, words)))
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
@@ -234,16 +251,10 @@ class Bpe:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(edge[:-1], edge[1:])]
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def _of(spec) -> Bpe:
     """One tokenizer for each vocabulary and worker, so that its memo outlives a task."""
     name, tables = spec.value
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = Bpe(tables)
-    return _LOADED[name]
+    return kept_by_worker(name, lambda: Bpe(tables))
 
 
 def _texts(column: pa.Array):
@@ -262,6 +273,17 @@ def _encode(spec):
     return run
 
 
+def _round_trip(spec):
+    def run(batches):
+        bpe = _of(spec)
+        for batch in batches:
+            for at, texts in _texts(batch.column(0)):
+                ids = bpe.encode(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.string())], names=["_carry", "ids", "decoded"])
+
+    return run
+
+
 def _decode(spec):
     def run(batches):
         bpe = _of(spec)
@@ -287,8 +309,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return texts.mapInArrow(_encode(_spec_of(docs, path)), f"_carry {kind}, ids binary").select("_carry.*", "ids")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``encode`` and, from the codes alone, ``decode`` in one pass: ``id_col``, the carried columns, ``ids`` and ``decoded``.
+
+    One worker process and one memo for each core do both, where ``decode(encode(...))`` has two.
+    """
+    texts = keyed(docs, id_col, text_col, carry).select("_text", "_carry")
+    kind = texts.schema["_carry"].dataType.simpleString()
+    return texts.mapInArrow(_round_trip(_spec_of(docs, path)), f"_carry {kind}, ids binary, decoded string").select("_carry.*", "ids", "decoded")
+
+
 def decode(codes: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """The frame with ``decoded``, the text of ``ids_col`` (null: empty); special tokens are kept."""
+    """The frame with ``decoded``, the text of ``ids_col`` (null: empty); special tokens are kept.
+
+    A column ``decoded`` of the input is replaced; if ``ids_col`` has that name, ``ValueError`` is raised.
+    """
+    if ids_col == "decoded":
+        raise ValueError("the codes cannot be in a column named decoded")
     rest = [named(c) for c in codes.columns if c not in (ids_col, "decoded")]
     rows = codes.select(F.coalesce(named(ids_col), F.lit(b"")).alias("ids"), F.struct(*rest).alias("_carry"))
     kind = rows.schema["_carry"].dataType.simpleString()

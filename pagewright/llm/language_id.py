@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import Masked, keyed, named, without, write_table
+from pagewright.llm._shared import Masked, kept_by_worker, keyed, named, without, write_table
 
 MAX_GRAM = 4
 MAX_CELLS = 1 << 21
@@ -204,16 +204,10 @@ class Scorer:
         return counts, sums, np.array(row, np.int32), word, np.array(times, np.int32)
 
 
-_LOADED: dict = {}
-
-
 def _scorer(model) -> Scorer:
     """The scorer of this process for this model."""
     name, tables = model.value
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = Scorer(tables)
-    return _LOADED[name]
+    return kept_by_worker(name, lambda: Scorer(tables))
 
 
 def _slices(column: pa.Array):

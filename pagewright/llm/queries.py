@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm._shared import fresh_path, read
 from pagewright.llm.ann import build_index, search
-from pagewright.llm.bpe import decode, encode
+from pagewright.llm.bpe import round_trip
 from pagewright.llm.decontaminate import find_leaks
 from pagewright.llm.language_id import learn, predict
 from pagewright.llm.licenses import scan
@@ -42,8 +42,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every document and the text they decode to."""
-    path = vocabulary()
-    out = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    out = round_trip(read(spark, sf_dir, "documents"), vocabulary())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 

@@ -3,9 +3,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagewright.llm.bpe import Bpe, decode, encode, load_spec
+from pagewright.llm.bpe import Bpe, decode, encode, load_spec, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -65,3 +66,20 @@ def test_operator(spark, library):
     want = [(k, library.encode(t or "", add_special_tokens=False).ids, t or "") for k, t, _ in rows]
     assert sorted([(r["doc_id"], ids(r["ids"]), r["decoded"]) for r in out], key=str) == sorted(want, key=str)
     assert encode(df.limit(0), PATH).collect() == []
+
+
+def test_round_trip_in_one_pass(spark, library):
+    text = "A long text, 1234 words; " * 60_000  # more than one piece
+    rows = [(1, text), (2, None), (None, ""), (1, text), (3, "x" * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_carry", F.lit(1))
+    got = sorted(((r["doc_id"], ids(r["ids"]), r["decoded"], r["_carry"]) for r in round_trip(df, PATH, carry=["_carry"]).collect()), key=str)
+    assert got == sorted(((k, library.encode(t or "", add_special_tokens=False).ids, t or "", 1) for k, t in rows), key=str)
+    assert round_trip(df.limit(0), PATH).collect() == []
+
+
+def test_decode_replaces_a_column(spark):
+    df = spark.createDataFrame([(1, "Hi")], "doc_id long, text string")
+    codes = encode(df, PATH).withColumn("decoded", F.lit("old"))
+    assert [tuple(r) for r in decode(codes, PATH).select("doc_id", "decoded").collect()] == [(1, "Hi")]
+    with pytest.raises(ValueError):
+        decode(codes, PATH, ids_col="decoded")
