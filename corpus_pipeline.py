@@ -36,8 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    out = bpe.decode(bpe.encode(docs, path, carry=["lang", "source"]), path)
+    out = bpe.round_trip(docs, vocabulary(), carry=["lang", "source"])
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
