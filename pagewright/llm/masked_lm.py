@@ -2,18 +2,20 @@
 
 Every token of a text is predicted from the ``SIDE`` tokens on either side, it being masked itself; the score of a document is
 the sum of the log-probabilities of its tokens. The network has one input table for each place of the window, a tanh layer, and
-a softmax in two steps (group of the token, then token within the group). It is trained in numpy: each partition makes one pass
-of stochastic gradient descent over all its tokens from a common start, and the partitions' weights are averaged, weighted by
-tokens, in two levels of aggregation, so that no task gathers more than ``FAN`` sets of them at a time at the first level.
-
-Tokens are words (letters, digits and all non-ASCII characters, A-Z in lower case). Words are counted over the whole corpus;
-the most frequent ones have an id of their own, all others share ``SHARED`` ids by their hash. The ids and the network are of
-fixed size, whatever the corpus, and are broadcast. The table of counts holds every word and grows with the corpus; it is
-never gathered. Given that table, ``score`` predicts the word itself: to the log-probability of its id comes that of the
-word among those that share the id, the word's count over all of theirs and one more. The words of a slice of texts that share
-ids meet the table by fingerprint; a slice asks for each of them once, and no pair of document and word is shuffled by itself.
-
-Defined cases: a word that the table lacks counts ``UNSEEN``; a null, empty or wordless text has no tokens, log-likelihood 0 and a null mean; places outside the text have an
+a softmax in two steps (group of the token, then token within the group). It is trained in numpy in ``ROUNDS`` rounds, each over
+its part of all texts: learners start from common weights, take a pass of stochastic gradient descent over their texts, and
+their weights are averaged, weighted by tokens, for the next round. A learner has about ``LEARNER_TOKENS`` tokens or more in a
+round, however the table is cut into files, so that each goes a good way; the number of learners grows with the corpus. Weights are
+added up in a tree, ``FAN`` sets at a time.
+
+Tokens are words (letters, digits and all non-ASCII characters, A-Z in lower case), told apart by a 64-bit fingerprint. Words are
+counted over the whole corpus; the most frequent ones have an id of their own, all others share ``SHARED`` ids by their hash.
+The ids and the network are of fixed size, whatever the corpus. The table of counts holds every word and grows with the corpus;
+it stands in the shared folder. A word that shares an id has the probability of the id times its share: its count over all of
+theirs and one more. The counts of the ``HEAD`` most frequent words are broadcast; a word beyond them is looked up in
+the table by a join, one request for each text that has it, and counts ``UNSEEN`` if the table lacks it too.
+
+Defined cases: a null, empty or wordless text has no tokens, log-likelihood 0 and a null mean; places outside the text have an
 id of their own; texts of any length are scored whole; repeated rows train as often as they stand there and score alike; an
 empty corpus leaves the start weights; an empty table gives an empty result; other columns are not looked at.
 """
@@ -28,17 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import keyed, write_table
+from pagewright.llm._shared import keyed, named, write_table
 
 SIDE = 2
 HIDDEN = 8
-GROUPS, MEMBERS = 16, 32
+GROUPS, MEMBERS = 32, 64
 SIZE = GROUPS * MEMBERS
-SHARED = 128
+SHARED = 256
 BATCH = 2048
-RATE = 0.5
+RATE = 1.0
+ROUNDS = 2
+LEARNER_TOKENS = 1 << 19
 FAN = 64
 EDGE = SIZE
+HEAD = 1 << 19
 #: Count of a word that the table lacks.
 UNSEEN = 0.5
 
@@ -159,12 +164,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return write_table(texts.select("_text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def frequent_words(texts: DataFrame, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
+def frequent_words(counts: DataFrame) -> tuple[list[int], np.ndarray]:
     """Fingerprints of the most frequent words, by falling count, and the start weights.
 
     The start predicts each id by its frequency in the corpus: the output biases are log frequencies.
     """
-    counts = word_counts(texts) if counts is None else counts
     head = counts.orderBy(F.desc("n"), "word").limit(SIZE - SHARED).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     own = np.full(SIZE, 1.0)
@@ -176,21 +180,42 @@ def frequent_words(texts: DataFrame, counts: DataFrame | None = None) -> tuple[l
     return [r["word"] for r in head], net.flat
 
 
+def shares(counts: DataFrame, frequent: list[int]) -> dict:
+    """What tells words of a shared id apart: counts of the ``HEAD`` most frequent words (as whole classes of an eighth of a power
+    of two), whether those are all, and for each shared id the count of all its words."""
+    classed = counts.withColumn("class", F.floor(F.log2("n") * 8))
+    room, least = HEAD, None
+    for r in classed.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["class"]
+    head = classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word", "n").toArrow()
+    words, n = head.column("word").to_numpy().view(K.U), head.column("n").to_numpy()
+    order = np.argsort(words)
+    total = np.ones(SHARED)
+    rest = counts.where(~F.col("word").isin(frequent)) if frequent else counts
+    # SHARED is a power of two, so that the remainder is that of the unsigned number
+    for r in rest.groupBy(F.pmod("word", F.lit(SHARED)).alias("id")).agg(F.sum("n").alias("n")).collect():
+        total[r["id"]] += r["n"]
+    return {"words": words[order], "log_n": np.log(n[order]), "log_total": np.log(total), "whole": room >= 0}
+
+
 def _train(sent):
     def run(batches):
         vocabulary, start = sent.value
-        net, tokens = Net(start.copy()), 0
+        net, tokens, part = Net(start.copy()), 0, 0
         draw = np.random.default_rng(5)
         for batch in batches:
+            if batch.num_rows:
+                part = batch.column(1)[0].as_py()
             for _, _, words in _words(batch.column(0)):
                 context, ids = windows(words, vocabulary)
                 order = draw.permutation(len(ids))
                 for a in range(0, len(ids), BATCH):
-                    part = order[a : a + BATCH]
-                    net.step(context[part], ids[part])
+                    net.step(context[order[a : a + BATCH]], ids[order[a : a + BATCH]])
                 tokens += len(ids)
         if tokens:
-            part = int.from_bytes(words.hash[:1].tobytes() or b"\0", "little") % FAN
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([(net.flat.astype(np.float64) * tokens).tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
     return run
@@ -202,91 +227,82 @@ def _add(table: pa.Table) -> pa.Table:
         for raw in chunk:
             total += np.frombuffer(raw.as_py(), np.float64)
     tokens = sum(table.column("tokens").to_pylist())
-    return pa.table({"part": pa.array([0], pa.int32()), "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, text_col: str = "text") -> dict:
-    """The model: frequent words and the averaged weights, small and on the driver, and the table of all words (``words``)."""
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    """The model: frequent words, the averaged weights and the head of counts, small and on the driver, and the table of all words (``words``)."""
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(named(text_col).cast("string"), F.lit("")).alias("_text"))
     counts = word_counts(texts)
-    frequent, start = frequent_words(texts, counts)
-    sent = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), start))
+    frequent, weights = frequent_words(counts)
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
     schema = "part int, tokens long, weights binary"
-    sums = texts.mapInArrow(_train(sent), schema).groupBy("part").applyInArrow(_add, schema)
-    total, weights = 0, None
-    for r in sums.collect():  # at most FAN rows of the network's size
-        total += r["tokens"]
-        weights = np.frombuffer(r["weights"], np.float64) + (0 if weights is None else weights)
-    return {"frequent": frequent, "weights": (start if weights is None else weights / total).astype(np.float32), "words": counts}
-
-
-def _rare(words: K.Words, ids: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """The distinct words with a shared id; for each the rows that have it and how often."""
-    at = ids >= SIZE - SHARED
-    h, code = np.unique(words.hash[at], return_inverse=True)
-    pair, times = np.unique(code * rows + words.row[at], return_counts=True)
-    ends = pa.array(np.searchsorted(pair // max(rows, 1), np.arange(len(h) + 1)).astype(np.int32))
-    lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % max(rows, 1), times))
-    return h.view(np.int64), *lists
-
-
-def _score(model, whole: bool):
-    """Rows of two kinds: texts, with the sums over their ids, and (only if ``whole``) the words that a slice asks for."""
-    names = ["_slice", "_row", "_carry", "n_tokens", "sum", "word", "rows", "times"]
+    for turn in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((Vocabulary(frequent), weights))
+        some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(ROUNDS)) == turn).coalesce(max(1, tokens // ROUNDS // LEARNER_TOKENS))
+        sums = some.select("_text", F.spark_partition_id().alias("part")).mapInArrow(_train(sent), schema)
+        sums, learners = write_table(sums, "learners"), max(1, tokens // ROUNDS // LEARNER_TOKENS)
+        while learners > FAN:
+            sums, learners = sums.groupBy(F.expr(f"cast(part / {FAN} as int)")).applyInArrow(_add, schema), -(-learners // FAN)
+        total, weighted = 0, None
+        for r in sums.toLocalIterator():  # at most FAN rows of the network's size, one partition at a time
+            total += r["tokens"]
+            weighted = np.frombuffer(r["weights"], np.float64) + (0 if weighted is None else weighted)
+        if total:
+            weights = (weighted / total).astype(np.float32)
+    return {"frequent": frequent, "weights": weights, "words": counts, "shares": shares(counts, frequent)}
+
+
+def _score(model):
+    """Rows of two kinds: texts with their sums, and words of a text beyond the head of counts (only if the model has shares)."""
+    names = ["_slice", "_row", "_carry", "n_tokens", "sum", "word", "times"]
 
     def run(batches):
-        vocabulary, net = Vocabulary(model.value["frequent"]), Net(model.value["weights"])
+        vocabulary, net, share = Vocabulary(model.value["frequent"]), Net(model.value["weights"]), model.value["shares"]
         for batch in batches:
             for at, rows, words in _words(batch.column(0)):
                 context, ids = windows(words, vocabulary)
                 scores = np.zeros(len(ids) + 1)
                 for a in range(0, len(ids), 1 << 15):
                     scores[a : min(len(ids), a + (1 << 15))] = net.score(context[a : a + (1 << 15)], ids[a : a + (1 << 15)])
+                name, carry = secrets.randbits(62), batch.column(1).slice(at, rows)
+                beyond = np.zeros(0, np.int64)
+                if share is not None and len(shared := np.flatnonzero(ids >= SIZE - SHARED)):
+                    h = words.hash[shared]
+                    spot = np.minimum(np.searchsorted(share["words"], h), max(len(share["words"]) - 1, 0))
+                    known = share["words"][spot] == h if len(share["words"]) else np.zeros(len(h), bool)
+                    own = np.full(len(h), np.log(UNSEEN))
+                    own[known] = share["log_n"][spot[known]]
+                    scores[shared] += own - share["log_total"][ids[shared] - (SIZE - SHARED)]
+                    beyond = shared[~known] if not share["whole"] else beyond
                 total = np.add.reduceat(scores, words.first[:-1]) * (words.counts > 0)
-                name = secrets.randbits(62)
-                carry, lists = batch.column(1).slice(at, rows), pa.list_(pa.int32())
-                own = pa.array(np.full(rows, name))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(rows, dtype=np.int32)), carry, pa.array(words.counts), pa.array(total), pa.nulls(rows, pa.int64()), pa.nulls(rows, lists), pa.nulls(rows, lists)], names=names)
-                if whole:
-                    h, which, times = _rare(words, ids, rows)
-                    n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, pa.int32()), pa.nulls(n, carry.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(h), which, times], names=names)
-
-    return run
-
-
-def _within(totals: dict[int, int]):
-    """Sums of the log-probabilities of the words among those that share their ids, for the texts of a slice."""
-    mass = np.log(np.array([totals.get(i, 0) + 1 for i in range(SHARED)], float))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        word, n = (table.column(c).to_numpy() for c in ("word", "n"))
-        own = np.log(n) - mass[(word.view(K.U) % K.U(SHARED)).astype(np.int64)]
-        rows, times = (table.column(c).combine_chunks() for c in ("rows", "times"))
-        sums = np.bincount(rows.flatten().to_numpy(), np.repeat(own, rows.value_lengths().to_numpy()) * times.flatten().to_numpy())
-        return pa.table({"_slice": pa.array(np.full(len(sums), table.column("_slice")[0].as_py())), "_row": pa.array(np.arange(len(sums), dtype=np.int32)), "within": pa.array(sums)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name)), pa.array(np.arange(rows, dtype=np.int32)), carry, pa.array(words.counts), pa.array(total), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())], names=names)
+                if len(beyond):
+                    order = beyond[np.lexsort((words.hash[beyond], words.row[beyond]))]
+                    h, row = words.hash[order], words.row[order]
+                    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+                    n = len(first)
+                    times = np.diff(np.append(first, len(order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(row[first].astype(np.int32)), pa.nulls(n, carry.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int32))], names=names)
 
     return run
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: bool = True) -> DataFrame:
     """One row per document: ``id_col``, carried columns, ``n_tokens``, ``log_likelihood`` and ``mean_log_probability``.
 
-    With ``words`` (the model's table of counts) the probabilities are those of the words; without it, of their ids alone.
+    The probabilities are those of the words; with ``words=False`` those of their ids alone.
     """
     texts = keyed(docs, id_col, text_col, carry).select("_text", "_carry")
     kind = texts.schema["_carry"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("frequent", "weights")})
-    made = texts.mapInArrow(_score(sent, words is not None), f"_slice long, _row int, _carry {kind}, n_tokens long, sum double, word long, rows array<int>, times array<int>")
+    sent = docs.sparkSession.sparkContext.broadcast({"frequent": model["frequent"], "weights": model["weights"], "shares": model["shares"] if words else None})
+    made = texts.mapInArrow(_score(sent), f"_slice long, _row int, _carry {kind}, n_tokens long, sum double, word long, times int")
     total = F.col("sum")
-    if words is not None:
+    if words and not model["shares"]["whole"]:
         made = write_table(made, "scored")
-        shared = words.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in model["frequent"]], "word long")), "word", "left_anti")
-        # SHARED is a power of two, so that the remainder is that of the unsigned number
-        totals = {r["id"]: r["n"] for r in shared.groupBy(F.pmod("word", F.lit(SHARED)).alias("id")).agg(F.sum("n").alias("n")).collect()}
-        asked = made.where("word is not null").select("_slice", "word", "rows", "times").join(words, "word", "left").withColumn("n", F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))
-        within = asked.groupBy("_slice").applyInArrow(_within(totals), "_slice long, _row int, within double")
-        made = made.where("word is null").join(within, ["_slice", "_row"], "left")
-        total = total + F.coalesce("within", F.lit(0.0))
+        asked = made.where("word is not null").select("_slice", "_row", "word", "times").join(model["words"], "word")
+        more = asked.groupBy("_slice", "_row").agg(F.sum((F.log("n") - float(np.log(UNSEEN))) * F.col("times")).alias("more"))
+        made = made.where("word is null").join(more, ["_slice", "_row"], "left")
+        total = total + F.coalesce("more", F.lit(0.0))
     return made.select("_carry.*", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_probability"))

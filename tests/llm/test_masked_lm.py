@@ -8,14 +8,18 @@ from pagewright.llm import masked_lm as M
 SF = "/root/testdata/sf0.01"
 
 
+def fingerprint(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return K.Words(raw, np.array([0, len(raw)]), K.ALNUM_WORDS).hash
+
+
 def plain_score(text, model):
     """Token by token, in double precision."""
     net, vocabulary = M.Net(model["weights"]), M.Vocabulary(model["frequent"])
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
     ids = []
     for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low):
-        raw = np.frombuffer(w.encode(), np.uint8)
-        ids.append(int(vocabulary(K.span_hash(raw, np.array([0]), np.array([len(raw)])))[0]))
+        ids.append(int(vocabulary(fingerprint(w))[0]))
     total = 0.0
     for i, target in enumerate(ids):
         around = [ids[j] if 0 <= j < len(ids) else M.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
@@ -32,14 +36,14 @@ def test_learns_and_scores_exactly(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.limit(30).collect()]
     odd = [(5000, None), (5001, ""), (5002, "!!"), (5003, "one"), (None, "The of")]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows + odd], "doc_id long, text string, n_tokens string")
-    got = {r["doc_id"]: r for r in M.score(df, model).collect()}
+    got = {r["doc_id"]: r for r in M.score(df, model, words=False).collect()}
     for k, t in rows[:8] + odd:
         n, total = plain_score(t, model)
         assert got[k]["n_tokens"] == n and np.isclose(got[k]["log_likelihood"], total, rtol=1e-4, atol=1e-4)
     assert got[5000]["mean_log_probability"] is None and got[5000]["log_likelihood"] == 0
     # the start weights know how frequent each id is; the trained ones must know more, from the words on either side
-    start = M.frequent_words(docs.selectExpr("text as _text"))[1]
-    before = {r["doc_id"]: r["log_likelihood"] for r in M.score(df, {**model, "weights": start}).collect()}
+    start = M.frequent_words(model["words"])[1]
+    before = {r["doc_id"]: r["log_likelihood"] for r in M.score(df, {**model, "weights": start}, words=False).collect()}
     ratio = [got[k]["log_likelihood"] / before[k] for k, _ in rows]
     assert np.mean(ratio) < 0.97 and np.mean([x < 1 for x in ratio]) > 0.9
 
@@ -62,7 +66,7 @@ def test_empty(spark):
     assert model["frequent"] == [] and M.score(df, model).collect() == []
 
 
-def test_words_that_share_an_id(spark):
+def test_words_that_share_an_id(spark, monkeypatch):
     """With the table of counts, words of one id differ by their counts, and unseen words come last."""
     common = [f"w{i}" for i in range(M.SIZE - M.SHARED)]
     rare = [f"r{i}" for i in range(600)]
@@ -72,8 +76,7 @@ def test_words_that_share_an_id(spark):
     count = dict.fromkeys(rare, 1) | {rare[0]: 3}
 
     def bucket(w):
-        raw = np.frombuffer(w.encode(), np.uint8)
-        return int(M.Vocabulary(model["frequent"])(K.span_hash(raw, np.array([0]), np.array([len(raw)])))[0])
+        return int(M.Vocabulary(model["frequent"])(fingerprint(w))[0])
 
     shared = [w for w in rare if bucket(w) >= M.SIZE - M.SHARED]
     first = shared[0]
@@ -83,10 +86,44 @@ def test_words_that_share_an_id(spark):
     unseen = next(w for i in range(100000) if bucket(w := f"zq{i}") == bucket(first))
     rows = [(0, first), (1, unseen), (2, f"{unseen} {common[5]} {first} {first}"), (3, None), (4, "!"), (0, first)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    by_id = {r["doc_id"]: r["log_likelihood"] for r in M.score(df, model).collect()}
-    got = M.score(df, model, words=model["words"]).collect()
+    by_id = {r["doc_id"]: r["log_likelihood"] for r in M.score(df, model, words=False).collect()}
+    got = M.score(df, model).collect()
+    # without a head of counts, the join brings them
+    monkeypatch.setattr(M, "HEAD", 5)
+    joined = {**model, "shares": M.shares(model["words"], model["frequent"])}
+    assert model["shares"]["whole"] and not joined["shares"]["whole"] and len(joined["shares"]["words"]) <= 5
+    assert np.allclose(model["shares"]["log_total"], joined["shares"]["log_total"])
+    again = sorted((str(r["doc_id"]), r["n_tokens"], r["log_likelihood"]) for r in M.score(df, joined).collect())
+    assert np.allclose([r[2] for r in again], [r[2] for r in sorted((str(r["doc_id"]), r["n_tokens"], r["log_likelihood"]) for r in got)])
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(0, 1), (0, 1), (1, 1), (2, 4), (3, 0), (4, 0)]
     one, other = np.log(count[first] / (rest[bucket(first)] + 1)), np.log(M.UNSEEN / (rest[bucket(first)] + 1))
     want = {0: one, 1: other, 2: other + 2 * one, 3: 0, 4: 0}
     assert all(np.isclose(r["log_likelihood"] - by_id[r["doc_id"]], want[r["doc_id"]]) for r in got)
     assert np.isclose(by_id[0], by_id[1]) and other < one
+
+
+def mean_score(docs, model):
+    r = M.score(docs, model, words=False).selectExpr("sum(log_likelihood) as s", "sum(n_tokens) as n").first()
+    return r["s"] / r["n"]
+
+
+def test_learns_at_any_partitioning(spark, monkeypatch):
+    """64 partitions learn as much as one; and where there are many learners, their average still gains on the start."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    few, many = (docs.repartition(n, "doc_id") for n in (1, 64))
+    one = M.train(few)
+    start = mean_score(docs, {**one, "weights": M.frequent_words(one["words"])[1]})
+    scores = [mean_score(docs, m) for m in (one, M.train(many))]
+    assert scores[0] > start + 0.3 and abs(scores[1] / scores[0] - 1) < 0.02
+    monkeypatch.setattr(M, "LEARNER_TOKENS", 20_000)
+    monkeypatch.setattr(M, "FAN", 3)
+    assert mean_score(docs, M.train(many)) > start + 0.03
+
+
+def test_clashing_columns_repeated_rows_and_a_long_text(spark):
+    long = "the quick fox " * 100_000
+    rows = [(1, "a b c", 5), (1, "a b c", 5), (None, None, None), (2, long, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int").withColumnsRenamed({"part": "_text"})
+    got = M.score(df, M.train(df), carry=["_text"]).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"], r["_text"]) for r in got), key=str) == sorted([(1, 3, 5), (1, 3, 5), (None, 0, None), (2, 300_000, 1)], key=str)
+    assert len({r["log_likelihood"] for r in got if r["doc_id"] == 1}) == 1
