@@ -32,7 +32,7 @@ def test_recall_on_whole_table(spark):
 
 
 def test_several_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "STEP", 7)
     r = np.random.default_rng(2)
     rows = [(i, r.normal(size=16).astype(float).tolist()) for i in range(900)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -55,3 +55,45 @@ def test_defined_cases(spark):
     assert sorted(got[3]) == [(i + 1, v, 0.0) for i, v in enumerate([0, 1, 2, 4, 5, 6, 7, 8, 9, 10])]
     assert [v for _, v, _ in sorted(got[400])] == list(range(10))
     assert search(build_index(df.limit(0)), df.limit(0)).collect() == []
+
+
+def found(index, queries, k=10):
+    out = {}
+    for x in search(index, queries, k).collect():
+        out.setdefault(x["query_id"], []).append((x["rank"], x["score"], x["vec_id"]))
+    return {q: [(d, v) for _, d, v in sorted(x)] for q, x in out.items()}
+
+
+def test_shifted_and_large_vectors(spark):
+    """Offsets that dwarf the distances, huge and tiny components, far clusters: the nearest are found, with exact distances."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(700, 12))
+    far = np.where(np.arange(700) % 3 == 0, 1e9, -1e6)[:, None]
+    for points in (base + 1e4, base + 1e6, base * 1e20, base * 1e200, base * 1e-200, base + far):
+        rows = [(i, x.tolist()) for i, x in enumerate(points)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = found(build_index(df, shard_rows=300), df.where("vec_id % 35 = 0"))
+        hits = []
+        for q in range(0, 700, 35):
+            away = points - points[q]
+            scale = np.abs(away).max()
+            d = np.sqrt(np.square(away / scale).sum(axis=1)) * scale
+            want = [v for v in np.lexsort((np.arange(700), d)).tolist() if v != q][:10]
+            hits.append(len({v for _, v in got[q]} & set(want)) / 10)
+            assert all(np.isclose(s, d[v], rtol=1e-12) for s, v in got[q])
+        assert np.mean(hits) >= 0.95
+
+
+def test_repeated_rows(spark):
+    """A query row that is repeated is one query; candidates that share an id are one candidate each."""
+    r = np.random.default_rng(6)
+    rows = [(i, x.tolist()) for i, x in enumerate(r.normal(size=(60, 4)))]
+    df = spark.createDataFrame(rows + rows[:1] * 2 + [(0, rows[30][1])], "vec_id long, embedding array<double>")
+    index = build_index(df)
+    want = exact(rows, rows[:1], 10)[0]
+    got = {}
+    for x in search(index, df.where("vec_id = 0"), 10).collect():
+        got.setdefault(x["rank"], []).append((x["score"], x["vec_id"]))
+    assert all(len(v) == 2 for v in got.values()) and len(got) == 10
+    assert all(any(v == b and np.isclose(d, a) for d, v in got[i + 1]) for i, (a, b) in enumerate(want))
+    assert found(index, df.where("vec_id = 0").limit(1))[0] and [v for _, v in found(index, df.where("vec_id = 30"))[30]].count(0) == 1
