@@ -44,7 +44,7 @@ RUN, RUN_TINY, TINY = 3, 2, 5
 STARS = 2
 #: Members up to which a list compares all that are still apart as pairs; longer lists do so in blocks of this many shingles.
 SHORT = 32
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 500_000
 #: Least estimate, in hundredths, that goes on to the exact check.
 CUT = 42
 LAST = (1 << 63) - 1
@@ -109,7 +109,7 @@ def _sketches(width: int):
 
 
 def _run_keys(batches):
-    """One row for each run of retained values: its hash and the node."""
+    """One row for each run of retained values: its hash, the node and its size."""
     for batch in batches:
         node, size, sketch = (batch.column(i).to_numpy(zero_copy_only=False) if i < 2 else batch.column(i) for i in range(3))
         values, offsets = sketch.values.to_numpy().view(K.U), sketch.offsets.to_numpy()
@@ -125,13 +125,14 @@ def _run_keys(batches):
             for j in range(run):
                 key = K.mix(key * K.U(K.WORD_BASE) + values[at + j])
             keys.append(key)
-            nodes.append(node[row[at]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+            nodes.append(row[at])
+        nodes = np.concatenate(nodes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node[nodes]), pa.array(size[nodes])], names=["key", "node", "size"])
 
 
 def _lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from lists of two, and the members (``key``, ``node``) of longer lists with the least of them (``lo``) and their number."""
-    rows = classes.where(F.size("sketch") >= RUN_TINY).select("node", "size", "sketch").mapInArrow(_run_keys, "key long, node long")
+    """Pairs from lists of two, and the members (``key``, ``node``, ``size``) of longer lists with the least of them (``lo``) and their number."""
+    rows = classes.where(F.size("sketch") >= RUN_TINY).select("node", "size", "sketch").mapInArrow(_run_keys, "key long, node long, size int")
     heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     heads = write_table(heads.where("n > 1"), "heads")
     long = heads.where("n > 2").select("key", "n", "lo")
@@ -166,18 +167,17 @@ def _long_lists(lists: DataFrame, classes: DataFrame, own: DataFrame, width: int
     A list is cut into blocks of about ``BLOCK_SHINGLES`` shingles; each two blocks meet in a group of their own, where the
     full sets are compared without any pair being emitted but links.
     """
-    lists = lists.where(F.col("n") > SHORT).select("key", "node", "label")
+    lists = lists.where(F.col("n") > SHORT).select("key", "node", "size", "label")
     mixed = lists.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     lists = write_table(lists.join(mixed, "key"), "long")
     if lists.isEmpty():
         return lists.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    some = write_table(_texts_of(lists.select("node").distinct(), classes, own).join(classes.select("node", "size"), "node"), "texts")
-    sized = write_table(lists.join(some.select("node", "size"), "node"), "sized")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    rows = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    some = write_table(_texts_of(lists.select("node").distinct(), classes, own), "texts")
+    blocks = lists.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = lists.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label")
-    return rows.join(some.select("node", "_text"), "node").groupBy("key", "b1", "b2").applyInArrow(_compare(width), "u long, v long")
+    return rows.join(some, "node").groupBy("key", "b1", "b2").applyInArrow(_compare(width), "u long, v long")
 
 
 def _compare(width: int):
@@ -264,7 +264,7 @@ def _verify(width: int):
 
 def _texts_of(nodes: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     """``node`` and ``_text`` of classes; of the documents' texts only theirs (and few others) leave the scan."""
-    want = write_table(classes.select("node", "least").join(nodes, "node").select("node", F.col("least.a").alias("_a"), F.col("least.b").alias("_b")), "want")
+    want = write_table(classes.select("node", "least").join(nodes, "node", "left_semi").select("node", F.col("least.a").alias("_a"), F.col("least.b").alias("_b")), "want")
     some = sieve(own, "_b", want.select("_b"))
     return some.join(want, ["_a", "_b"]).dropDuplicates(["node"]).select("node", "_text")
 
