@@ -1,43 +1,56 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates; DataFrame functions only.
 
-A paragraph is a line of text. Its features are the words and word pairs it has in common with the labelled paragraphs below;
-words too common to say anything are no features. A multinomial logistic regression over these sparse features tells licence
-families and the class ``unknown`` apart. It is fitted on the labelled paragraphs alone (about a hundred rows, the bound of the
-training set), in plain arithmetic on the driver; a temperature fitted on every fourth of them calibrates its probabilities.
-A prediction counts if its probability reaches ``LEAST`` and if the paragraph's words, stop words aside, agree with those of a
-template of that family.
-
-The weights and the templates are of fixed size and are broadcast. A paragraph without any feature word has the score of the
-bias alone, which is ``unknown``; so texts without one are told by a pattern and need no further work. All other paragraphs are
-split into features, which meet the weights in a broadcast join and are summed up for each paragraph.
-
-Defined cases: a null or empty text has no paragraphs and no licence; paragraphs of any length are taken whole; a family found
-in several paragraphs is counted each time and named once; repeated rows get equal results; ids may be null; an empty table
-gives an empty result; other columns are not looked at.
+Paragraphs are cut by blank lines. As notices wrap and stand between other lines, a paragraph is judged by its units: every line,
+and every two and three lines that follow each other. The features of a unit are the words and word pairs (stop words aside) it has in
+common with the labelled notices below. A multinomial logistic regression over these sparse features tells licence families and
+the class ``unknown`` apart. It is fitted on the labelled rows alone (about 200, the bound of the training set), on the
+driver; its temperature is fitted on predictions for rows that were held out, each in one of ``FOLDS`` folds.
+
+A prediction counts if its probability reaches ``LEAST`` and a template of the family confirms it: the unit has at least ``AGREE`` of the
+template's words and pairs, and of the words that decide between families (versions, and words as ``lesser``, ``noncommercial``,
+``sharealike``) exactly those of the template. A paragraph names the families of its
+confirmed units; one without a version (``GENERAL``) only where none with a version is named.
+
+The weights and the templates are of fixed size and are broadcast. A notice has one of the words in ``TRIGGERS``; units without one are
+unknown and go first. All others are split into features, which meet the weights in a broadcast join and are summed up for each unit.
+
+Defined cases: a null or empty text has no paragraphs and no licence; paragraphs of any length are taken whole; of families with
+equal scores the first in the list below counts; a family found in several paragraphs is counted each time and named once; repeated
+rows get equal results; ids may be null; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import math
-import random
 import re
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm._shared import keyed
 
 UNKNOWN = "unknown"
-LEAST = 0.5
-#: Least share of the shorter word set (paragraph or template) that both have.
-AGREE = 0.6
+LEAST = 0.4
+#: Least share of a template's words and pairs that a unit has.
+AGREE = 0.7
+FOLDS = 5
+LINES = 3
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
 # Words that say nothing about a licence.
-STOP_WORDS = "a an and are as at be by can do each for from has have if in into is it its no not of on or other our so such that the their there these they this to under was we were which who will with you your all any may must shall des die das der und ein les le la el de que en un une del los per sie wir".split()
+STOP_WORDS = "a an and are as at by can do each for from has have if in into is it its no not of on or other our so such that the their there these they this to under was we were which who will with you your all any may must shall be des die das der und ein les le la el de que en un una del los per sie wir".split()
 
-# Labelled paragraphs; the families' are templates too.
+# Words of which a notice has one.
+TRIGGERS = "license licensed licence licenced licenses spdx-license-identifier gpl gplv2 gplv3 lgpl lgplv3 agpl agplv3 mit apache bsd mpl mozilla isc boost unlicense cc cc0 cc-by creative creativecommons.org redistribution redistribute permission contributors unencumbered unlicense.org".split()
+
+# Words that decide between families, beside version numbers.
+DECIDING = "lesser affero sharealike noderivatives noderivs noncommercial by-sa by-nd by-nc by-nc-sa by-nc-nd nc sa nd lgpl lgplv2.1 lgplv3 agpl agplv3 gplv2 gplv3 2-clause two-clause simplified 3-clause three-clause modified 1 1.0 1.1 2 2.0 2.1 2.5 3 3.0 4 4.0 v1 v2 v2.0 v2.1 v3 v3.0 v4.0 zero cc0 lgpl-2.1 lgpl-3.0 gpl-2.0 gpl-3.0".split()
+
+#: Families without a version or variant, and those beside which they say nothing more.
+GENERAL = {"GPL": ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"]}
+
+# Labelled notices; the families' are templates too.
 LABELLED = {
     "Apache-2.0": """
 Licensed under the Apache License, Version 2.0.
@@ -47,37 +60,149 @@ SPDX-License-Identifier: Apache-2.0
 This project is released under the Apache License 2.0.
 Distributed under the terms of the Apache 2.0 license.
 Apache License Version 2.0, January 2004
-This file is licensed to you under the Apache License, Version 2.0.
+Apache License, Version 2.0
+Apache License 2.0
 """,
     "MIT": """
 Released under the MIT License.
 This project is licensed under the MIT License.
 SPDX-License-Identifier: MIT
 The MIT License (MIT)
-Distributed under the MIT license, see the LICENSE file.
 Licensed under MIT.
+MIT License
 Code is available under the terms of the MIT License.
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction
 """,
     "GPL-3.0": """
 This work is licensed under the GNU General Public License, version 3.
-This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.
-You should have received a copy of the GNU General Public License along with this program.
+under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version
 SPDX-License-Identifier: GPL-3.0-or-later
+SPDX-License-Identifier: GPL-3.0-only
 Released under the GNU GPL v3.
-GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
+GNU GENERAL PUBLIC LICENSE Version 3
 Licensed under the GPL version 3.
-This software is distributed under the GNU General Public License v3.0.
+distributed under the GNU General Public License v3.0.
+GNU General Public License 3.0
+Licensed under the GPLv3.
+GNU GPLv3
+GPL-3.0 license
 """,
-    "CC-BY-NC-4.0": """
-Licensed under CC BY-NC 4.0.
-This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.
-SPDX-License-Identifier: CC-BY-NC-4.0
-Content is available under CC BY-NC 4.0.
-Creative Commons Attribution NonCommercial 4.0
-Text released under the Creative Commons BY-NC license, version 4.0.
-http://creativecommons.org/licenses/by-nc/4.0/
-This material may be shared with attribution for noncommercial purposes, CC BY-NC 4.0.
+    "GPL-2.0": """
+This work is licensed under the GNU General Public License, version 2.
+under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version
+SPDX-License-Identifier: GPL-2.0-or-later
+SPDX-License-Identifier: GPL-2.0-only
+Released under the GNU GPL v2.
+GNU GENERAL PUBLIC LICENSE Version 2
+Licensed under the GPL version 2.
+distributed under the GNU General Public License v2.0.
+GNU General Public License 2.0
+Licensed under the GPLv2.
+GNU GPLv2
+GPL-2.0 license
+""",
+    "GPL": """
+You should have received a copy of the GNU General Public License along with this program.
+Licensed under the GNU General Public License.
+Released under the GPL.
+Distributed under the terms of the GNU GPL.
+GNU General Public License
+""",
+    "LGPL-3.0": """
+This library is licensed under the GNU Lesser General Public License, version 3.
+under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version
+SPDX-License-Identifier: LGPL-3.0-or-later
+SPDX-License-Identifier: LGPL-3.0-only
+GNU LESSER GENERAL PUBLIC LICENSE Version 3
+Licensed under the LGPL version 3.
+GNU Lesser General Public License v3.0
+Released under the GNU LGPL v3.
+Licensed under the LGPLv3.
+""",
+    "LGPL-2.1": """
+This library is licensed under the GNU Lesser General Public License, version 2.1.
+under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version
+SPDX-License-Identifier: LGPL-2.1-or-later
+SPDX-License-Identifier: LGPL-2.1-only
+GNU LESSER GENERAL PUBLIC LICENSE Version 2.1
+Licensed under the LGPL version 2.1.
+GNU Lesser General Public License v2.1
+Released under the GNU LGPL v2.1.
+""",
+    "AGPL-3.0": """
+This work is licensed under the GNU Affero General Public License, version 3.
+under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version
+SPDX-License-Identifier: AGPL-3.0-or-later
+SPDX-License-Identifier: AGPL-3.0-only
+GNU AFFERO GENERAL PUBLIC LICENSE Version 3
+Licensed under the AGPL version 3.
+GNU Affero General Public License v3.0
+Released under the GNU AGPL v3.
+Licensed under the AGPLv3.
+""",
+    "MPL-2.0": """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+Mozilla Public License, v. 2.0
+Mozilla Public License Version 2.0
+SPDX-License-Identifier: MPL-2.0
+Licensed under the Mozilla Public License, version 2.0.
+Released under the Mozilla Public License 2.0
+Licensed under the MPL 2.0.
+If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/
+""",
+    "BSD-3-Clause": """
+Released under the BSD 3-Clause License.
+SPDX-License-Identifier: BSD-3-Clause
+Licensed under the 3-clause BSD license.
+3-clause BSD license
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+This project is distributed under the three-clause BSD license.
+Modified BSD License
+""",
+    "BSD-2-Clause": """
+Released under the BSD 2-Clause License.
+SPDX-License-Identifier: BSD-2-Clause
+Licensed under the 2-clause BSD license.
+2-clause BSD license
+This project is distributed under the two-clause BSD license.
+Simplified BSD License
+""",
+    "BSD": """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.
+Licensed under the BSD License.
+Released under the BSD license.
+BSD License
+""",
+    "ISC": """
+Released under the ISC License.
+This project is licensed under the ISC License.
+SPDX-License-Identifier: ISC
+ISC License
+Licensed under ISC.
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+""",
+    "BSL-1.0": """
+Distributed under the Boost Software License, Version 1.0.
+Boost Software License - Version 1.0
+SPDX-License-Identifier: BSL-1.0
+Licensed under the Boost Software License 1.0.
+See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt
+""",
+    "Unlicense": """
+This is free and unencumbered software released into the public domain.
+SPDX-License-Identifier: Unlicense
+Released under the Unlicense.
+For more information, please refer to http://unlicense.org
+Licensed under the Unlicense.
+""",
+    "CC0-1.0": """
+Licensed under CC0 1.0.
+This work is dedicated to the public domain under Creative Commons CC0 1.0 Universal.
+SPDX-License-Identifier: CC0-1.0
+Creative Commons Zero 1.0 Universal license
+Released under CC0.
+http://creativecommons.org/publicdomain/zero/1.0/
 """,
     "CC-BY-4.0": """
 Licensed under CC BY 4.0.
@@ -87,17 +212,47 @@ Content is available under CC BY 4.0.
 Text released under the Creative Commons Attribution license, version 4.0.
 http://creativecommons.org/licenses/by/4.0/
 Creative Commons Attribution 4.0 International
-This material may be shared with attribution, CC BY 4.0.
+Licensed under CC-BY 4.0.
 """,
-    "BSD-3-Clause": """
-Released under the BSD 3-Clause License.
-SPDX-License-Identifier: BSD-3-Clause
-Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
-Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.
-Licensed under the BSD License.
-Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
-This project is distributed under the three-clause BSD license.
-Modified BSD License
+    "CC-BY-SA-4.0": """
+Licensed under CC BY-SA 4.0.
+This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.
+SPDX-License-Identifier: CC-BY-SA-4.0
+Content is available under CC BY-SA 4.0.
+Text released under the Creative Commons Attribution ShareAlike license, version 4.0.
+http://creativecommons.org/licenses/by-sa/4.0/
+Creative Commons Attribution Share Alike 4.0 International
+""",
+    "CC-BY-ND-4.0": """
+Licensed under CC BY-ND 4.0.
+This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.
+SPDX-License-Identifier: CC-BY-ND-4.0
+Content is available under CC BY-ND 4.0.
+Text released under the Creative Commons Attribution NoDerivatives license, version 4.0.
+http://creativecommons.org/licenses/by-nd/4.0/
+""",
+    "CC-BY-NC-4.0": """
+Licensed under CC BY-NC 4.0.
+This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.
+SPDX-License-Identifier: CC-BY-NC-4.0
+Content is available under CC BY-NC 4.0.
+Text released under the Creative Commons Attribution NonCommercial license, version 4.0.
+http://creativecommons.org/licenses/by-nc/4.0/
+Creative Commons Attribution NonCommercial 4.0
+""",
+    "CC-BY-NC-SA-4.0": """
+Licensed under CC BY-NC-SA 4.0.
+This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.
+SPDX-License-Identifier: CC-BY-NC-SA-4.0
+Content is available under CC BY-NC-SA 4.0.
+http://creativecommons.org/licenses/by-nc-sa/4.0/
+""",
+    "CC-BY-NC-ND-4.0": """
+Licensed under CC BY-NC-ND 4.0.
+This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.
+SPDX-License-Identifier: CC-BY-NC-ND-4.0
+Content is available under CC BY-NC-ND 4.0.
+http://creativecommons.org/licenses/by-nc-nd/4.0/
 """,
     UNKNOWN: """
 The driver's license was renewed last week.
@@ -132,16 +287,36 @@ Each person obtained a ticket without restriction.
 The restaurant lost its liquor license.
 Released prisoners need support.
 The clause was struck from the treaty.
+The library has four floors.
+A boost for the local economy.
+The fishing license costs 20 dollars.
+Licensed drivers may enter the race.
+The marriage license was issued in Boston.
+Permission to use the hall is granted by the mayor.
+The contributors of the volume met in Paris.
+The magazine is published under license.
+Mozilla held a meeting in Berlin.
+The work is in the public domain of debate.
+License agreement
+Terms of the license
+Proprietary license, all rights reserved.
+Commercial license required.
+SPDX-License-Identifier: LicenseRef-Proprietary
+Licensed under the terms of the contract.
 """,
 }
 
 
 def words_of(text: str) -> list[str]:
     lower = "".join(c.lower() if c.isascii() else c for c in text)
-    return re.findall(WORD, lower)
+    return [w for w in re.findall(WORD, lower) if w not in _STOP]
+
+
+_STOP = set(STOP_WORDS)
 
 
 def grams_of(words: list[str]) -> set[str]:
+    """Words and pairs of words that follow each other once stop words are gone."""
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
@@ -149,94 +324,107 @@ def rows() -> list[tuple[str, str]]:
     return [(line, family) for family, lines in LABELLED.items() for line in lines.strip().split("\n")]
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
 @cache
-def fit(epochs: int = 150, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> dict:
+def fit(steps: int = 200, rate: float = 2.0, decay: float = 1e-3) -> dict:
     """Classes, bias and weights by feature, divided by the temperature."""
-    stop = set(STOP_WORDS)
     data = [(words_of(t), y) for t, y in rows()]
-    known = {w for ws, y in data if y != UNKNOWN for w in ws if w not in stop and len(w) > 1}
-
-    def features(ws: list[str]) -> list[str]:
-        return sorted(g for g in grams_of(ws) if all(w in known for w in g.split()))
-
+    known = sorted({g for ws, y in data if y != UNKNOWN for g in grams_of(ws)})
+    at = {g: i for i, g in enumerate(known)}
     classes = [UNKNOWN, *(c for c in LABELLED if c != UNKNOWN)]
-    examples = [(features(ws), classes.index(y)) for ws, y in data]
-    examples += [([], 0)] * 20
-
-    def train(some):
-        weights: dict[str, list[float]] = {}
-        bias = [0.0] * len(classes)
-        order, shuffle = list(some), random.Random(seed)
-        for epoch in range(epochs):
-            shuffle.shuffle(order)
-            step = rate / (1 + epoch / 30)
-            for fs, y in order:
-                p = softmax(add(bias, [weights.get(f) for f in fs]))
-                grad = [q - (c == y) for c, q in enumerate(p)]
-                bias = [b - step * 0.1 * g for b, g in zip(bias, grad)]
-                for f in fs:
-                    w = weights.get(f) or [0.0] * len(classes)
-                    weights[f] = [x * (1 - step * decay) - step * g / math.sqrt(len(fs)) for x, g in zip(w, grad)]
+    # rows of the unknown class count for more where they share no feature with a notice: that is what most text looks like
+    data += [([], UNKNOWN)] * 20
+    x, y = np.zeros((len(data), len(known))), np.array([classes.index(c) for _, c in data])
+    for i, (ws, _) in enumerate(data):
+        own = [at[g] for g in grams_of(ws) if g in at]
+        x[i, own] = 1
+    size = np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    truth = np.eye(len(classes))[y]
+
+    def train(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights, bias = np.zeros((len(known), len(classes))), np.zeros(len(classes))
+        a, b, scale = x[some], truth[some], size[some]
+        for _ in range(steps):
+            gap = np.exp(log_softmax(a @ weights + bias)) - b
+            weights -= rate * ((a / scale).T @ gap / np.sqrt(len(some)) + decay * weights)
+            bias -= rate * gap.mean(axis=0)
         return weights, bias
 
-    held = examples[::4]
-    weights, bias = train([e for i, e in enumerate(examples) if i % 4])
-
-    def loss(t):
-        return -sum(math.log(max(1e-12, softmax([z / t for z in add(bias, [weights.get(f) for f in fs])])[y])) for fs, y in held)
-
-    heat = min((k / 4 for k in range(2, 21)), key=loss)
-    weights, bias = train(examples)
-    return {"classes": classes, "bias": [b / heat for b in bias], "weights": {f: [x / heat for x in w] for f, w in weights.items()}, "words": sorted(known)}
+    held = np.zeros((len(data), len(classes)))
+    for fold in range(FOLDS):
+        out = np.arange(len(data)) % FOLDS == fold
+        weights, bias = train(np.flatnonzero(~out))
+        held[out] = x[out] @ weights + bias
+    loss = lambda t: -log_softmax(held / t)[np.arange(len(data)), y].mean()
+    heat = min((k / 8 for k in range(4, 41)), key=loss)
+    weights, bias = train(np.arange(len(data)))
+    return {"classes": classes, "bias": (bias / heat).tolist(), "weights": dict(zip(known, (weights / heat).tolist())), "heat": heat}
 
 
-def add(bias, rows_):
-    return [b + sum(r[c] for r in rows_ if r) for c, b in enumerate(bias)]
+def templates() -> list[tuple[str, list[str], list[str]]]:
+    """Family, words and pairs, and deciding words of each template."""
+    return [(y, sorted(grams_of(ws := words_of(t))), sorted(set(ws) & set(DECIDING))) for t, y in rows() if y != UNKNOWN]
 
 
-def softmax(z):
-    top = max(z)
-    e = [math.exp(x - top) for x in z]
-    return [x / sum(e) for x in e]
+def _words(text: Column) -> Column:
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1)), lambda w: ~w.isin(STOP_WORDS))
 
 
-def _agreement(words: Column, template: Column) -> Column:
-    return F.size(F.array_intersect(words, template)) / F.least(F.size(words), F.size(template))
+def _units_of(lines: str) -> Column:
+    """Every line, and every two to ``LINES`` lines in a row, joined by a blank."""
+    runs = [f"CASE WHEN size({lines}) >= {k} THEN transform(sequence(1, size({lines}) - {k - 1}), i -> concat_ws(' ', slice({lines}, i, {k}))) ELSE cast(array() AS array<string>) END" for k in range(2, LINES + 1)]
+    return F.expr(f"concat({lines}, {', '.join(runs)})")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Confirmed licence paragraphs: ``_k1``, ``_k2`` (keys of the document), ``line``, ``family``, ``probability``."""
+    """Confirmed notices: ``_k1``, ``_k2`` (keys of the document), ``paragraph`` (its number), ``family``, ``probability``."""
     spark = docs.sparkSession
     model = fit()
     classes = model["classes"]
-    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in model["words"]) + r")(?![a-z0-9])"
+    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in TRIGGERS) + r")(?![a-z0-9])"
     texts = keyed(docs, id_col, text_col)
-    some = texts.where(F.col("_text").rlike(pattern)).select("_k1", "_k2", F.posexplode(F.split("_text", "\n")).alias("line", "paragraph"))
-    lower = F.translate("paragraph", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    some = some.where(F.col("paragraph").rlike(pattern)).select("_k1", "_k2", "line", F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1)).alias("words"))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    some = some.withColumn("own", F.array_except(F.array_distinct("words"), F.array(*[F.lit(w) for w in STOP_WORDS])))
+    some = texts.where(F.col("_text").rlike(pattern)).select("_k1", "_k2", F.posexplode(F.split("_text", r"\r?\n[ \t\r]*\n")).alias("paragraph", "body"))
+    # the lines are split once, in a projection of their own
+    units = some.where(F.col("body").rlike(pattern)).withColumn("lines", F.split("body", "\n")).select("_k1", "_k2", "paragraph", _units_of("lines").alias("units"))
+    units = units.select("_k1", "_k2", "paragraph", F.posexplode("units").alias("unit", "body")).where(F.col("body").rlike(pattern))
+    units = units.select("_k1", "_k2", "paragraph", "unit", _words(F.col("body")).alias("words"))
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, rest), F.slice("words", 2, rest), lambda a, b: F.concat_ws(" ", a, b))
+    units = units.withColumn("own", F.array_distinct(F.concat("words", pairs))).select("_k1", "_k2", "paragraph", "unit", "own")
+    # units of copies of a row are equal; one of them stands for all
+    units = units.dropDuplicates(["_k1", "_k2", "paragraph", "unit"])
     weights = spark.createDataFrame([(f, *w) for f, w in sorted(model["weights"].items())], "feature string, " + ", ".join(f"w{c} double" for c in range(len(classes))))
-    grams = some.select("_k1", "_k2", "line", "own", F.explode(F.array_distinct(F.concat("words", pairs))).alias("feature"))
+    grams = units.select("*", F.explode("own").alias("feature"))
     found = grams.join(F.broadcast(weights), "feature")
-    # copies of a row have equal paragraphs; the first of the equal sums is each one's score
-    sums = found.groupBy("_k1", "_k2", "line", "feature").agg(F.first("own").alias("own"), *[F.first(f"w{c}").alias(f"w{c}") for c in range(len(classes))])
-    sums = sums.groupBy("_k1", "_k2", "line").agg(F.first("own").alias("own"), *[(F.sum(f"w{c}") + model["bias"][c]).alias(f"z{c}") for c in range(len(classes))])
+    key = ["_k1", "_k2", "paragraph", "unit"]
+    sums = found.groupBy(*key).agg(F.first("own").alias("own"), *[(F.sum(f"w{c}") + model["bias"][c]).alias(f"z{c}") for c in range(len(classes))])
     top = F.greatest(*[F.col(f"z{c}") for c in range(len(classes))])
     total = sum((F.exp(F.col(f"z{c}") - top) for c in range(1, len(classes))), F.exp(F.col("z0") - top))
     best = F.coalesce(*[F.when(F.col(f"z{c}") == top, F.lit(name)) for c, name in enumerate(classes)])
-    scored = sums.select("_k1", "_k2", "line", "own", best.alias("family"), (1 / total).alias("probability"))
+    scored = sums.select("_k1", "_k2", "paragraph", "own", best.alias("family"), (1 / total).alias("probability"))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
-    stop = set(STOP_WORDS)
-    templates = spark.createDataFrame([(y, [w for w in dict.fromkeys(words_of(t)) if w not in stop]) for t, y in rows() if y != UNKNOWN], "family string, template array<string>")
-    templates = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))
-    confirmed = scored.join(F.broadcast(templates), "family").where(F.exists("templates", lambda t: _agreement(F.col("own"), t) >= AGREE))
-    return confirmed.select("_k1", "_k2", "line", "family", "probability")
+    known = spark.createDataFrame(templates(), "family string, grams array<string>, deciding array<string>")
+    known = known.groupBy("family").agg(F.collect_list(F.struct("grams", "deciding")).alias("templates"))
+    decides = F.array_sort(F.array_intersect("own", F.array(*[F.lit(w) for w in DECIDING])))
+    fits = F.exists("templates", lambda t: (F.size(F.array_intersect(F.col("own"), t["grams"])) >= AGREE * F.size(t["grams"])) & (F.col("decides") == F.array_sort(t["deciding"])))
+    return scored.withColumn("decides", decides).join(F.broadcast(known), "family").where(fits).select("_k1", "_k2", "paragraph", "family", "probability")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: ``id_col``, carried columns, ``families`` (sorted), ``n_licensed`` (paragraphs), ``probability`` (the least, null without any)."""
-    found = paragraphs(docs, id_col, text_col).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_licensed"), F.min("probability").alias("probability"))
+    """One row per document: ``id_col``, carried columns, ``families`` (sorted), ``n_licensed`` (paragraphs that name one), ``probability``.
+
+    A paragraph has the greatest probability of its confirmed units, a document the least of such paragraphs (null without any).
+    """
+    each = paragraphs(docs, id_col, text_col).groupBy("_k1", "_k2", "paragraph").agg(F.collect_set("family").alias("families"), F.max("probability").alias("probability"))
+    for general, special in GENERAL.items():
+        named = F.arrays_overlap("families", F.array(*[F.lit(x) for x in special]))
+        each = each.withColumn("families", F.when(named, F.array_remove("families", general)).otherwise(F.col("families")))
+    found = each.groupBy("_k1", "_k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"), F.count("*").alias("n_licensed"), F.min("probability").alias("probability"))
     found = found.select(F.col("_k1").alias("_m1"), F.col("_k2").alias("_m2"), "families", "n_licensed", "probability")
     every = keyed(docs, id_col, text_col, carry).select("_k1", "_k2", "_carry")
     out = every.join(found, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
