@@ -115,21 +115,25 @@ class Words:
         return span_hash(self.eight, self.starts, self.ends, seed)
 
 
-def same_words(a: Words, x: np.ndarray, b: Words, y: np.ndarray) -> np.ndarray:
-    """Whether words ``x`` of ``a`` have the bytes of words ``y`` of ``b``."""
-    a_starts, b_starts = a.starts[x], b.starts[y]
-    sizes = a.ends[x] - a_starts
-    out = sizes == b.ends[y] - b_starts
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` has the bytes of its span of ``b`` (both as ``Words.eight``)."""
+    sizes = a_ends - a_starts
+    out = sizes == b_ends - b_starts
     at, open_ = 0, np.flatnonzero(out)
     while len(open_):
         mask = _MASKS[np.minimum(sizes[open_] - at, 8)]
-        same = ((a.eight[a_starts[open_] + at] ^ b.eight[b_starts[open_] + at]) & mask) == 0
+        same = ((a[a_starts[open_] + at] ^ b[b_starts[open_] + at]) & mask) == 0
         out[open_[~same]] = False
         at += 8
         open_ = open_[same & (sizes[open_] > at)]
     return out
 
 
+def same_words(a: Words, x: np.ndarray, b: Words, y: np.ndarray) -> np.ndarray:
+    """Whether words ``x`` of ``a`` have the bytes of words ``y`` of ``b``."""
+    return same_spans(a.eight, a.starts[x], a.ends[x], b.eight, b.starts[y], b.ends[y])
+
+
 def span_hash(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Fingerprints of byte spans of one byte or more (``eight``: see ``Words``): the mixed sum of their mixed eight-byte pieces, each with a key of its place.
 

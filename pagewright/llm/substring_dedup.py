@@ -1,15 +1,17 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is ``width`` consecutive words of one text. Each window has a minimiser, the least of the hashes of its
-``m`` word grams; consecutive windows that share one travel as a single packed string (a super-k-mer) to the
-minimiser's bucket. There all windows are sorted by hash, neighbours are compared word by word, and a window that
-starts in two places or more is repeated. Every word under a repeated window is removed; windows are judged on the
+``m`` word grams; consecutive windows that share one travel as a single packed string (a super-k-mer, its words joined by one
+byte) to the minimiser's bucket. There all windows are sorted by hash, neighbours are compared byte by byte, and a window
+that starts in two places or more is repeated. Every word under a repeated window is removed; windows are judged on the
 input and not on what is left.
 
 Skew: a gram that stands in a large share of the corpus would make one bucket hot, so a first pass counts all grams in a
-table of fixed size and grams above a multiple of the mean are taken as minimisers only if a window has no other.
+table of fixed size, and grams above a multiple of the mean are no minimisers. A window that has no other gram goes by the
+least of its grams of ``LONG_GRAM`` words, which deals such windows out again.
 Equal super-k-mers of one slice are merged before the shuffle (the merged ones are known to be repeated), hence a passage
-that every text holds reaches its bucket once per slice. Memory is bounded by a slice, a bucket or the longest text.
+that every text holds reaches its bucket once per slice. Of the texts, only those with repeated windows (and few others, sieved by
+a bitmap of fixed size) are shuffled to their marks. Memory is bounded by a slice, a bucket or the longest text.
 
 Defined cases: a null or empty text has no words and gives an empty result; a text shorter than a window keeps all words;
 repeated rows are counted as separate texts, so that their windows repeat; ids may be null or repeat; an empty table
@@ -25,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import Masked, keyed
+from pagewright.llm._shared import Masked, keyed, sieve, write_table
 
 WIDTH = 35
-GRAM = 4
+GRAM, LONG_GRAM = 4, 16
 SLOT_BITS = 20
 #: A slot of the gram table is hot from this multiple of the mean count on.
 HOT_TIMES = 16
 #: Bytes of packed strings that one bucket gets on the average, and the growth of text by packing.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 PACKED_TIMES = 3
 
 
@@ -74,6 +76,9 @@ def _runs(words: K.Words, width: int, m: int, hot: np.ndarray):
     late = hot[(grams >> K.U(64 - SLOT_BITS)).astype(np.int64)]
     order = (K.mix(grams) >> K.U(1)) | (late.astype(K.U) << K.U(63))
     least = K.sliding_min(order, width - m + 1)
+    if (all_hot := least >> K.U(63) == 1).any():
+        long = min(LONG_GRAM, width)
+        least = np.where(all_hot, K.sliding_min(_grams(words, long), width - long + 1) | K.U(1 << 63), least)
     whole = words.row[:n] == words.row[width - 1 :]
     opens, closes = whole.copy(), whole.copy()
     same = (least[1:] == least[:-1]) & (words.row[1:n] == words.row[: n - 1])
@@ -131,9 +136,10 @@ def _pack(width: int, m: int, buckets: int, hot_bits):
                 meta = np.zeros(len(every), _META)
                 meta["k1"], meta["k2"] = k1[at + row[every]], k2[at + row[every]]
                 meta["start"], meta["n"], meta["many"] = first[every] - words.first[row[every]], stop[every] - first[every], many[every]
-                begins, ends = words.starts[first[every]], words.ends[last[every] - 1]
-                packed = K.gather(data, begins, ends, gap=10)
-                edge = np.append(0, np.cumsum(ends - begins + 1))
+                size = last[every] - first[every]
+                member = K.ranges(first[every], size)
+                packed = K.gather(data, words.starts[member], words.ends[member], gap=10)
+                edge = np.append(0, np.cumsum(words.ends[member] - words.starts[member] + 1))[np.append(0, np.cumsum(size))]
                 cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     out["bucket"].append(int(bucket[a]))
@@ -154,7 +160,7 @@ def _equal_runs(words: K.Words, key: np.ndarray, first: np.ndarray, last: np.nda
     if len(at):  # word by word
         x, y = order[at - 1], order[at]
         size = last[x] - first[x]
-        equal = words.hash[K.ranges(first[x], size)] == words.hash[K.ranges(first[y], size)]
+        equal = K.same_words(words, K.ranges(first[x], size), words, K.ranges(first[y], size))
         near[at] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
     head = np.flatnonzero(~near)
     group = np.cumsum(~near) - 1
@@ -183,7 +189,7 @@ def _count(width: int):
             size = meta["n"] + (width - 1)
             first = np.cumsum(size) - size
             window = K.ranges(first.astype(np.int64), meta["n"].astype(np.int64))
-            again = _repeated(words.hash, window, width)
+            again = _repeated(words, window, width)
             again &= ~np.repeat(meta["many"], meta["n"])
             at = np.flatnonzero(again)
             run_of = np.repeat(np.arange(len(meta)), meta["n"])[at]
@@ -199,31 +205,27 @@ def _count(width: int):
     return run
 
 
-def _repeated(h: np.ndarray, window: np.ndarray, width: int) -> np.ndarray:
-    """Whether each window (index of its first word) has the same words as another one."""
-    sums, down = K.prefix_sums(h)
+def _repeated(words: K.Words, window: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window (index of its first word) has the same words as another one; words are one byte apart."""
+    sums, down = K.prefix_sums(words.hash)
     key = K.run_hash(sums, down, window, window + width)
     order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(key[1:] == key[:-1])
-    del key
     out = np.zeros(len(window), bool)
     odd = []
     for k in range(0, len(at), 1 << 16):
-        x, y = order[at[k : k + (1 << 16)]], order[at[k : k + (1 << 16)] + 1]
-        same = np.ones(len(x), bool)
-        for j in range(width):
-            same &= h[window[x] + j] == h[window[y] + j]
+        some = at[k : k + (1 << 16)]
+        x, y = order[some], order[some + 1]
+        same = K.same_spans(words.eight, words.starts[window[x]], words.ends[window[x] + width - 1], words.eight, words.starts[window[y]], words.ends[window[y] + width - 1])
         out[x[same]] = out[y[same]] = True
-        odd.extend(at[k : k + (1 << 16)][~same].tolist())
-    if odd:  # two contents under one hash: their windows are told apart by content
-        keys = K.run_hash(sums, down, window, window + width)
-        for value in {int(keys[order[i]]) for i in odd}:
-            seen: dict = {}
-            for i in np.flatnonzero(keys == K.U(value)):
-                seen.setdefault(h[window[i] : window[i] + width].tobytes(), []).append(i)
-            for places in seen.values():
-                out[places] = len(places) > 1
+        odd.extend(np.unique(key[some[~same]]).tolist())
+    for value in set(odd):  # two contents under one hash: their windows are told apart by content
+        seen: dict = {}
+        for i in order[np.searchsorted(key, K.U(value)) : np.searchsorted(key, K.U(value), side="right")].tolist():
+            seen.setdefault(words.data[words.starts[window[i]] : words.ends[window[i] + width - 1]].tobytes(), []).append(i)
+        for places in seen.values():
+            out[places] = len(places) > 1
     return out
 
 
@@ -293,15 +295,23 @@ def repeated_ranges(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     return packed.groupBy("bucket").applyInArrow(_count(width), "_k1 long, _k2 long, start int, stop int")
 
 
+def _with_marks(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Keyed texts that have no repeated window, and the others (or some more) with ``marks``, the ranges of their words."""
+    marks = repeated_ranges(texts, width).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+    marks = write_table(marks, "marks")
+    fingers = marks.select("_k2")
+    return sieve(texts, "_k2", fingers, inside=False), sieve(texts, "_k2", fingers).join(marks, ["_k1", "_k2"], "left")
+
+
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, with_clean: bool = False) -> DataFrame:
     """One row per document: ``id_col`` and the carried columns, ``n_words``, ``n_removed``, ``kept_text``; ``clean_text`` on request.
 
     ``kept_text`` has the kept words joined by one space, ``clean_text`` the original text without the removed words.
     """
     texts = keyed(docs, id_col, text_col, carry)
-    marks = repeated_ranges(texts, width).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    marks = marks.select(F.col("_k1").alias("_m1"), F.col("_k2").alias("_m2"), "marks")
-    both = texts.join(marks, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left").select("_text", "marks", "_carry")
+    whole, marked = _with_marks(texts, width)
+    none = F.lit(None).cast("array<struct<start:int,stop:int>>")
+    both = whole.select("_text", none.alias("marks"), "_carry").union(marked.select("_text", "marks", "_carry"))
     kind = texts.schema["_carry"].dataType.simpleString()
     schema = f"_carry {kind}, n_words long, n_removed long, kept_text string" + ", clean_text string" * with_clean
     return both.mapInArrow(_remove(with_clean), schema).select("_carry.*", "n_words", "n_removed", "kept_text", *["clean_text"] * with_clean)
@@ -310,5 +320,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their own columns; words under repeated windows are cut out of the text (a null text stays null)."""
     m = Masked(docs, id_col, text_col)
-    out = dedup_substrings(m.docs, width, m.id, m.text, carry=m.columns, with_clean=True)
-    return m.back(out, **{text_col: F.when(F.col(m.text).isNotNull(), F.col("clean_text"))})
+    texts = keyed(m.docs, m.id, m.text, m.columns)
+    whole, marked = _with_marks(texts, width)
+    kind = texts.schema["_carry"].dataType.simpleString()
+    cut = marked.select("_text", "marks", "_carry").mapInArrow(_remove(True), f"_carry {kind}, n_words long, n_removed long, kept_text string, clean_text string")
+    text = F.when(F.col(f"_carry.{m.text}").isNotNull(), F.col("clean_text"))
+    cut = cut.select(F.struct(*[text.alias(c) if c == m.text else F.col(f"_carry.{c}").alias(c) for c in m.columns]).alias("_carry"))
+    return m.back(whole.select("_carry").union(cut).select("_carry.*"))

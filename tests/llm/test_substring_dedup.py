@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from pagewright.llm import substring_dedup
 from pagewright.llm.substring_dedup import dedup_substrings, without_repeats
 
 
@@ -60,3 +61,39 @@ def test_without_repeats_keeps_columns(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_substrings(df).collect() == []
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_differ_in_the_order_of_their_bytes(spark):
+    x, y = thue_morse(10)
+    rest = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([x, *rest])), (2, " ".join([y, *rest])), (3, "\n".join([y, *rest]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in dedup_substrings(df).collect())
+    assert got == [(1, 35, 0), (2, 35, 35), (3, 35, 35)]
+
+
+def test_windows_of_hot_grams_only(spark, monkeypatch):
+    """Grams that stand out are no minimisers; windows of nothing else go by longer grams, with the same result."""
+    monkeypatch.setattr(substring_dedup, "HOT_TIMES", 0)
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choice("ab") for _ in range(r.choice([40, 60, 90])))) for k in range(60)]
+    rows += [(100 + k, " ".join(["of the"] * 40) + f" end{k} " + " ".join(f"u{k}_{i}" for i in range(50))) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for width in (7, 20):
+        got = sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in dedup_substrings(df, width=width).collect()), key=str)
+        assert got == brute(rows, width)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    words = [f"v{r.randrange(5000)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:1200]) + " end"), (3, "z" * 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in dedup_substrings(df).collect()), key=str) == brute(rows, 35)
