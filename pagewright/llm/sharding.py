@@ -5,9 +5,10 @@ runs into tiers by the logarithm of their bytes; where ``FANOUT`` runs of simila
 one run of files of about ``target`` bytes, without a shuffle: partitions of the input are coalesced, and each task streams its
 rows. Merging goes on until no tier is full, so that a row is rewritten a logarithmic number of times.
 
-A manifest names the runs of one version. It is written under a name of its own and renamed to its version; the rename fails if
-another writer was first, in which case the change is worked out again on that writer's version. Readers see whole versions
-only; what a crash leaves behind is in no manifest, and ``vacuum`` removes it with the files of replaced runs.
+A manifest names the runs of one version. It is written under a name of its own and then given its version's name in one step that
+fails if the name is taken (a rename without overwriting; on a local disk a hard link), in which case the change is worked out again on
+the other writer's version. Readers see whole versions only. ``vacuum`` removes replaced runs, and what a crash leaves behind: runs that
+no manifest names, once nothing has been written to them for ``orphan_seconds``, so that a run which another writer has not committed yet stays.
 
 Defined cases: null values, empty and very long texts, repeated rows and columns of any name are stored as they are; an append
 of no rows adds an empty run of zero bytes; an empty store has no rows and version 0; columns must be the same in all appends.
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +29,8 @@ from pyspark.sql.types import StructType
 FANOUT = 4
 TARGET_BYTES = 128 << 20
 SMALLEST_TIER = 64 << 10
+#: A run that no manifest names is taken for the rest of a crash after this time without a change.
+ORPHAN_SECONDS = 7 * 86400.0
 
 
 class Conflict(Exception):
@@ -62,11 +67,26 @@ class Store:
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        try:
+            self._publish(draft, final)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            raise Conflict(f"version {manifest['version']}") from None
+        finally:
             self._fs.delete(draft, False)
-            raise Conflict(f"version {manifest['version']}")
         return manifest
 
+    def _publish(self, draft, final) -> None:
+        """Give the draft its final name, or fail with some AlreadyExists exception; never replace a file."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        if self._fs.getUri().getScheme() == "file":
+            nio = [jvm.java.nio.file.Paths.get(jvm.java.net.URI(f"file://{p.toUri().getRawPath()}")) for p in (final, draft)]
+            jvm.java.nio.file.Files.createLink(*nio)
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            context.rename(draft, final, gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0))
+
     def _run(self, path: str) -> dict:
         files = [s for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().endswith(".parquet")]
         return {"path": path, "files": len(files), "bytes": sum(s.getLen() for s in files)}
@@ -83,20 +103,19 @@ class Store:
             except Conflict:
                 continue
 
-    def append(self, df: DataFrame, arrival: Column | None = None) -> dict:
-        """Add the rows as one run, or as one run for each value of ``arrival`` (in one pass over the rows)."""
-        folder, schema = f"{self.path}/runs/{uuid.uuid4().hex}", df.schema.json()
+    def _write(self, df: DataFrame, arrival: Column | None) -> list[dict]:
+        """The rows as runs that no manifest names yet."""
+        folder = f"{self.path}/runs/{uuid.uuid4().hex}"
         if arrival is None:
             df.write.parquet(folder)
-            paths = [folder]
-        else:
-            name = "_arrival"
-            while name in df.columns:
-                name += "_"
-            df.withColumn(name, arrival).write.partitionBy(name).parquet(folder)
-            paths = sorted(str(s.getPath()) for s in self._fs.listStatus(self._path(folder)) if s.isDirectory() and not s.getPath().getName().startswith("_temporary"))
-        runs = [self._run(p) for p in paths]
-
+            return [self._run(folder)]
+        name = "_arrival"
+        while name in df.columns:
+            name += "_"
+        df.withColumn(name, arrival).write.partitionBy(name).parquet(folder)
+        return [self._run(p) for p in sorted(str(s.getPath()) for s in self._fs.listStatus(self._path(folder)) if s.isDirectory() and not s.getPath().getName().startswith("_temporary"))]
+
+    def _add(self, runs: list[dict], schema: str) -> dict:
         def change(last: dict) -> dict:
             if last["schema"] not in (None, schema):
                 raise ValueError("columns differ from those of the store")
@@ -104,6 +123,10 @@ class Store:
 
         return self._change(change)
 
+    def append(self, df: DataFrame, arrival: Column | None = None) -> dict:
+        """Add the rows as one run, or as one run for each value of ``arrival`` (in one pass over the rows)."""
+        return self._add(self._write(df, arrival), df.schema.json())
+
     def tier(self, run: dict) -> int:
         return max(0, math.ceil(math.log(max(1, run["bytes"]) / SMALLEST_TIER, self.fanout)))
 
@@ -153,17 +176,35 @@ class Store:
         rows = [(found["version"], r["path"], self.tier(r), r["files"], r["bytes"]) for r in found["runs"]]
         return self.spark.createDataFrame(rows, "version long, path string, tier int, files int, bytes long")
 
-    def vacuum(self) -> None:
-        """Remove all files that the last version does not name; older versions are given up."""
-        used = {self._path(r["path"]).toUri().getPath() for r in self.manifest()["runs"]}
+    def _last_written(self, folder) -> float:
+        """Seconds since the epoch of the last change in a folder."""
+        last, files = self._fs.getFileStatus(folder).getModificationTime(), self._fs.listFiles(folder, True)
+        while files.hasNext():
+            last = max(last, files.next().getModificationTime())
+        return last / 1000
+
+    def vacuum(self, orphan_seconds: float = ORPHAN_SECONDS) -> None:
+        """Remove runs that older versions name and the last one does not, and runs of no version that are older than ``orphan_seconds``.
+
+        Older versions are given up: whoever still reads one fails.
+        """
+        versions = self.versions()
+        place = lambda p: self._path(p).toUri().getPath()
+        once = {place(r["path"]) for v in versions for r in self.manifest(v)["runs"]}
+        # read last: what was committed meanwhile is in use
+        used = {place(r["path"]) for r in self.manifest()["runs"]}
         top = self._path(f"{self.path}/runs")
         for folder in [s.getPath() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []:
             # a run is a folder, or one of the arrivals' folders in it
-            parts = [s.getPath() for s in self._fs.listStatus(folder) if s.isDirectory()]
-            if folder.toUri().getPath() in used:
-                continue
-            kept = [p for p in parts if p.toUri().getPath() in used]
-            for gone in [p for p in parts if p not in kept] if kept else [folder]:
-                self._fs.delete(gone, True)
-        for version in self.versions()[:-1]:
+            parts = [folder, *(s.getPath() for s in self._fs.listStatus(folder) if s.isDirectory())]
+            named = {p.toUri().getPath() for p in parts}
+            if named & used:
+                gone = [p for p in parts[1:] if p.toUri().getPath() in once - used]
+            elif named & once or time.time() - self._last_written(folder) > orphan_seconds:
+                gone = [folder]
+            else:
+                gone = []
+            for path in gone:
+                self._fs.delete(path, True)
+        for version in versions[:-1]:
             self._fs.delete(self._path(f"{self.path}/_manifest/v{version:010d}"), False)
