@@ -125,10 +125,10 @@ class Bpe:
 
     def _codes(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         every = set().union(*(words for _, words in group))
-        new = list(every - self.memo.keys())
+        new = [w for w in every if w not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
-            new = list(every - self.memo.keys())
+            new = [w for w in every if w not in self.memo]
         del every
         for a in range(0, len(new), 1 << 16):
             part = new[a : a + (1 << 16)]

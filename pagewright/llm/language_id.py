@@ -180,7 +180,7 @@ class Scorer:
                 continue
             for a in range(0, len(found), step):
                 part = found[a : a + step]
-                new = list(set(part) - self.memo.keys())
+                new = [w for w in set(part) if w not in self.memo]
                 if new:
                     if len(self.memo) + len(new) > self.most:
                         self.forget()
