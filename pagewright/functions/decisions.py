@@ -42,7 +42,7 @@ RULES = [
     ("C23a", "ACCEPTED", "Normal", "Signatures in isolated areas"),
     ("C23b", "FLAG_FOR_REVIEW", "Low", "Isolated handwriting, text hard to read"),
     ("C24a", "ACCEPTED", "Normal", "Readable text with isolated handwriting"),
-    ("C24b", "REJECTED", "N/A", "Handwritten text throughout the document"),
+    ("C24b", "FLAG_FOR_REVIEW", "Medium", "Readable text, handwriting all over"),
     ("C24c", "FLAG_FOR_REVIEW", "Medium", "Readable text, handwriting of unclear spread"),
     ("C25", "FLAG_FOR_REVIEW", "Low", "Sharp image but unusual font"),
     ("C26a", "ACCEPTED", "Normal", "Handwriting measure unreliable on a soft image"),

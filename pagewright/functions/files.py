@@ -50,3 +50,9 @@ def too_large(length: Column, t: Thresholds = DEFAULTS) -> Column:
 def authorised(header: Column, token: Column) -> Column:
     """Equal, or both missing."""
     return header.eqNullSafe(token)
+
+
+def client_accepts(name: Column, media_type: Column, length: Column, t: Thresholds = DEFAULTS) -> Column:
+    """What a client sends: allowed by its media type or by its name's end, and not too large."""
+    kind = F.coalesce(media_type.isin("application/pdf", "image/png", "image/jpeg", "image/jpg"), F.lit(False))
+    return (kind | F.coalesce(F.lower(name).rlike(r"\.(pdf|png|jpg|jpeg)$"), F.lit(False))) & (length <= t.max_bytes)

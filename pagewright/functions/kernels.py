@@ -138,7 +138,7 @@ def edge_features(g: np.ndarray) -> dict:
 
 
 def skew(edges: np.ndarray, votes: int = 200, lines: int = 20) -> float:
-    """Mean angle of the strongest straight lines, in degrees from the horizontal; 0 without any."""
+    """Mean angle of the strongest straight lines, in degrees, brought into -45 to 45 after averaging; 0 without any line."""
     ys, xs = np.nonzero(edges)
     if not len(ys):
         return 0.0
@@ -153,9 +153,8 @@ def skew(edges: np.ndarray, votes: int = 200, lines: int = 20) -> float:
     if not len(at):
         return 0.0
     best = at[np.argsort(-table[peak], kind="stable")][:lines]
-    angle = best[:, 0] - 90.0
-    angle = np.where(angle > 45, angle - 90, np.where(angle < -45, angle + 90, angle))
-    return float(angle.mean())
+    angle = float((best[:, 0] - 90.0).mean())
+    return angle - 90 if angle > 45 else angle + 90 if angle < -45 else angle
 
 
 def stroke_score(g: np.ndarray) -> float:
@@ -210,7 +209,7 @@ def hot_cells(g: np.ndarray, grid: int = 4) -> int:
 
 def brisque(g: np.ndarray) -> float:
     """Score from products of neighbouring contrast-normalised values, 0 (natural) to 100."""
-    x = g.astype(np.float32)
+    x = g.astype(np.float32) / np.float32(255)
     r = np.arange(-3, 4)
     k = np.exp(-(r**2) / (2 * (7 / 6) ** 2))
     k = (k / k.sum()).astype(np.float32)
@@ -221,8 +220,7 @@ def brisque(g: np.ndarray) -> float:
         return sum(k[i] * p[:, i : i + z.shape[1]] for i in range(7))
 
     mean = blur(x)
-    spread = np.sqrt(np.abs(blur(x * x) - mean * mean))
-    m = (x - mean) / (spread + 1)
+    m = (x - mean) / np.sqrt(np.abs(blur(x * x) - mean * mean) + np.float32(1e-10))
     across, down = m[:, :-1] * m[:, 1:], m[:-1] * m[1:]
     if not across.size or not down.size:
         return 0.0
@@ -255,7 +253,8 @@ def line_mass(g: np.ndarray) -> tuple[float, float]:
 
 
 def circles(g: np.ndarray, least: int = 40, most: int = 150, apart: int = 100, share: float = 0.5) -> int:
-    """Round seals: edge pixels vote along their gradient for centres; a centre counts with ``share`` of its circle."""
+    """Round seals: edge pixels vote along their gradient for centres, for all radii at once; a local maximum of the votes
+    counts if ``share`` of a circle around it are edge pixels whose gradient points to or from it."""
     r = np.arange(-4, 5)
     k = np.exp(-(r**2) / 8)
     k /= k.sum()
@@ -263,37 +262,68 @@ def circles(g: np.ndarray, least: int = 40, most: int = 150, apart: int = 100, s
     p = sum(k[i] * p[i : i + g.shape[0], :] for i in range(9))
     soft = sum(k[i] * p[:, i : i + g.shape[1]] for i in range(9))
     e = canny(np.rint(soft).astype(np.uint8), 50, 100)
+    h, w = g.shape
+    if min(h, w) < 2 or not e.any():
+        return 0
     gy, gx = np.gradient(soft)
     ys, xs = np.nonzero(e)
     size = np.hypot(gx[ys, xs], gy[ys, xs])
-    ys, xs, ux, uy = ys[size > 0], xs[size > 0], (gx[ys, xs] / np.maximum(size, 1e-9))[size > 0], (gy[ys, xs] / np.maximum(size, 1e-9))[size > 0]
-    if not len(ys):
-        return 0
-    h, w = g.shape
-    best: list[tuple[float, int, int]] = []
-    for r in range(least, min(most, max(h, w) // 2) + 1, 2):
-        votes = np.zeros((h, w))
-        for sign in (-1, 1):
-            cy, cx = np.rint(ys + sign * r * uy).astype(int), np.rint(xs + sign * r * ux).astype(int)
+    ys, xs, size = ys[size > 0], xs[size > 0], size[size > 0]
+    ux, uy = gx[ys, xs] / size, gy[ys, xs] / size
+    votes = np.zeros(h * w)
+    radii = np.arange(least, min(most, max(h, w) // 2) + 1)
+    for radius in radii[::2].tolist():
+        for sign in (-radius, radius):
+            cy, cx = np.rint(ys + sign * uy).astype(np.int64), np.rint(xs + sign * ux).astype(np.int64)
             ok = (cy >= 0) & (cy < h) & (cx >= 0) & (cx < w)
-            np.add.at(votes, (cy[ok], cx[ok]), 1)
-        p = np.pad(votes, 2)
-        near = sum(p[a : a + h, b : b + w] for a in range(5) for b in range(5))
-        y, x = divmod(int(near.argmax()), w)
-        best.append((near[y, x] / (2 * np.pi * r), y, x))
+            votes += np.bincount(cy[ok] * w + cx[ok], minlength=h * w) / (2 * np.pi * radius)
+    p = np.pad(votes.reshape(h, w), 2)
+    near = sum(p[a : a + h, b : b + w] for a in range(5) for b in range(5))
+    p = np.pad(near, 1)
+    peak = (near >= share / 2) & (near == np.max([p[a : a + h, b : b + w] for a in range(3) for b in range(3)], axis=0))
+    centres = np.argwhere(peak)
     kept: list[tuple[int, int]] = []
-    for score, y, x in sorted(best, reverse=True):
-        if score >= share and all(np.hypot(y - a, x - b) >= apart for a, b in kept):
+    for y, x in centres[np.argsort(-near[peak], kind="stable")].tolist():
+        if any(np.hypot(y - a, x - b) < apart for a, b in kept):
+            continue
+        away = np.hypot(ys - y, xs - x)
+        radial = np.abs((ys - y) * uy + (xs - x) * ux) >= 0.9 * away
+        rings = np.bincount(np.rint(away[radial]).astype(np.int64), minlength=most + 2)
+        around = rings[radii - 1] + rings[radii] + rings[radii + 1]
+        if len(radii) and (around / (2 * np.pi * radii)).max() >= share:
             kept.append((y, x))
     return len(kept)
 
 
-def features(g: np.ndarray) -> dict:
-    """All figures of a page in one pass."""
-    horizontal, vertical = line_mass(g)
-    stroke, base, space, comp = stroke_score(g), baseline_score(g), spacing_score(g), component_score(g)
-    return {
-        "blur": laplacian_variance(g), "brightness": float(g.mean()), "contrast": float(g.std()), "white_space": float((g > 240).mean() * 100), **edge_features(g),
-        "stroke": stroke, "baseline": base, "spacing": space, "component": comp, "hw": float(np.rint((0.35 * stroke + 0.15 * base + 0.30 * space + 0.20 * comp) * 100) / 100),
-        "hot_regions": hot_cells(g), "brisque": brisque(g), "peak_count": barcode_peaks(g), "has_barcode": validator_barcode(g), "seal_count": circles(g), "h_lines": horizontal, "v_lines": vertical,
-    }
+def validator_seal(g: np.ndarray) -> bool:
+    return circles(g, 30, 150, 50) > 0
+
+
+def validator_table(g: np.ndarray) -> bool:
+    """Whether horizontal bars of forty pixels leave more than a thousandth of the page's size, counted in units of gray."""
+    return line_mass(g)[0] * 255 > g.shape[0] * g.shape[1] * 0.001
+
+
+KERNELS = {
+    "basic": lambda g: {"blur": laplacian_variance(g), "brightness": float(g.mean()), "contrast": float(g.std()), "white_space": float((g > 240).mean() * 100)},
+    "edges": edge_features,
+    "hand": lambda g: _hand(stroke_score(g), baseline_score(g), spacing_score(g), component_score(g)),
+    "grid": lambda g: {"hot_regions": hot_cells(g)},
+    "brisque": lambda g: {"brisque": brisque(g)},
+    "barcode": lambda g: {"peak_count": barcode_peaks(g), "has_barcode": validator_barcode(g)},
+    "seals": lambda g: {"seal_count": circles(g), "has_seal": validator_seal(g)},
+    "tables": lambda g: dict(zip(("h_lines", "v_lines"), line_mass(g))) | {"has_table": validator_table(g)},
+}
+
+
+def _hand(stroke: float, base: float, space: float, comp: float) -> dict:
+    return {"stroke": stroke, "baseline": base, "spacing": space, "component": comp, "hw": float(np.rint((0.35 * stroke + 0.15 * base + 0.30 * space + 0.20 * comp) * 100) / 100)}
+
+
+def features(g: np.ndarray, kernels: list[str] | None = None) -> dict:
+    """The figures of a page in one pass: all, or those of some ``KERNELS``."""
+    out: dict = {}
+    for name, kernel in KERNELS.items():
+        if kernels is None or name in kernels:
+            out |= kernel(g)
+    return out

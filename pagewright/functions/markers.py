@@ -48,25 +48,41 @@ def distinct_letters(marker: str) -> list[str]:
     return sorted(set(marker))
 
 
-def negatives(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+_BIT = {c: 1 << i for i, c in enumerate(sorted(set("".join(NEGATIVE))))}
+_MASK_BITS = len(_BIT)
+
+
+def _letters(word: Column) -> Column:
+    """The letters of a word that markers have, as bits; behind them its length."""
+    mask = F.lit(0).cast("long")
+    for c, bit in _BIT.items():
+        mask = mask.bitwiseOR(F.when(F.contains(word, F.lit(c)), F.lit(bit)).otherwise(0).cast("long"))
+    return F.length(word).cast("long") * (1 << _MASK_BITS) + mask
+
+
+def _has(length: int, need: int, bits: int):
+    """Whether a word's set is of a word that long and has that many of the letters."""
+    return lambda x: (F.shiftright(x, _MASK_BITS) >= length) & (F.bit_count(x.bitwiseAND(F.lit(bits).cast("long"))) >= need)
+
+
+def negatives(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``neg_exact`` and ``neg_partial`` (sorted markers).
 
     A marker that is not contained counts as partly found if some word is at least 0.7 of its length and has 0.8 of its distinct
-    letters. Words are made distinct over the whole table first, each distinct word is held against the markers once
-    (their number is fixed), and hits go back by the word; so work grows with the vocabulary and not with the texts.
+    letters. Every row is judged by itself: its words become sets of letters in one long each, of which the distinct ones are held
+    against the markers by counting common bits. Nothing is shuffled, so that rows may repeat an id.
     """
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.trim(low), r"\s+"))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    letters = F.array_distinct(F.split("word", ""))
-    tests = []
+    # each step is a projection of its own, as its result is used many times
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    words = F.filter(F.array_distinct(F.split(F.trim("_low"), r"\s+")), lambda w: F.length(w) >= 4)
+    df = df.withColumn("_sets", F.array_distinct(F.transform(words, _letters)))
+    near = []
     for m in NEGATIVE:
         if len(m) > 4:
             own = distinct_letters(m)
-            share = F.size(F.array_intersect(letters, F.array(*[F.lit(c) for c in own]))) / F.lit(float(len(own)))
-            tests.append(F.when((F.length("word") >= F.lit(len(m) * 0.7)) & (share >= 0.8), m))
-    hits = vocabulary.select("word", F.explode(F.array_compact(F.array(*tests))).alias("marker"))
-    near = words.join(hits, "word").groupBy(key).agg(F.array_sort(F.collect_set("marker")).alias("_near"))
-    out = df.join(near, key, "left").withColumn("neg_exact", F.array_sort(found(F.coalesce(F.col(text_col), F.lit("")), NEGATIVE)))
-    none = F.array().cast("array<string>")
-    return out.withColumn("neg_partial", F.array_except(F.coalesce("_near", none), F.col("neg_exact"))).drop("_near")
+            length = next(n for n in range(len(m) + 1) if n >= len(m) * 0.7)
+            need = next(n for n in range(len(own) + 1) if n / len(own) >= 0.8)
+            near.append(F.when(F.exists("_sets", _has(length, need, sum(_BIT[c] for c in own))), m))
+    exact = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(m)), m) for m in NEGATIVE]))
+    df = df.withColumns({"neg_exact": F.array_sort(exact), "_near": F.array_sort(F.array_compact(F.array(*near)))})
+    return df.withColumn("neg_partial", F.array_except("_near", "neg_exact")).drop("_low", "_sets", "_near")

@@ -17,11 +17,12 @@ def visual_indicators(df: DataFrame) -> DataFrame:
     parts = {
         "barcode_top_section": ((c("peak_count") > 20) & (c("peak_count") < 200), F.lit(0.5)),
         "barcode_decoded": (data.rlike("[0-9]") & (F.length(data) > 8), F.lit(0.6)),
-        "official_seals": (c("seal_count").between(1, 5), 0.4 + c("seal_count") * 0.1),
+        "n_official_seals": (c("seal_count").between(1, 5), 0.4 + c("seal_count") * 0.1),
         "dense_table_grid": ((c("h_lines") > c("width") * 3) & (c("v_lines") > c("height") * 2), F.lit(0.5)),
     }
     score = sum((F.when(F.coalesce(on, F.lit(False)), w).otherwise(0.0) for on, w in parts.values()), F.lit(0.0))
-    return df.withColumns({"visual_markers": F.array_compact(F.array(*[F.when(on, n) for n, (on, _) in parts.items()])), "visual_score": score})
+    names = {n: F.concat(c("seal_count").cast("string"), F.lit("_official_seals")) if n == "n_official_seals" else F.lit(n) for n in parts}
+    return df.withColumns({"visual_markers": F.array_compact(F.array(*[F.when(on, names[n]) for n, (on, _) in parts.items()])), "visual_score": score})
 
 
 def text_indicators(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,3 +107,26 @@ def route(df: DataFrame) -> DataFrame:
     to = F.col("is_index2") & (F.rint(F.col("confidence") * 1000) / 1000 >= 0.6)
     kind = F.when(to & (F.col("decision") == "REJECT") & F.col("is_handwritten"), "GENERAL").when(to, "INDEX2").otherwise("GENERAL")
     return df.withColumns({"route": F.when(to, "index2").otherwise("general"), "document_type": kind})
+
+
+def first_pages(pages: DataFrame) -> DataFrame:
+    """The pages on which a document is routed: its first one only."""
+    return pages.where(F.col("page_number") == 1)
+
+
+def message(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Adds ``rejection_reason`` (null: accepted) and ``message``; needs decision, ocr, is_handwritten, index2_score and ``n_markers``.
+
+    Figures have one place, rounded half up in decimal arithmetic.
+    """
+    c = F.col
+    one = lambda x: F.round(x.cast("decimal(18,2)"), 1).cast("string")
+    reason = (
+        F.when(c("decision") == "ACCEPT", None).when(c("ocr") < t.index2_ocr, F.concat(F.lit("Text completely unreadable (OCR: "), one(c("ocr")), F.lit("%)")))
+        .when(c("is_handwritten"), "Document is fully handwritten").otherwise(F.concat(F.lit("Quality below minimum threshold (score: "), one(c("index2_score")), F.lit(")")))
+    )
+    df = df.withColumn("rejection_reason", reason)
+    score = one(c("index2_score"))
+    accepted = F.concat(F.lit("Document accepted (score: "), score, F.lit("/100). Document structure verified with "), c("n_markers").cast("string"), F.lit(" authenticity markers."))
+    rejected = F.concat(F.lit("Document rejected: "), c("rejection_reason"), F.lit(". Score: "), score, F.lit("/100"))
+    return df.withColumn("message", F.when(c("decision") == "ACCEPT", accepted).otherwise(rejected))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.checks import round2
+from pagewright.functions.markers import HEADER
 from pagewright.functions.thresholds import DEFAULTS, Thresholds
 
 KEYS = ["doc_id", "page_number"]
@@ -37,3 +38,18 @@ def validator_stats(words: DataFrame) -> DataFrame:
         F.coalesce(round2(F.sum(F.when(F.col("conf") >= 0, F.col("conf"))) / F.count_if(F.col("conf") >= 0)), F.lit(0.0)).alias("confidence"),
         length.alias("text_length"), (length > 50).alias("has_content"), F.count_if(F.trim("text") != "").alias("word_count"),
     )
+
+
+def page_text(passes: DataFrame) -> DataFrame:
+    """``text`` of each page from recognition passes (``pass`` 1 to 4): the first two that gave any, joined by a line break; else the third, else the fourth."""
+    read = [F.max(F.when((F.col("pass") == k) & F.col("text").rlike(r"\S"), F.col("text"))).alias(f"p{k}") for k in (1, 2, 3, 4)]
+    both = F.concat_ws("\n", "p1", "p2")
+    return passes.groupBy(*KEYS).agg(*read).select(*KEYS, F.coalesce(F.when(both != "", both), "p3", "p4", F.lit("")).alias("text"))
+
+
+def header_markers(headers: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``header_markers``: those found in any of the header texts of a document (one for each image variant and page mode)."""
+    low = F.lower("text")
+    seen = [F.bool_or(F.contains(low, F.lit(m.lower())) | F.contains(F.col("text"), F.lit(m))).alias(f"h{i}") for i, m in enumerate(HEADER)]
+    names = F.array_compact(F.array(*[F.when(F.col(f"h{i}"), m) for i, m in enumerate(HEADER)]))
+    return headers.groupBy(key).agg(*seen).select(key, names.alias("header_markers"))

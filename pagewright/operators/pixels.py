@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def pixels_of(embeddings: DataFrame) -> DataFrame:
-    """8x8 gray images from vectors of 64 numbers."""
+def pixels_of(embeddings: DataFrame, width: int = 8) -> DataFrame:
+    """Gray images, 8x8 by default, from vectors of 64 numbers."""
     cells = embeddings.select("vec_id", F.posexplode("embedding").alias("i", "e"))
     v = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("e").cast("double") * 4 + 0.5) * 255))).cast("long")
-    return cells.select("vec_id", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), v.alias("v"))
+    return cells.select("vec_id", F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), v.alias("v"))
 
 
 def variance(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.checks import round2
+from pagewright.functions.thresholds import DEFAULTS, Thresholds
 
 
 def best_pages(pages: DataFrame) -> DataFrame:
@@ -74,3 +75,44 @@ def bulk_report(items: DataFrame) -> DataFrame:
 
 def score_band(score):
     return F.when(score >= 70, "acceptable").when(score >= 50, "review").otherwise("too_low")
+
+
+def response_entries(files: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per file of a batch: refused ones keep their ``error``; others have the item of their document, or status UNKNOWN if its run failed.
+
+    ``files`` has batch_id, idx, doc_id, filename and error; ``items`` is what ``batch_items`` gives.
+    """
+    found = items.select(F.col("doc_id").alias("_doc"), "status", "score", "reason", "ocr_confidence", "total_pages")
+    both = files.select("batch_id", "idx", "doc_id", "filename", "error").join(found, F.col("doc_id") == F.col("_doc"), "left")
+    ok, ran = F.col("error").isNull(), F.col("_doc").isNotNull()
+    return both.select(
+        "batch_id", "idx", "doc_id", "filename", "error", (ok & ran).alias("success"), F.when(ok, F.coalesce("status", F.lit("UNKNOWN"))).alias("status"),
+        F.when(ok, F.coalesce("score", F.lit(0.0))).alias("score"), F.when(ok, F.coalesce("reason", F.lit("Needs review"))).alias("reason"),
+        F.when(ok, F.col("ocr_confidence")).alias("ocr_confidence"), F.when(ok, F.coalesce("total_pages", F.lit(1))).alias("total_pages"),
+    )
+
+
+RESPONSE = (
+    "success boolean, error string, summary struct<total_files:bigint,successful:bigint,failed:bigint,accepted:bigint,rejected:bigint,flagged_for_review:bigint>, "
+    "results array<struct<idx:int,filename:string,success:boolean,status:string,score:double,reason:string,ocr_confidence:double,total_pages:int>>, "
+    "errors array<struct<idx:int,filename:string,error:string>>"
+)
+
+
+def batch_responses(entries: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """``batch_id`` and ``response``, the JSON of a batch: summary, results and errors in the order of the files.
+
+    A batch with more files than allowed is refused as a whole, so that lists never have more than ``max_files`` entries.
+    """
+    error = F.col("error").isNotNull()
+    counts = entries.groupBy("batch_id").agg(
+        F.count("*").alias("total_files"), F.count_if(F.col("success")).alias("successful"), F.count_if(error).alias("failed"),
+        *[F.count_if(~error & (F.col("status") == s)).alias(name) for s, name in (("ACCEPTED", "accepted"), ("REJECTED", "rejected"), ("FLAG_FOR_REVIEW", "flagged_for_review"))],
+    )
+    allowed = entries.join(counts.where(F.col("total_files") <= t.max_files).select("batch_id"), "batch_id", "left_semi")
+    result = F.struct("idx", "filename", "success", "status", "score", "reason", "ocr_confidence", "total_pages")
+    lists = allowed.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.when(~error, result))).alias("results"), F.array_sort(F.collect_list(F.when(error, F.struct("idx", "filename", "error")))).alias("errors"))
+    summary = F.struct("total_files", "successful", "failed", "accepted", "rejected", "flagged_for_review")
+    good = F.to_json(F.struct(F.lit(True).alias("success"), summary.alias("summary"), "results", "errors"))
+    refused = F.to_json(F.struct(F.lit(False).alias("success"), F.concat(F.lit("Too many files. Maximum "), F.lit(str(t.max_files)), F.lit(" files allowed per bulk upload.")).alias("error")))
+    return counts.join(lists, "batch_id", "left").select("batch_id", F.when(F.col("results").isNull(), refused).otherwise(good).alias("response"))

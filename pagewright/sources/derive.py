@@ -58,6 +58,32 @@ CAPTIONS_TEXT = ["a handwritten letter", "a printed form with typed text", "a ty
 _CAPTION = "CASE cast(doc_id % 8 AS int) " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CAPTIONS_TEXT)) + " END"
 CAPTIONS = f"SELECT doc_id, 1 AS page_number, {_CAPTION} AS explanation, doc_id % 29 = 0 AS timed_out, doc_id % 31 = 0 AS failed FROM documents"
 
+#: A caption for every page.
+PAGE_CAPTIONS = f"""
+SELECT doc_id, page_number, {_CAPTION.replace('doc_id % 8', '(doc_id * 3 + page_number) % 8')} AS explanation,
+  (doc_id + page_number) % 29 = 0 AS timed_out, (doc_id + page_number) % 31 = 0 AS failed
+FROM ({PAGE_METRICS}) AS m
+"""
+
+# What the four recognition passes of a page are made to give.
+_PASS = "CASE WHEN doc_id % 5 = 0 AND {p} = 1 THEN ' ' WHEN doc_id % 3 = 0 AND {p} = 2 THEN NULL WHEN doc_id % 7 = 0 AND {p} < 4 THEN '' ELSE concat('pass {p} ', text) END"
+OCR_PASSES = " UNION ALL ".join(f"SELECT doc_id, 1 AS page_number, {p} AS pass, {_PASS.format(p=p)} AS text FROM documents" for p in (1, 2, 3, 4))
+
+# Phrases that the header passes of some documents are made to read.
+HEADER_PHRASES = ["", " index-2", " सब रजिस्ट्रार", " REGN 63M", " सूची क्र.2"]
+_HEADER = "CASE cast((doc_id + {k}) % 11 AS int) " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(HEADER_PHRASES)) + " ELSE '' END"
+HEADER_TEXT = " UNION ALL ".join(
+    f"SELECT doc_id, {variant} AS variant, {psm} AS psm, concat(substring(text, 1, 100), {_HEADER.format(k=variant * 3 + psm)}) AS text FROM documents"
+    for variant in range(4) for psm in (6, 7)
+)
+
+SUBMISSIONS = """
+SELECT cast(floor(o_custkey / 5) AS bigint) AS batch_id, o_orderkey AS doc_id, (o_orderkey * 7919) % 12000000 AS length,
+  cast(row_number() OVER (PARTITION BY cast(floor(o_custkey / 5) AS bigint) ORDER BY o_orderkey) AS int) AS idx,
+  concat('f', cast(o_orderkey AS varchar(20)), CASE cast(o_orderkey % 11 AS int) WHEN 0 THEN '.txt' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' ELSE '.pdf' END) AS filename
+FROM orders
+"""
+
 UPLOADS = """
 SELECT user_id AS batch_id, event_id AS item_idx, (event_id * 7919) % 12000000 AS length,
   concat('f', cast(event_id AS varchar(20)), CASE cast(event_id % 9 AS int) WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg'
@@ -73,6 +99,14 @@ SELECT page_id,
 FROM pages
 """
 
+DOWNLOADS = f"""
+SELECT page_id, url, content_type, CASE WHEN page_id % 4 = 0 THEN concat('custom', cast(page_id AS varchar(20))) END AS filename,
+  CASE WHEN page_id % 19 = 0 THEN 'timeout' WHEN page_id % 23 = 0 THEN 'connection' WHEN page_id % 29 = 0 THEN 'bad chunk' END AS failure,
+  CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 13 = 0 THEN 'Not Found' ELSE 'OK' END AS reason,
+  CASE WHEN page_id % 3 = 0 THEN page_id * 104729 % 16777216 END AS content_length, page_id * 15485863 % 16777216 AS length
+FROM ({URLS}) AS u
+"""
+
 PAGE_VISUALS = f"""
 SELECT DISTINCT o AS doc_id, cast((o * 37) % 260 AS int) AS peak_count, cast((o * 11) % 8 AS int) AS seal_count,
   CASE WHEN o % 5 = 0 THEN concat('REG', cast(o * 100003 AS varchar(20))) WHEN o % 5 = 1 THEN 'ABC1' END AS barcode_data,
@@ -85,7 +119,7 @@ FROM (SELECT {_KEYS} FROM lineitem) AS k
 
 def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a derivation over the tables of ``sf_dir`` without registering any view."""
-    names = [t for t in ("lineitem", "documents", "events", "pages", "embeddings", "conversations") if f"FROM {t}" in text]
+    names = [t for t in ("lineitem", "documents", "events", "pages", "embeddings", "conversations", "orders") if f"FROM {t}" in text]
     for t in names:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
@@ -93,3 +127,41 @@ def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, PAGE_METRICS)
+
+
+def drawn_pages(suppliers: DataFrame) -> DataFrame:
+    """A small gray page for each supplier: lines of text-like bars; on some a seal, a grid, a bar code or noise; every 17th has no image.
+
+    ``origin`` (the key), ``height``, ``width``, ``n_channels``, ``data``.
+    """
+
+    def run(parts):
+        import numpy as np
+        import pandas as pd
+
+        for part in parts:
+            rows = []
+            for key in part["origin"].tolist():
+                if key % 17 == 16:
+                    rows.append((key, None, None, None, None))
+                    continue
+                draw = np.random.default_rng(key)
+                h, w = 180 + key % 5 * 10, 150 + key % 7 * 10
+                g = np.full((h, w), 255, np.uint8)
+                for y in range(20, h - 10, 14 + key % 3):
+                    for x in range(8, w - 12, 9):
+                        g[y : y + 5 + int(draw.integers(0, 3)), x : x + int(draw.integers(2, 7))] = int(draw.integers(0, 90))
+                if key % 4 == 0:
+                    y, x = np.indices((h, w))
+                    g[np.abs(np.hypot(y - h // 2, x - w // 2) - 45) < 2] = 0
+                if key % 5 == 0:
+                    g[::18] = 0
+                    g[:, ::18] = 0
+                if key % 3 == 0:
+                    g[2:16, 10 : w - 10 : 4] = 0
+                if key % 6 == 1:
+                    g = np.clip(g + draw.normal(0, 12, g.shape), 0, 255).astype(np.uint8)
+                rows.append((key, h, w, 1, g.tobytes()))
+            yield pd.DataFrame(rows, columns=["origin", "height", "width", "n_channels", "data"]).astype({"height": "Int32", "width": "Int32", "n_channels": "Int32"})
+
+    return suppliers.select(suppliers["s_suppkey"].alias("origin")).mapInPandas(run, "origin long, height int, width int, n_channels int, data binary")

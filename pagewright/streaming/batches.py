@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,8 +17,20 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return out.select(F.col("w.start").cast("date").cast("string").alias("day"), "event_type", "n")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process all there is and return the final state as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Process all there is and return the final state, which stands as a table in the shared folder ``path``; nothing of it is in the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/state")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` below ``spark.checkpoint.dir``; beside the warehouse where that is unset on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"

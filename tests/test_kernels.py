@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from pagewright.functions import kernels as K
-from pagewright.sources.images import features, read_images
+from pagewright.sources.images import features, image_info, read_images
 
 
 def png(path, image):
@@ -36,7 +36,7 @@ def test_checkerboard_laplacian():
 
 
 def test_lines_and_skew():
-    assert K.edge_features(ruled())["skew"] == pytest.approx(0, abs=1)
+    assert K.edge_features(ruled(300, 400))["skew"] == pytest.approx(0, abs=1)
     assert K.baseline_score(ruled()) == pytest.approx(0)
     y, x = np.indices((400, 400))
     tilted = np.where(((y - x * np.tan(np.deg2rad(20))) % 40) < 3, 0, 255).astype(np.uint8)
@@ -79,22 +79,116 @@ def test_grid_cells():
         assert K.hot_cells(g) == int(len(d) > 10 and d.std() / (d.mean() + 1e-5) * 100 > 20)
 
 
+def plain_canny(g, low, high):
+    """Pixel by pixel, from the same definitions."""
+    h, w = g.shape
+    at = lambda y, x: int(g[min(max(y, 0), h - 1), min(max(x, 0), w - 1)])
+    grad = {}
+    for y in range(h):
+        for x in range(w):
+            dx = sum(k * (at(y + j, x + 1) - at(y + j, x - 1)) for j, k in ((-1, 1), (0, 2), (1, 1)))
+            dy = sum(k * (at(y + 1, x + j) - at(y - 1, x + j)) for j, k in ((-1, 1), (0, 2), (1, 1)))
+            grad[y, x] = (abs(dx) + abs(dy), dx, dy)
+    size = lambda y, x: grad.get((y, x), (0, 0, 0))[0]
+    weak, strong = set(), []
+    for (y, x), (m, dx, dy) in grad.items():
+        if abs(dy) <= abs(dx) * 0.41421356:
+            before, after = size(y, x - 1), size(y, x + 1)
+        elif abs(dy) >= abs(dx) * 2.41421356:
+            before, after = size(y - 1, x), size(y + 1, x)
+        elif dx * dy > 0:
+            before, after = size(y - 1, x - 1), size(y + 1, x + 1)
+        else:
+            before, after = size(y - 1, x + 1), size(y + 1, x - 1)
+        if m > before and m >= after and m > low:
+            weak.add((y, x))
+            if m > high:
+                strong.append((y, x))
+    out = np.zeros((h, w), bool)
+    while strong:
+        y, x = strong.pop()
+        if not out[y, x]:
+            out[y, x] = True
+            strong += [(y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1) if (y + j, x + i) in weak]
+    return out
+
+
+def test_canny_against_plain():
+    rng = np.random.default_rng(2)
+    for g in (rng.integers(0, 256, (25, 31)), np.kron(rng.integers(0, 2, (5, 6)), np.ones((6, 6))) * 200, ruled(40, 50, 9)):
+        g = g.astype(np.uint8)
+        for low, high in ((50, 150), (30, 100)):
+            assert (K.canny(g, low, high) == plain_canny(g, low, high)).all()
+
+
+def plain_skew(edges, votes=200, lines=20):
+    table = {}
+    for y, x in zip(*np.nonzero(edges)):
+        for k in range(180):
+            cell = k, int(np.rint(x * np.cos(np.deg2rad(k)) + y * np.sin(np.deg2rad(k))))
+            table[cell] = table.get(cell, 0) + 1
+    n = lambda k, r: table.get((k, r), 0)
+    best = [(v, k, r) for (k, r), v in table.items() if v > votes and v > n(k, r - 1) and v >= n(k, r + 1) and v > n(k - 1, r) and v >= n(k + 1, r)]
+    angles = [k - 90 for _, k, _ in sorted(best, key=lambda b: (-b[0], b[1], b[2]))[:lines]]
+    mean = sum(angles) / len(angles) if angles else 0.0
+    return mean - 90 if mean > 45 else mean + 90 if mean < -45 else mean
+
+
+def test_skew_averages_before_it_wraps():
+    """Lines of both directions: the mean of all angles is taken first, so a straight grid is not straight for this measure."""
+    g = ruled(300, 260, 60)
+    g[:, 40::90] = 0
+    e = K.canny(g, 50, 150)
+    assert K.skew(e) == pytest.approx(plain_skew(e)) and abs(K.skew(e)) > 15
+    only = np.full((300, 260), 255, np.uint8)
+    only[:, 40::90] = 0
+    assert K.skew(K.canny(only, 50, 150)) == pytest.approx(0, abs=1)
+
+
 def test_seal_table_and_barcode():
-    y, x = np.indices((300, 300))
-    ring = np.where(np.abs(np.hypot(y - 150, x - 150) - 60) < 2, 0, 255).astype(np.uint8)
-    assert K.circles(ring) == 1 and K.circles(np.full((300, 300), 255, np.uint8)) == 0
+    y, x = np.indices((320, 420))
+    ring = lambda cy, cx, r: np.abs(np.hypot(y - cy, x - cx) - r) < 2
+    white = np.full((320, 420), 255, np.uint8)
+    one, two = np.where(ring(150, 150, 60), 0, white), np.where(ring(150, 100, 60) | ring(160, 300, 60), 0, white)
+    three = np.where(ring(80, 90, 50) | ring(80, 300, 50) | ring(230, 200, 50), 0, white)
+    assert [K.circles(g.astype(np.uint8)) for g in (one, two, three, white)] == [1, 2, 3, 0]
+    assert K.validator_seal(two.astype(np.uint8)) and not K.validator_seal(ruled())
     grid = np.full((200, 200), 255, np.uint8)
     grid[::20] = 0
-    grid[:, ::20] = 0
-    assert min(K.line_mass(grid)) > 0 and K.line_mass(np.full((50, 50), 255, np.uint8))[0] in (0.0, 2500.0)
+    assert K.line_mass(grid) == (10 * 200.0, 0.0) and K.validator_table(grid)
+    blank = np.full((50, 50), 255, np.uint8)
+    assert K.line_mass(blank) == (0.0, 0.0) and not K.validator_table(blank)
     bars = np.full((200, 200), 255, np.uint8)
-    bars[:20, 50:150:4] = 0
-    assert K.barcode_peaks(bars) >= 0 and K.validator_barcode(bars)
+    bars[:20, 90:110:4] = 0
+    sums = plain_canny(bars[:30], 30, 100).sum(axis=0) * 255.0
+    assert K.barcode_peaks(bars) == (sums > sums.mean() + 2 * sums.std()).sum() > 5 and K.validator_barcode(bars)
+
+
+def test_component_score():
+    g = np.full((40, 60), 255, np.uint8)
+    g[5:15, 5:15] = g[20:22, 10:50] = g[30:38, 4:8] = 0
+    shapes = np.array([10 / (10 + 1e-5), 40 / (2 + 1e-5), 4 / (8 + 1e-5)])
+    assert K.component_score(g) == pytest.approx(min(shapes.var() * 10, 100))
 
 
-def test_brisque_bounds():
+def plain_brisque(g):
+    x = g / 255.0
+    k = np.exp(-(np.arange(-3, 4) ** 2) / (2 * (7 / 6) ** 2))
+    k /= k.sum()
+    h, w = x.shape
+    mirror = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    blur = lambda z: np.array([[sum(k[a + 3] * k[b + 3] * z[mirror(i + a, h), mirror(j + b, w)] for a in range(-3, 4) for b in range(-3, 4)) for j in range(w)] for i in range(h)])
+    mean = blur(x)
+    m = (x - mean) / np.sqrt(np.abs(blur(x * x) - mean * mean) + 1e-10)
+    across, down = m[:, :-1] * m[:, 1:], m[:-1] * m[1:]
+    return min((abs(across.mean()) + abs(down.mean()) + across.std() + down.std()) * 20, 100)
+
+
+def test_brisque_against_plain():
     rng = np.random.default_rng(1)
-    assert 0 <= K.brisque(rng.integers(0, 256, (64, 64)).astype(np.uint8)) <= 100
+    for g in (rng.integers(0, 256, (24, 20)), np.clip(128 + rng.normal(0, 3, (26, 22)), 0, 255), ruled(30, 30, 7)):
+        g = g.astype(np.uint8)
+        assert K.brisque(g) == pytest.approx(plain_brisque(g), rel=1e-2)
 
 
 def test_images_end_to_end(spark, tmp_path):
@@ -109,3 +203,14 @@ def test_images_end_to_end(spark, tmp_path):
     for name in ("gray.png", "rgb.png", "rgba.png"):
         assert (rows[name]["height"], rows[name]["width"]) == (60, 80)
         assert rows[name]["blur"] == pytest.approx(want["blur"]) and rows[name]["hot_regions"] == want["hot_regions"]
+
+
+def test_image_info_and_chosen_kernels(spark, tmp_path):
+    png(tmp_path / "a.png", ruled(60, 80))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    rows = {r["origin"].rsplit("/", 1)[1]: r for r in image_info(spark, f"file://{tmp_path}").collect()}
+    a = rows["a.png"]
+    assert (a["width"], a["height"], a["format"], a["mode"], a["size_bytes"]) == (80, 60, "PNG", "L", (tmp_path / "a.png").stat().st_size)
+    assert rows["bad.png"]["width"] is None and rows["bad.png"]["size_bytes"] == 8
+    some = features(read_images(spark, f"file://{tmp_path}"), kernels=["grid", "tables"])
+    assert some.columns == ["origin", "height", "width", "hot_regions", "h_lines", "v_lines", "has_table"] and some.count() == 2
