@@ -62,7 +62,7 @@ WITH p AS (
   FROM pages),
 r(h, q, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 best AS (
-  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
+  SELECT page_id, arg_max(h || q, length(h || q) * 4096 + length(h)) AS rule, arg_max(v, length(h || q) * 4096 + length(h)) AS verdict
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
 """

@@ -8,7 +8,7 @@ Level 1 encodes the listed keys; level 2 the keys of the universe that level 1 t
 corpus finds them); level 3 the listed keys that level 2 takes for such a mistake, and so on in turn until none is left.
 A key's answer is the parity of the first level that lacks it, exact for every key of the universe and of the list. A
 second cascade over the listed keys alone tells those that block from those that allow. The longest listed key of a url is its
-rule; a url without one is not listed and is allowed.
+rule, of equally long ones that with the longer host; a url without one is not listed and is allowed.
 
 The list is sent to the driver; its length is checked against ``MAX_RULES`` first. The first level is made so exact that its
 mistakes number about as many as the list; they are counted before they are fetched, and the level is made twice as exact
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm._shared import named
 
-MAX_RULES = 2_000_000
+MAX_RULES = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -137,9 +137,9 @@ def build(urls: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -
     while True:
         first = Bloom(listed, rate, 0)
         sent = urls.sparkSession.sparkContext.broadcast((first, frozenset(listed), lengths))
-        wrong = parts.mapInArrow(_mistaken(sent), "key string").distinct().limit(16 * len(listed) + 1000)
+        wrong = parts.mapInArrow(_mistaken(sent), "key string").distinct().limit(4 * len(listed) + 1000)
         others = [r["key"] for r in wrong.collect()]
-        if len(others) < 16 * len(listed) + 1000:
+        if len(others) < 4 * len(listed) + 1000:
             break
         rate /= 2 * max(2, len(others) / max(1, len(listed)))
     blocked = [k for k in listed if verdicts[k] == "block"]

@@ -17,8 +17,8 @@ def plain(url, rules):
     for v, r in rules:
         h, p = parse_rule(r)
         if (host == h or host.endswith("." + h)) and path.startswith(p):
-            fits.append((len(h + p), h + p, v))
-    return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
+            fits.append((len(h + p), len(h), h + p, v))
+    return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
 
 
 def test_against_plain_rules(spark, monkeypatch):
@@ -52,3 +52,12 @@ def test_bad_rules(spark, monkeypatch):
     with pytest.raises(ValueError):
         build(df, [("block", "com/")])
     assert keys_of("a.com", "/en/x", [0, 1, 9]) == ["a.com /", "a.com ", "com /", "com "]
+
+
+def test_equally_long_rules(spark):
+    """Of equally long rules that fit, the one with the longer host counts."""
+    rules = [("block", "a.com/"), ("allow", "com/xy"), ("allow", "b.org/"), ("block", "org/zz")]
+    urls = ["http://a.com/xy", "http://b.org/zz", "http://c.com/xyz", "http://a.com/xy"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r["rule"], r["verdict"]) for r in sorted(judge(df, build(df, rules)).collect())]
+    assert got == [plain(u, rules)[2:] for u in urls] == [("a.com/", "block"), ("b.org/", "allow"), ("com/xy", "allow"), ("a.com/", "block")]
