@@ -56,3 +56,17 @@ def with_download_errors(downloads: DataFrame, t: Thresholds = DEFAULTS) -> Data
     name = F.coalesce(F.when(c("filename") != "", c("filename")), F.hex(F.xxhash64("url")))
     df = downloads.withColumns({"error": error, "extension": extension})
     return df.withColumn("saved_as", F.when(c("error").isNull(), F.concat(name, F.lit("."), c("extension"))))
+
+
+def pdf_pages(converted: DataFrame, first_page_only: bool = False) -> DataFrame:
+    """One row per page of converted files, from a provider's ``path``, ``images`` (in page order) and ``failure`` (null: converted).
+
+    ``page_number`` (from 1), ``page_name``, ``image``, ``error``; a file that failed, or that has no pages, gives one row without a page.
+    """
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    images = F.slice("images", 1, 1) if first_page_only else F.col("images")
+    usable = F.when(F.col("failure").isNull() & (F.size("images") > 0), images)
+    rows = converted.select("path", base.alias("_base"), "failure", F.posexplode_outer(usable).alias("_at", "image"))
+    number = (F.col("_at") + 1).cast("int")
+    error = F.when(F.col("_at").isNull(), F.concat(F.lit("PDF conversion failed: "), F.coalesce("failure", F.lit("no pages"))))
+    return rows.select("path", number.alias("page_number"), F.concat("_base", F.lit("_page_"), number.cast("string"), F.lit(".png")).alias("page_name"), "image", error.alias("error"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import files
 from pagewright.operators import rollup
-from pagewright.sources.files import read_uploads, with_download_errors
+from pagewright.sources.files import pdf_pages, read_uploads, with_download_errors
+from pagewright.sources.providers import captions_from, downloads_from
+from pagewright.sources.sinks import write_responses, write_results
 
 
 def test_uploads(spark, tmp_path):
@@ -53,3 +55,44 @@ def test_responses(spark):
     assert got[2] == {"success": False, "error": "Too many files. Maximum 50 files allowed per bulk upload."}
     assert got[3]["results"] == [] and got[3]["summary"]["failed"] == 1
     assert rollup.batch_responses(rollup.response_entries(batch.limit(0), items)).collect() == []
+
+
+def test_pdf_pages(spark):
+    rows = [("/x/a.b.pdf", [b"1", b"2"], None), ("c.pdf", [b"3"], "broken"), ("d.pdf", [], None), ("e.pdf", None, None)]
+    df = spark.createDataFrame(rows, "path string, images array<binary>, failure string")
+    got = {(r["path"], r["page_number"], r["page_name"], None if r["image"] is None else bytes(r["image"]), r["error"]) for r in pdf_pages(df).collect()}
+    none = "PDF conversion failed: no pages"
+    assert got == {("/x/a.b.pdf", 1, "a.b_page_1.png", b"1", None), ("/x/a.b.pdf", 2, "a.b_page_2.png", b"2", None), ("c.pdf", None, None, None, "PDF conversion failed: broken"), ("d.pdf", None, None, None, none), ("e.pdf", None, None, None, none)}
+    assert pdf_pages(df, first_page_only=True).where("path like '/x%'").count() == 1
+
+
+def test_providers(spark):
+    def caption(data):
+        if data == b"slow":
+            raise TimeoutError("20 s")
+        if data == b"bad":
+            raise ValueError("no image")
+        return {"explanation": "a printed form"}
+
+    rows = [(1, 1, 70.0, 30.0, b"x"), (2, 1, 70.0, 30.0, b"slow"), (3, 1, 70.0, 30.0, b"bad"), (4, 1, 20.0, 30.0, b"never asked")]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, ocr double, hw double, data binary")
+    got = {r["doc_id"]: tuple(r)[2:] for r in captions_from(df, caption).collect()}
+    assert got == {1: ("a printed form", False, False, None), 2: (None, True, False, "20 s"), 3: (None, False, True, "ValueError: no image")}
+
+    def fetch(url):
+        if "slow" in url:
+            raise TimeoutError
+        if "gone" in url:
+            raise ConnectionError("refused")
+        return {"status": 200, "reason": "OK", "content_type": "image/png", "content_length": 3, "content": b"abc"}
+
+    urls = spark.createDataFrame([("http://h/ok", "n"), ("http://h/slow", None), ("http://h/gone", None)], "url string, filename string")
+    told = {r["url"][9:]: (r["error"], r["saved_as"], r["length"]) for r in with_download_errors(downloads_from(urls, fetch)).collect()}
+    assert told == {"ok": (None, "n.png", 3), "slow": ("Request timeout", None, None), "gone": ("Connection error - could not reach the server", None, None)}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "{}"), (2, "[]")], "batch_id long, response string")
+    write_results(df, f"file://{tmp_path}/t", by=["batch_id"])
+    write_responses(df, f"file://{tmp_path}/j")
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 2 and sorted(r[0] for r in spark.read.text(f"file://{tmp_path}/j").collect()) == ["[]", "{}"]
