@@ -342,10 +342,15 @@ def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col
     """
     m = Masked(docs, id_col, text_col)
     made, members = _grouped(keyed(m.docs, m.id, m.text), width)
-    named_rows = keyed(m.docs, m.id, m.text, m.columns).select(_first_id().alias("a"), F.col("_k2").alias("b"), "_carry")
-    firsts = members.select("first.*").distinct().withColumn("own", F.lit(False))
-    wordless = made.where("size = 0").select(_first_id().alias("a"), F.col("_k2").alias("b")).distinct().withColumn("own", F.lit(True))
-    rows = named_rows.join(firsts.union(wordless), ["a", "b"])
+    mine = F.struct(_first_id().alias("a"), F.col("_k2").alias("b")) == F.col("first")
+    keys = made.select("_k1", "_k2", "size", "d1", "d2").join(members, ["d1", "d2"], "left")
+    keys = keys.groupBy("_k1", "_k2").agg(F.count("*").alias("n"), F.bool_and(mine).alias("is_first"), F.max("size").alias("size"))
+    # only rows that go, or that stand there several times, are shuffled
+    doubtful = write_table(keys.where((F.col("size") > 0) & (~F.col("is_first") | (F.col("n") > 1))).select("_k1", "_k2", "is_first"), "doubtful")
+    rows = keyed(m.docs, m.id, m.text, m.columns).select("_k1", "_k2", "_carry")
+    fingers = doubtful.select("_k2")
+    rest = sieve(rows, "_k2", fingers).join(doubtful, ["_k1", "_k2"], "left")
     plain = [F.col(f"_carry.{c}") for c, kind in m.docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = rows.select("a", "b", F.when(F.col("own"), F.monotonically_increasing_id()).alias("own"), F.xxhash64(*plain).alias("order"), "_carry")
-    return m.back(rows.groupBy("a", "b", "own").agg(F.min_by("_carry", "order").alias("_carry")).select("_carry.*"))
+    several = rest.where("is_first").select("_k1", "_k2", F.xxhash64(*plain).alias("order"), "_carry").groupBy("_k1", "_k2").agg(F.min_by("_carry", "order").alias("_carry"))
+    kept = sieve(rows, "_k2", fingers, inside=False).select("_carry").union(rest.where("is_first is null").select("_carry")).union(several.select("_carry"))
+    return m.back(kept.select("_carry.*"))

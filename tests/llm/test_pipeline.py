@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -80,3 +81,20 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Columns named like the operators' own, nulls everywhere, repeated rows, and no rows at all."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", None, 5, "x", 1), (1, text, "en", None, 5, "x", 1), (None, "the cat sat there", None, "s", None, None, None), (2, None, "en", "s", 0, "y", 2), (3, "", None, None, None, "z", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, _k1 int"
+    docs = spark.createDataFrame(rows, schema).withColumnsRenamed({"_k1": "node"}).withColumn("_carry", F.lit(1))
+    spark.createDataFrame([(1, "another benchmark passage of many words that nobody wrote before now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"language_id": 3, "minhash_dedup": 4, "substring_dedup": 5, "decontaminate": 5}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == left[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    got = corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(r[0]), r[1] or "") for r in rows)
+    assert corpus_pipeline.tokens(spark, docs.limit(0), str(tmp_path)).collect() == []
