@@ -338,30 +338,38 @@ def fit(steps: int = 200, rate: float = 2.0, decay: float = 1e-3) -> dict:
     classes = [UNKNOWN, *(c for c in LABELLED if c != UNKNOWN)]
     # rows of the unknown class count for more where they share no feature with a notice: that is what most text looks like
     data += [([], UNKNOWN)] * 20
-    x, y = np.zeros((len(data), len(known))), np.array([classes.index(c) for _, c in data])
-    for i, (ws, _) in enumerate(data):
-        own = [at[g] for g in grams_of(ws) if g in at]
-        x[i, own] = 1
-    size = np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    y = np.array([classes.index(c) for _, c in data])
+    own = [sorted(at[g] for g in grams_of(ws) if g in at) for ws, _ in data]
+    row, feature = np.repeat(np.arange(len(data)), [len(o) for o in own]), np.array([f for o in own for f in o])
+    size = np.sqrt(np.maximum([len(o) for o in own], 1))[:, None]
     truth = np.eye(len(classes))[y]
 
+    def scores(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        out = np.repeat(bias[None, :], len(data), axis=0)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        out[row[first]] += np.add.reduceat(weights[feature], first)
+        return out
+
     def train(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights, bias = np.zeros((len(known), len(classes))), np.zeros(len(classes))
-        a, b, scale = x[some], truth[some], size[some]
+        pairs = np.flatnonzero(some[row])
+        pairs = pairs[np.argsort(feature[pairs], kind="stable")]
+        first = np.flatnonzero(np.append(True, feature[pairs][1:] != feature[pairs][:-1]))
         for _ in range(steps):
-            gap = np.exp(log_softmax(a @ weights + bias)) - b
-            weights -= rate * ((a / scale).T @ gap / np.sqrt(len(some)) + decay * weights)
-            bias -= rate * gap.mean(axis=0)
+            gap = np.exp(log_softmax(scores(weights, bias))) - truth
+            up = np.add.reduceat((gap / size)[row[pairs]], first) / np.sqrt(some.sum())
+            weights *= 1 - rate * decay
+            weights[feature[pairs][first]] -= rate * up
+            bias -= rate * gap[some].mean(axis=0)
         return weights, bias
 
     held = np.zeros((len(data), len(classes)))
     for fold in range(FOLDS):
         out = np.arange(len(data)) % FOLDS == fold
-        weights, bias = train(np.flatnonzero(~out))
-        held[out] = x[out] @ weights + bias
+        held[out] = scores(*train(~out))[out]
     loss = lambda t: -log_softmax(held / t)[np.arange(len(data)), y].mean()
     heat = min((k / 8 for k in range(4, 41)), key=loss)
-    weights, bias = train(np.arange(len(data)))
+    weights, bias = train(np.ones(len(data), bool))
     return {"classes": classes, "bias": (bias / heat).tolist(), "weights": dict(zip(known, (weights / heat).tolist())), "heat": heat}
 
 
