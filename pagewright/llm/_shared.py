@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,34 +46,31 @@ def kept_by_worker(name: str, make):
     return _KEPT[name]
 
 
-#: Bits of a sieve: two megabytes, whatever the input.
-SIEVE_BITS = 24
+def release() -> None:
+    """Forget what another operator keeps in this Python worker."""
+    _KEPT.clear()
+
+
+#: The logarithm of the slots of a sieve, a byte each: four megabytes, whatever the input.
+SIEVE_BITS = 22
 
 
 def sieve(rows: DataFrame, key: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
     """The rows whose ``key`` (a long, not null) is in the one column of ``wanted``, and some others; or else the rest of the rows.
 
-    A bitmap of ``1 << SIEVE_BITS`` slots is put together by partial aggregation and sent to the executors, so that most rows that a
-    join would drop never reach its shuffle. With more keys than slots more rows pass; which rows the join keeps is not changed.
+    A table of ``1 << SIEVE_BITS`` slots is put together by partial aggregation and comes to the filter as a scalar subquery, so that
+    most rows that a join would drop never reach its shuffle. With more keys than slots more rows pass; which rows the join keeps is not changed.
     """
-    spark = rows.sparkSession
     slot = F.pmod(F.xxhash64(wanted.columns[0]), F.lit(1 << SIEVE_BITS))
     words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
     if words.num_rows:
         table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(table.tobytes())
-    names = rows.columns
-
-    def run(batches):
-        bits = np.frombuffer(sent.value, np.int64)
-        for batch in batches:
-            at = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            keep = ((bits[at >> 6] >> (at & 63)) & 1 == 1) == inside
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(len(names))], names=names)
-
-    own = F.pmod(F.xxhash64(named(key)), F.lit(1 << SIEVE_BITS)).alias("_slot")
-    return rows.select(*[named(c) for c in names], own).mapInArrow(run, rows.schema)
+    marks = np.unpackbits(table.view(np.uint8), bitorder="little").tobytes()
+    known = rows.sparkSession.createDataFrame([(bytearray(marks),)], "marks binary").scalar()
+    own = F.pmod(F.xxhash64(named(key)), F.lit(1 << SIEVE_BITS)).cast("int") + 1
+    marked = F.substr(known, own, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    return rows.where(marked if inside else ~marked)
 
 
 def without(rows: DataFrame, bad: DataFrame) -> DataFrame:

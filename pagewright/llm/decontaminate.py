@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import Masked, keyed, named, write_table
+from pagewright.llm._shared import Masked, keyed, named, release, write_table
 
 WINDOW = 10
 #: Words up to which suffixes are in order; at least the window.
@@ -117,6 +117,7 @@ def _bounds(codes: np.ndarray, order: np.ndarray, want: np.ndarray, need: np.nda
 
 def _search(tests_value, depth: int):
     def run(batches):
+        release()
         tests: Tests = tests_value.value
         for batch in batches:
             for at, raw, offsets in K.slices(batch.column(2)):

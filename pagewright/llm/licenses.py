@@ -385,8 +385,12 @@ def _words(text: Column) -> Column:
 
 def _units_of(lines: str) -> Column:
     """Every line, and every two to ``LINES`` lines in a row, joined by a blank."""
-    runs = [f"CASE WHEN size({lines}) >= {k} THEN transform(sequence(1, size({lines}) - {k - 1}), i -> concat_ws(' ', slice({lines}, i, {k}))) ELSE cast(array() AS array<string>) END" for k in range(2, LINES + 1)]
-    return F.expr(f"concat({lines}, {', '.join(runs)})")
+    runs, n = [F.col(lines)], F.size(lines)
+    for k in range(2, LINES + 1):
+        # arrays are shifted once and joined place by place, which is linear in the lines
+        rest = F.greatest(n - k + 1, F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], 1, rest), F.slice(lines, k, rest), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.concat(*runs)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import NO_ID, Masked, keyed, sieve, write_table
+from pagewright.llm._shared import NO_ID, Masked, keyed, release, sieve, write_table
 from pagewright.llm.components import components
 
 SKETCH = 64
@@ -84,6 +84,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
 
 def _sketches(width: int):
     def run(batches):
+        release()
         for batch in batches:
             for at, data, offsets in K.slices(batch.column(2)):
                 words = _words(data, offsets)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import Masked, keyed, sieve, write_table
+from pagewright.llm._shared import Masked, keyed, release, sieve, write_table
 
 WIDTH = 35
 GRAM, LONG_GRAM = 4, 16
@@ -53,6 +53,7 @@ def _load(m: int):
     """Counts of grams by slot, as far as they stand out in this partition; slot -1 has all grams, -2 all bytes."""
 
     def run(batches):
+        release()
         counts, size = np.zeros(1 << SLOT_BITS, np.int64), 0
         for batch in batches:
             for _, data, offsets in K.slices(batch.column(0)):
@@ -109,6 +110,7 @@ _MARK = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("stop", "<i4"
 
 def _pack(width: int, m: int, buckets: int, hot_bits):
     def run(batches):
+        release()
         hot = np.unpackbits(np.frombuffer(hot_bits.value, np.uint8)).astype(bool)
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
