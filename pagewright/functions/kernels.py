@@ -280,7 +280,7 @@ def circles(g: np.ndarray, least: int = 40, most: int = 150, apart: int = 100, s
     p = np.pad(votes.reshape(h, w), 2)
     near = sum(p[a : a + h, b : b + w] for a in range(5) for b in range(5))
     p = np.pad(near, 1)
-    peak = (near >= share / 2) & (near == np.max([p[a : a + h, b : b + w] for a in range(3) for b in range(3)], axis=0))
+    peak = (near >= share) & (near == np.max([p[a : a + h, b : b + w] for a in range(3) for b in range(3)], axis=0))
     centres = np.argwhere(peak)
     kept: list[tuple[int, int]] = []
     for y, x in centres[np.argsort(-near[peak], kind="stable")].tolist():
