@@ -79,7 +79,17 @@ def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
     return sieve(rows, "_k2", fingers, inside=False).union(sieve(rows, "_k2", fingers).join(bad, ["_k1", "_k2"], "left_anti").select(*rows.columns))
 
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows are texts here, some of them long: fewer of them go to Python at a time, unless the session says how many."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
-from pagewright.llm._shared import Masked, keyed, named, release, write_table
+from pagewright.llm._shared import Masked, keyed, named, release, without, write_table
 
 WINDOW = 10
 #: Words up to which suffixes are in order; at least the window.
@@ -223,4 +223,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any word inside a window of the test set, with their own columns."""
     m = Masked(docs, id_col, text_col)
-    return m.back(find_leaks(m.docs, items, window, m.id, m.text, carry=m.columns).where("n_hit = 0"))
+    texts = keyed(m.docs, m.id, m.text).select("_text", "_k1", "_k2")
+    bad = find_leaks(texts, items, window, "_k1", "_text", item_col="item_id", item_text_col="text", carry=["_k2"]).where("n_hit > 0").select("_k1", "_k2")
+    rows = keyed(m.docs, m.id, m.text, m.columns).select("_k1", "_k2", "_carry")
+    return m.back(without(rows, write_table(bad.distinct(), "contaminated")).select("_carry.*"))

@@ -322,10 +322,12 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their own columns; words under repeated windows are cut out of the text (a null text stays null)."""
     m = Masked(docs, id_col, text_col)
-    texts = keyed(m.docs, m.id, m.text, m.columns)
+    rest = [c for c in m.columns if c != m.text]
+    has = F.col(m.text).isNotNull().alias("_has")
+    texts = keyed(m.docs.select("*", has), m.id, m.text, [*rest, "_has"])
     whole, marked = _with_marks(texts, width)
     kind = texts.schema["_carry"].dataType.simpleString()
     cut = marked.select("_text", "marks", "_carry").mapInArrow(_remove(True), f"_carry {kind}, n_words long, n_removed long, kept_text string, clean_text string")
-    text = F.when(F.col(f"_carry.{m.text}").isNotNull(), F.col("clean_text"))
-    cut = cut.select(F.struct(*[text.alias(c) if c == m.text else F.col(f"_carry.{c}").alias(c) for c in m.columns]).alias("_carry"))
-    return m.back(whole.select("_carry").union(cut).select("_carry.*"))
+    text = lambda column: F.when(F.col("_carry._has"), F.col(column))
+    back = lambda rows, column: rows.select(*[text(column).alias(c) if c == m.text else F.col(f"_carry.{c}").alias(c) for c in m.columns])
+    return m.back(back(whole, "_text").union(back(cut, "clean_text")))
