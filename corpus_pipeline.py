@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, decontaminate, language_id, minhash_dedup, substring_dedup
-from pagewright.llm._shared import read, write_table
+from pagewright.llm._shared import read, small_batches, write_table
 from pagewright.llm.queries import vocabulary
 
 #: Least share of the best language. Only texts that look like no or like several languages alike stay below.
@@ -20,14 +20,17 @@ LEAST_SCORE = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.learn(docs), LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash_dedup.keep_first(docs, width=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substring_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -36,6 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = bpe.round_trip(docs, vocabulary(), carry=["lang", "source"])
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
