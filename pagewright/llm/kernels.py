@@ -193,20 +193,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int | None = None) -> np.ndarray:
-    """Bytes of the spans one after another, each followed by the byte ``gap`` if given."""
+    """Bytes of the spans one after another, each followed by the byte ``gap`` if given; a bounded number of them at a time."""
     sizes = ends - starts
     step = sizes + (gap is not None)
-    total = int(step.sum())
-    if not total:
-        return np.zeros(0, np.uint8)
-    to = np.cumsum(step) - step
-    index = np.arange(total, dtype=np.int64) + np.repeat(starts - to, step)
-    if gap is None:
-        return data[index]
-    last = to + sizes
-    index[last] = 0
-    out = data[index]
-    out[last] = gap
+    edge = np.append(0, np.cumsum(step))
+    out = np.empty(int(edge[-1]), np.uint8)
+    for a, b in runs_of(step, 1 << 20):
+        at = edge[a:b] - edge[a]
+        index = np.arange(int(edge[b] - edge[a]), dtype=np.int64)
+        index += np.repeat(starts[a:b] - at, step[a:b])
+        if gap is None:
+            out[edge[a] : edge[b]] = data[index]
+            continue
+        last = at + sizes[a:b]
+        index[last] = 0
+        piece = data[index]
+        piece[last] = gap
+        out[edge[a] : edge[b]] = piece
     return out
 
 

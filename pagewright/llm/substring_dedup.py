@@ -37,6 +37,8 @@ HOT_TIMES = 16
 #: Bytes of packed strings that one bucket gets on the average, and the growth of text by packing.
 BUCKET_BYTES = 8 << 20
 PACKED_TIMES = 3
+#: Bytes of text that are packed at a time.
+PACK_BYTES = 2 << 20
 
 
 def _grams(words: K.Words, m: int) -> np.ndarray:
@@ -115,7 +117,7 @@ def _pack(width: int, m: int, buckets: int, hot_bits):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for at, data, offsets in K.slices(batch.column(2)):
+            for at, data, offsets in K.slices(batch.column(2), PACK_BYTES):
                 words = K.Words(data, offsets, K.SPACE_WORDS)
                 first, stop, least = _runs(words, width, m, hot)
                 if not len(first):
