@@ -80,7 +80,7 @@ def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
     return sieve(rows, "_k2", fingers, inside=False).union(sieve(rows, "_k2", fingers).join(bad, ["_k1", "_k2"], "left_anti").select(*rows.columns))
 
 
-BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -35,7 +35,7 @@ PATTERN = (
 WIDE = 64
 NONE = np.int64(1) << np.int64(62)
 #: Words kept by a worker, and words whose codes are sought at a time.
-MEMO = 200_000
+MEMO = 100_000
 GROUP = 1 << 17
 PIECE = 1 << 20
 VOCAB_BYTES = 64 << 20
