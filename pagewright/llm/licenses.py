@@ -393,11 +393,11 @@ def _units_of(lines: str) -> Column:
     return F.concat(*runs)
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Confirmed notices: ``_k1``, ``_k2`` (keys of the document), ``paragraph`` (its number), ``family``, ``probability``."""
-    spark = docs.sparkSession
-    model = fit()
-    classes = model["classes"]
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Units with a word of ``TRIGGERS``, once each: ``_k1``, ``_k2``, ``paragraph``, ``unit`` (numbers), ``own``.
+
+    ``own`` holds the words and pairs that the weights, the templates or ``DECIDING`` name. No others are looked at later, so they stay out of the shuffle.
+    """
     pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in TRIGGERS) + r")(?![a-z0-9])"
     texts = keyed(docs, id_col, text_col)
     some = texts.where(F.col("_text").rlike(pattern)).select("_k1", "_k2", F.posexplode(F.split("_text", r"\r?\n[ \t\r]*\n")).alias("paragraph", "body"))
@@ -407,9 +407,19 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     units = units.select("_k1", "_k2", "paragraph", "unit", _words(F.col("body")).alias("words"))
     rest = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("words", 1, rest), F.slice("words", 2, rest), lambda a, b: F.concat_ws(" ", a, b))
-    units = units.withColumn("own", F.array_distinct(F.concat("words", pairs))).select("_k1", "_k2", "paragraph", "unit", "own")
+    known = sorted({*fit()["weights"], *DECIDING})
+    own = F.array_distinct(F.filter(F.concat("words", pairs), lambda g: g.isin(known)))
+    units = units.select("_k1", "_k2", "paragraph", "unit", own.alias("own")).where(F.size("own") > 0)
     # units of copies of a row are equal; one of them stands for all
-    units = units.dropDuplicates(["_k1", "_k2", "paragraph", "unit"])
+    return units.dropDuplicates(["_k1", "_k2", "paragraph", "unit"])
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Confirmed notices: ``_k1``, ``_k2`` (keys of the document), ``paragraph`` (its number), ``family``, ``probability``."""
+    spark = docs.sparkSession
+    model = fit()
+    classes = model["classes"]
+    units = features(docs, id_col, text_col)
     weights = spark.createDataFrame([(f, *w) for f, w in sorted(model["weights"].items())], "feature string, " + ", ".join(f"w{c} double" for c in range(len(classes))))
     grams = units.select("*", F.explode("own").alias("feature"))
     found = grams.join(F.broadcast(weights), "feature")

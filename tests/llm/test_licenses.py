@@ -99,3 +99,11 @@ def test_wrapped_notices():
 def test_equal_scores_go_to_the_first_family():
     model = L.fit()
     assert model["classes"][0] == L.UNKNOWN and model["classes"][1:] == [c for c in L.LABELLED if c != L.UNKNOWN]
+
+
+def test_only_features_that_count_are_shuffled(spark):
+    text = "The license of " + " ".join(f"ordinary{i}" for i in range(5_000)) + "\nReleased under the MIT License, version 9.9.\nmit freundlichen"
+    rows = L.features(spark.createDataFrame([(1, text), (1, text), (2, "permission ordinary")], "doc_id long, text string")).collect()
+    known = {*L.fit()["weights"], *L.DECIDING}
+    assert rows and all(r["own"] and set(r["own"]) <= known for r in rows) and len({(r["_k1"], r["unit"]) for r in rows}) == len(rows)
+    assert any(L.grams_of(L.words_of("Released under the MIT License")) & known <= set(r["own"]) for r in rows)
