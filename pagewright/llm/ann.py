@@ -3,7 +3,7 @@
 Vectors are dealt to shards by a hash of their id: ``SHARD_ROWS`` to a shard, fewer where that leaves cores without one. In a shard
 equal vectors are one node. The graph grows in batches: a greedy beam search over what is there proposes neighbours of each new
 node; pruning keeps the nearest and drops what a kept one is nearer to by the factor ``ALPHA``, so that edges stay diverse; edges
-back are added and pruned in the same way. All searches of a batch run side by side in numpy. The index is one row a shard
+back are added, and pruned in the same way once a node has ``SPARE`` too many, so that a node is not pruned again for each of them. All searches of a batch run side by side in numpy. The index is one row a shard
 (vectors, edges, ids) in a table in the shared folder, so a lost executor costs no rebuilding.
 
 Every query goes to every shard. The index is shuffled once, whatever the number of queries: a task sorts what it gets by shard,
@@ -33,6 +33,8 @@ from pagewright.llm._shared import named, write_table
 SHARD_ROWS = 1 << 14
 LEAST_ROWS = 1 << 11
 DEGREE = 32
+#: Places that a node has for edges back, beside ``DEGREE``, before its edges are pruned again.
+SPARE = 16
 BEAM_BUILD = 64
 BEAM = 128
 ALPHA = 1.2
@@ -134,7 +136,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM_BUILD
     n = len(points)
     middle = np.median(points, axis=0)
     entry = int(np.argmin(np.einsum("ij,ij->i", points - middle, points - middle)))
-    graph = Graph(points, np.full((n, degree), -1), entry)
+    graph = Graph(points, np.full((n, degree + SPARE), -1), entry)
     order = np.random.default_rng(7).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
     at = 1
@@ -142,9 +144,9 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM_BUILD
         nodes = order[at : at + max(1, min(graph.step, at // 4))]
         at += len(nodes)
         found, _ = graph.search(points[nodes], beam)
-        graph.edges[nodes] = graph.prune(nodes, found, degree)
+        graph.edges[nodes, :degree] = graph.prune(nodes, found, degree)
         # edges back, a bounded number of new ones to a node at a time
-        source, target = np.repeat(nodes, degree), graph.edges[nodes].ravel()
+        source, target = np.repeat(nodes, degree), graph.edges[nodes, :degree].ravel()
         source, target = source[target >= 0], target[target >= 0]
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
@@ -152,17 +154,24 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM_BUILD
         for k in range(0, int(place.max(initial=-1)) + 1, degree):
             some = (place >= k) & (place < k + degree)
             ends, row = np.unique(target[some], return_inverse=True)
-            wide = np.full((len(ends), 2 * degree), -1)
-            wide[:, :degree] = graph.edges[ends]
-            wide[row, degree + place[some] - k] = source[some]
+            wide = np.full((len(ends), 2 * degree + SPARE), -1)
+            wide[:, : degree + SPARE] = graph.edges[ends]
+            wide[row, degree + SPARE + place[some] - k] = source[some]
             used = np.sort(wide, axis=1)[:, ::-1]
-            fits = (used >= 0).sum(axis=1) <= degree
-            graph.edges[ends[fits]] = used[fits, :degree]
-            full = np.flatnonzero(~fits)
-            for a in range(0, len(full), graph.step):
-                part = full[a : a + graph.step]
-                graph.edges[ends[part]] = graph.prune(ends[part], wide[part], degree)
-    return graph
+            fits = (used >= 0).sum(axis=1) <= degree + SPARE
+            graph.edges[ends[fits]] = used[fits, : degree + SPARE]
+            _prune_again(graph, ends[~fits], used[~fits], degree)
+    over = np.flatnonzero((graph.edges >= 0).sum(axis=1) > degree)
+    _prune_again(graph, over, graph.edges[over], degree)
+    # edges stand first, so what is beyond ``degree`` is empty
+    return Graph(points, np.ascontiguousarray(graph.edges[:, :degree]), entry)
+
+
+def _prune_again(graph: Graph, nodes: np.ndarray, candidates: np.ndarray, degree: int) -> None:
+    for a in range(0, len(nodes), graph.step):
+        part = slice(a, a + graph.step)
+        graph.edges[nodes[part]] = -1
+        graph.edges[nodes[part], :degree] = graph.prune(nodes[part], candidates[part], degree)
 
 
 def _build(table: pa.Table) -> pa.Table:

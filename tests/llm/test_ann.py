@@ -97,3 +97,17 @@ def test_repeated_rows(spark):
     assert all(len(v) == 2 for v in got.values()) and len(got) == 10
     assert all(any(v == b and np.isclose(d, a) for d, v in got[i + 1]) for i, (a, b) in enumerate(want))
     assert found(index, df.where("vec_id = 0").limit(1))[0] and [v for _, v in found(index, df.where("vec_id = 30"))[30]].count(0) == 1
+
+
+def test_edges_back_prune_a_node_seldom(monkeypatch):
+    """Pruned rows stay in proportion to the nodes and do not come near one for each edge back."""
+    points = np.random.default_rng(8).normal(size=(3000, 12))
+    pruned, plain = [], ann.Graph.prune
+    monkeypatch.setattr(ann.Graph, "prune", lambda self, nodes, *a: pruned.append(len(nodes)) or plain(self, nodes, *a))
+    graph = ann.build_graph(points)
+    assert sum(pruned) < 6 * len(points)
+    edges = graph.edges
+    assert edges.shape == (3000, ann.DEGREE) and all(len(e := r[r >= 0]) == len(set(e.tolist())) for r in edges) and not (edges == np.arange(3000)[:, None]).any()
+    found, _ = graph.search(points[::30], ann.BEAM)
+    near = np.argsort(((points[::30, None] - points) ** 2).sum(axis=2), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b[:10])) / 10 for a, b in zip(near.tolist(), found.tolist())]) > 0.95
