@@ -17,29 +17,32 @@ from pagewright.llm.queries import vocabulary
 
 #: Least share of the best language. Only texts that look like no or like several languages alike stay below.
 LEAST_SCORE = 0.3
+#: An executor runs all stages one after another and keeps what the largest of them took, so fewer rows go to Python at a time here.
+BATCH_ROWS = "500"
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     return language_id.keep_identified(docs, language_id.learn(docs), LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     return minhash_dedup.keep_first(docs, width=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     return substring_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_ROWS)
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     out = bpe.round_trip(docs, vocabulary(), carry=["lang", "source"])
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
@@ -57,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_ROWS)
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

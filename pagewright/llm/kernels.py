@@ -13,7 +13,7 @@ U = np.uint64
 # Odd 64-bit multipliers and their inverses modulo 2**64.
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: The low bytes of a piece that belong to a span, by their number.
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _POWERS: dict = {}
@@ -80,7 +80,6 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray):
         self.data, self.offsets = data, offsets
-        rows = len(offsets) - 1
         inside = alphabet[data]
         # a word also ends where its row ends
         turn = np.empty(len(data) + 1, dtype=bool)
@@ -92,12 +91,17 @@ class Words:
         self.starts, self.ends = edges[:-1][opens], edges[1:][opens]
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        self.row = np.repeat(np.arange(rows, dtype=np.int64), self.counts)
-        self._hash = self._eight = None
+        self._row = self._hash = self._eight = None
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    @property
+    def row(self) -> np.ndarray:
+        if self._row is None:
+            self._row = np.repeat(np.arange(len(self.counts), dtype=np.int64), self.counts)
+        return self._row
+
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:

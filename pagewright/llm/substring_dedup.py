@@ -35,7 +35,7 @@ SLOT_BITS = 20
 #: A slot of the gram table is hot from this multiple of the mean count on.
 HOT_TIMES = 16
 #: Bytes of packed strings that one bucket gets on the average, and the growth of text by packing.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 PACKED_TIMES = 3
 #: Bytes of text that are packed at a time.
 PACK_BYTES = 2 << 20

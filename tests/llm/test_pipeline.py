@@ -98,3 +98,36 @@ def test_stages_with_odd_tables(spark, tmp_path):
     got = corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(r[0]), r[1] or "") for r in rows)
     assert corpus_pipeline.tokens(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_stages_take_little_memory_beside_the_jvm():
+    """What a Python worker allocates for four megabytes of text and for a bucket of the average size."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.llm import minhash_dedup, substring_dedup
+
+    words = np.random.default_rng(5).integers(0, 50_000, (2000, 350)).tolist()
+    texts = pa.array([" ".join(f"w{x}" for x in row) for row in words])
+    ids = pa.array(range(len(texts)), pa.int64())
+
+    def peak(rows) -> float:
+        tracemalloc.start()
+        for _ in rows:
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / (1 << 20)
+
+    assert peak(minhash_dedup._sketches(5)(iter([pa.RecordBatch.from_arrays([ids, ids, texts, ids], names=["_k1", "_k2", "_text", "_carry"])]))) < 35
+
+    class NoneHot:
+        value = bytes(1 << (substring_dedup.SLOT_BITS - 3))
+
+    size = texts.nbytes
+    buckets = max(1, -(-size * substring_dedup.PACKED_TIMES // substring_dedup.BUCKET_BYTES))
+    packed = pa.Table.from_batches(list(substring_dedup._pack(35, 4, buckets, NoneHot)(iter([pa.RecordBatch.from_arrays([ids, ids, texts], names=["_k1", "_k2", "_text"])]))))
+    one = packed.filter(pa.array(np.asarray(packed.column("bucket")) == 0))
+    assert one.num_rows and peak(substring_dedup._count(35)(one) for _ in range(1)) < 60
