@@ -21,6 +21,7 @@ table gives an empty result; other columns are not looked at; words of any lengt
 from __future__ import annotations
 
 import hashlib
+import itertools
 import secrets
 
 import numpy as np
@@ -35,10 +36,12 @@ from pagewright.llm._shared import Masked, kept_by_worker, keyed, named, without
 MAX_GRAM = 4
 MAX_CELLS = 1 << 21
 MAX_LANGS = 200
+#: Bits of a character in the key of an n-gram.
+POINT_BITS = 21
 WORD = r"\p{L}[\p{L}\p{M}]*"
 UNKNOWN = "und"
 #: Words kept by a worker, in numbers (words times languages), and words looked up at a time.
-MEMO_CELLS = 1 << 20
+MEMO_CELLS = 1 << 19
 STEP_CELLS = 1 << 20
 
 
@@ -124,10 +127,26 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_c
     }
 
 
+def _levels(grams: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams as a trie: for each length the sorted keys of all beginnings (number of the beginning less its last character, and that character) and their rows, -1 for what is no n-gram."""
+    points = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = np.array([len(g) for g in grams], np.int64)
+    starts, node, out = np.cumsum(sizes) - sizes, np.zeros(len(grams), np.int64), []
+    for k in range(MAX_GRAM):
+        has = np.flatnonzero(sizes > k)
+        keys, at = np.unique(node[has] << POINT_BITS | points[starts[has] + k], return_inverse=True)
+        node[has] = at
+        rows = np.full(len(keys), -1, np.int32)
+        whole = sizes[has] == k + 1
+        rows[at[whole]] = has[whole]
+        out.append((keys, rows))
+    return out
+
+
 class Scorer:
     def __init__(self, model: dict):
         self.langs, self.hash, self.logs = model["langs"], model["word_hash"], model["word_logs"]
-        self.grams, self.gram_logs = dict(zip(model["grams"], range(len(model["grams"])))), model["gram_logs"]
+        self.levels, self.gram_logs = model["levels"], model["gram_logs"]
         self.find = regex.compile(WORD)
         self.most = MEMO_CELLS // max(1, len(self.langs))
         self.forget()
@@ -137,14 +156,34 @@ class Scorer:
         self.rows = np.zeros((0, len(self.langs)))
         self.tail = np.zeros(0, bool)
 
-    def by_grams(self, word: str) -> np.ndarray:
-        """The score of a word that is not known."""
-        padded, known = f" {word} ", self.grams
-        for size in range(min(MAX_GRAM, len(padded)), 0, -1):
-            at = [known[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in known]
-            if at:
-                return self.gram_logs[at].mean(axis=0)
-        return np.zeros(len(self.langs))
+    def by_grams(self, words: list[str]) -> np.ndarray:
+        """The scores of words that are not known."""
+        out = np.zeros((len(words), len(self.langs)))
+        sizes = np.array([len(w) + 3 for w in words], np.int64)
+        for a, b in K.runs_of(sizes, STEP_CELLS // 4):
+            # no n-gram has the line break between words
+            points = np.frombuffer("\n".join(f" {w} " for w in words[a:b]).encode("utf-32-le"), "<u4").astype(np.int64)
+            word = np.cumsum(points == 0x0A)
+            at, node, found = np.arange(len(points)), np.zeros(len(points), np.int64), []
+            for k, (keys, rows) in enumerate(self.levels):
+                if k:
+                    has = at + k < len(points)
+                    at, node = at[has], node[has]
+                key = node << POINT_BITS | points[at + k]
+                node = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                has = keys[node] == key if len(keys) else np.zeros(len(key), bool)
+                at, node = at[has], node[has]
+                row = rows[node]
+                found.append((word[at[row >= 0]], row[row >= 0]))
+            open_ = np.ones(b - a, bool)
+            for of, row in reversed(found):
+                of, row = of[left := open_[of]], row[left]
+                n = np.bincount(of, minlength=b - a)
+                hit = n > 0
+                for j in range(len(self.langs)):
+                    out[a:b, j][hit] = np.bincount(of, self.gram_logs[row, j], b - a)[hit] / n[hit]
+                open_[hit] = False
+        return out
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of words by the head, and which of them are not in the head of words."""
@@ -153,8 +192,7 @@ class Scorer:
         has = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
         out = np.zeros((len(words), len(self.langs)))
         out[has] = self.logs[at[has]]
-        for i in np.flatnonzero(~has).tolist():
-            out[i] = self.by_grams(words[i])
+        out[~has] = self.by_grams([words[i] for i in np.flatnonzero(~has).tolist()])
         return out, ~has
 
     def judge(self, counts: np.ndarray, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -171,37 +209,57 @@ class Scorer:
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """For each text the number of words and the sums of their scores; texts, words and times of those outside the head."""
         counts, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
-        row, word, times = [], [], []
+        outside: list[tuple[np.ndarray, list[str], np.ndarray]] = []
         step = max(1, STEP_CELLS // max(1, len(self.langs)))
+        group, size = [], 0
         for k, text in enumerate(texts):
             found = self.find.findall(text.lower())
             counts[k] = len(found)
-            if not found or not self.langs:
+            if not self.langs:
                 continue
             for a in range(0, len(found), step):
-                part = found[a : a + step]
-                new = [w for w in set(part) if w not in self.memo]
-                if new:
-                    if len(self.memo) + len(new) > self.most:
-                        self.forget()
-                        new = list(set(part))
-                    scores, tail = self.look_up(new)
-                    base = len(self.memo)
-                    if base + len(new) > len(self.rows):
-                        room = max(2 * base, base + len(new), 1 << 12)
-                        self.rows = np.concatenate([self.rows[:base], np.zeros((room - base, len(self.langs)))])
-                        self.tail = np.concatenate([self.tail[:base], np.zeros(room - base, bool)])
-                    self.rows[base : base + len(new)], self.tail[base : base + len(new)] = scores, tail
-                    self.memo.update(zip(new, range(base, base + len(new))))
-                places = np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))
-                sums[k] += self.rows[places].sum(axis=0)
-                outside = np.flatnonzero(self.tail[places])
-                if len(outside):
-                    _, first, n = np.unique(places[outside], return_index=True, return_counts=True)
-                    word += [part[i] for i in outside[first].tolist()]
-                    row += [k] * len(first)
-                    times += n.tolist()
-        return counts, sums, np.array(row, np.int32), word, np.array(times, np.int32)
+                part = found[a : a + step] if len(found) > step else found
+                if size + len(part) > step:
+                    self._add(group, sums, outside)
+                    group, size = [], 0
+                group.append((k, part))
+                size += len(part)
+        self._add(group, sums, outside)
+        row = np.concatenate([np.zeros(0, np.int64), *(x for x, _, _ in outside)])
+        word = [w for _, part, _ in outside for w in part]
+        times = np.concatenate([np.zeros(0, np.int64), *(x for _, _, x in outside)])
+        return counts, sums, row.astype(np.int32), word, times.astype(np.int32)
+
+    def _add(self, group: list[tuple[int, list[str]]], sums: np.ndarray, outside: list) -> None:
+        """Adds the scores of the words of some texts to the texts' sums; what is outside the head goes to ``outside``. New words of all the texts are looked up at once."""
+        if not group:
+            return
+        every = set().union(*(part for _, part in group))
+        new = [w for w in every if w not in self.memo]
+        if len(self.memo) + len(new) > self.most:
+            self.forget()
+            new = list(every)
+        if new:
+            scores, tail = self.look_up(new)
+            base = len(self.memo)
+            if base + len(new) > len(self.rows):
+                room = max(2 * base, base + len(new), 1 << 12)
+                self.rows = np.concatenate([self.rows[:base], np.zeros((room - base, len(self.langs)))])
+                self.tail = np.concatenate([self.tail[:base], np.zeros(room - base, bool)])
+            self.rows[base : base + len(new)], self.tail[base : base + len(new)] = scores, tail
+            self.memo.update(zip(new, range(base, base + len(new))))
+        get, sizes = self.memo.__getitem__, [len(part) for _, part in group]
+        flat = itertools.chain.from_iterable(part for _, part in group)
+        places = np.fromiter(map(get, flat), np.int64, sum(sizes))
+        text, first = np.array([k for k, _ in group], np.int64), np.cumsum([0, *sizes[:-1]])
+        np.add.at(sums, text, np.add.reduceat(self.rows[places], first, axis=0))
+        at = np.flatnonzero(self.tail[places])
+        if len(at):
+            own = np.repeat(text, sizes)[at]
+            _, once, n = np.unique(own * len(self.memo) + places[at], return_index=True, return_counts=True)
+            spot = at[once]
+            of = np.searchsorted(first, spot, side="right") - 1
+            outside.append((own[once], [group[g][1][i] for g, i in zip(of.tolist(), (spot - first[of]).tolist())], n))
 
 
 def _scorer(model) -> Scorer:
@@ -259,7 +317,7 @@ def _less_grams(model):
             words = batch.column(0).to_pylist()
             if words:
                 own = batch.column(1).flatten().to_numpy().reshape(len(words), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own - np.array([scorer.by_grams(w) for w in words]))], names=["word", "more"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own - scorer.by_grams(words))], names=["word", "more"])
 
     return run
 
@@ -315,8 +373,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def _predicted(texts: DataFrame, model: dict) -> DataFrame:
     texts, langs = texts.select("_text", "_carry"), model["langs"]
     kind = texts.schema["_carry"].dataType.simpleString()
-    small = {k: model[k] for k in ("langs", "word_hash", "word_logs", "grams", "gram_logs")}
-    name = hashlib.sha256(b"".join([repr(langs).encode(), small["word_hash"].tobytes(), small["word_logs"].tobytes(), "\n".join(small["grams"]).encode(), small["gram_logs"].tobytes()])).hexdigest()
+    small = {k: model[k] for k in ("langs", "word_hash", "word_logs", "gram_logs")} | {"levels": _levels(model["grams"])}
+    name = hashlib.sha256(b"".join([repr(langs).encode(), small["word_hash"].tobytes(), small["word_logs"].tobytes(), "\n".join(model["grams"]).encode(), small["gram_logs"].tobytes()])).hexdigest()
     sent = texts.sparkSession.sparkContext.broadcast((name, small))
     out = f"_carry {kind}, lang_pred string, score double"
     if not langs or (model["words_table"] is None and model["grams_table"] is None):

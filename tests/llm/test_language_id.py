@@ -110,3 +110,34 @@ def test_keep_identified_keeps_columns(spark):
     model = learn(spark.createDataFrame(ROWS, SCHEMA))
     assert sorted((tuple(r) for r in keep_identified(df, model, 0.4).collect()), key=str) == sorted(rows[:3], key=str)
     assert keep_identified(df.limit(0), model).collect() == []
+
+
+def test_new_words_of_many_texts_are_scored_at_once(spark, monkeypatch):
+    """One look-up for all texts of a slice, and n-gram scores as by a plain walk, for characters of any plane and words of any length."""
+    from pagewright.llm import language_id as L
+
+    rows = [(1, "the cat 𐐨𐐩𐐪 ab", "en"), (2, "le chat жук ééa " + "b" * 60, "fr"), (3, "der Hund กขคง", "de")]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = ["cats", "𐐩𐐪x", "жу", "éé", "b", "bb", "z", "語", "กขคa", "chats" * 70_000, "c"]
+    at = {g: i for i, g in enumerate(model["grams"])}
+
+    def plain(word):
+        p = f" {word} "
+        for k in range(min(4, len(p)), 0, -1):
+            if hits := [at[g] for i in range(len(p) - k + 1) if (g := p[i : i + k]) in at]:
+                return model["gram_logs"][hits].mean(axis=0)
+        return np.zeros(3)
+
+    scorer = L.Scorer(model | {"levels": L._levels(model["grams"])})
+    assert np.allclose(scorer.by_grams(words), [plain(w) for w in words]) and scorer.by_grams([]).shape == (0, 3)
+    calls, own = [], scorer.look_up
+    monkeypatch.setattr(scorer, "look_up", lambda new: calls.append(len(new)) or own(new))
+    texts = [f"{w} cat {w}" for w in words] + ["", "12"]
+    counts, sums, row, word, times = scorer.sums(texts)
+    assert calls == [len(words) + 1] and counts.tolist() == [3] * len(words) + [0, 0]
+    cat = scorer.look_up(["cat"])[0][0]
+    assert np.allclose(sums, [*(2 * scorer.look_up([w])[0][0] + cat for w in words), np.zeros(3), np.zeros(3)])
+    tail = [i for i, w in enumerate(words) if scorer.look_up([w])[1][0]]
+    assert sorted(zip(row.tolist(), word, times.tolist())) == [(i, words[i], 2) for i in tail]
+    nothing = L.Scorer({"langs": [], "word_hash": np.zeros(0, np.uint64), "word_logs": np.zeros((0, 0)), "levels": L._levels([]), "gram_logs": np.zeros((0, 0))})
+    assert nothing.sums(["a b"])[0].tolist() == [2] and nothing.by_grams(["a"]).shape == (1, 0)
