@@ -143,7 +143,7 @@ class Bpe:
         width = 2
         while width <= WIDE:
             at = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 2 else 0)))
-            for a in range(0, len(at), step := (1 << 19) // width):
+            for a in range(0, len(at), step := (1 << 17) // width):
                 part = at[a : a + step]
                 ids, alive = self._side_by_side([words[i] for i in part], width)
                 count = alive.sum(axis=1)

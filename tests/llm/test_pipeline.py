@@ -131,3 +131,34 @@ def test_stages_take_little_memory_beside_the_jvm():
     packed = pa.Table.from_batches(list(substring_dedup._pack(35, 4, buckets, NoneHot)(iter([pa.RecordBatch.from_arrays([ids, ids, texts], names=["_k1", "_k2", "_text"])]))))
     one = packed.filter(pa.array(np.asarray(packed.column("bucket")) == 0))
     assert one.num_rows and peak(substring_dedup._count(35)(one) for _ in range(1)) < 60
+
+
+def test_workers_hold_little_memory():
+    """A tokenizer's merges of many words at once stay small, a language model has no table of strings, and what another operator kept is forgotten."""
+    import tracemalloc
+
+    from pagewright.llm import _shared, bpe, language_id
+    from pagewright.llm.queries import vocabulary
+
+    tokenizer = bpe.Bpe(bpe.load_spec(vocabulary()))
+    words = [b"w%07d" % i for i in range(60_000)]
+    tracemalloc.start()
+    tokenizer._side_by_side(words[:1], 8)
+    base = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    codes = tokenizer.merge(words)
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert peak < 20 << 20, peak
+    assert tokenizer.decode(codes[:100]) == [w.decode() for w in words[:100]]
+    assert language_id.MEMO_CELLS <= 1 << 19
+    freed = []
+    _shared.kept_by_worker("one", lambda: 1)
+    _shared._TRIM, own = (lambda _: freed.append(1)), _shared._TRIM
+    try:
+        assert _shared.kept_by_worker("one", lambda: 2) == 1 and not freed
+        assert _shared.kept_by_worker("two", lambda: 2) == 2 and freed
+    finally:
+        _shared._TRIM = own
+        _shared.release()
+    assert not _shared._KEPT
