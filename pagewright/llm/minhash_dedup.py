@@ -13,11 +13,12 @@ which sets of up to five shingles have lists as well). That is certain as long a
 question, that is up to a union of 104 shingles; above, all of the first 64 places of the union must be without such a run,
 which has the probability 1.3e-10 at similarity 0.8 and less above. The estimate loses a pair at similarity 0.8 with probability 6e-12.
 
-Links are sought in rounds. A list of two is a pair. In the first ``STARS`` rounds each longer list compares its members with one
-of them (a star, linear in the list): first with the least, which is often the same for many lists, then with one drawn by a hash
-for each list; a large group of near copies thus becomes one. Then only members of a list that are still in different groups
+Links are sought in rounds. A list of two is a pair. In the first ``STARS`` rounds each longer list has a head: first its least
+member, then its first one in a drawn order of all nodes, so that lists of like members have the same head. A node is compared
+with one head only, the one that it meets in most lists, so these rounds make no more pairs than there are nodes, however large
+a group is; a large group of near copies thus becomes one. Then all members of a list that are still in different groups
 are compared with each other: lists of up to ``SHORT`` members emit those pairs, longer ones compare them block by block and emit
-links only. A long list of unlike texts is walked in full.
+links only, each of which makes two groups one, so that there are fewer of them than groups. A long list of unlike texts is walked in full.
 
 Skew: lists are counted with a map-side combine, members are dealt out by a join that splits hot lists, and only members of
 lists of three or more go into it (a bitmap of fixed size sieves them before the shuffle; where it is full, more rows pass).
@@ -146,12 +147,19 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _star(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each list's head with the members of other groups: the least member, in later turns one drawn by a hash."""
+    """A pair for each node: with that head of another group that it meets in most lists.
+
+    The head of a list is its least member, in later turns the first in an order drawn for the turn. What a star leaves out is
+    compared after the stars.
+    """
     if turn == 0:
-        return lists.where("node <> lo").select(*_pair("lo", "node"))
-    drawn = F.xxhash64(F.lit(turn), "key", "node")
-    head = lists.groupBy("key").agg(F.min_by("node", drawn).alias("head"), F.min_by("label", drawn).alias("head_label"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    return lists.join(head.select("key", "head", "head_label"), "key").where("label <> head_label").select(*_pair("head", "node"))
+        met = lists.where("node <> lo").select("node", F.col("lo").alias("head"))
+    else:
+        drawn = F.xxhash64(F.lit(turn), "node")
+        head = lists.groupBy("key").agg(F.min_by("node", drawn).alias("head"), F.min_by("label", drawn).alias("head_label"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+        met = lists.join(head.select("key", "head", "head_label"), "key").where("label <> head_label").select("node", "head")
+    times = met.groupBy("node", "head").agg(F.count("*").alias("times"))
+    return times.groupBy("node").agg(F.max_by("head", F.struct("times", "head")).alias("head")).select(*_pair("head", "node"))
 
 
 def _across(lists: DataFrame) -> DataFrame:
@@ -163,10 +171,10 @@ def _across(lists: DataFrame) -> DataFrame:
 
 
 def _long_lists(lists: DataFrame, classes: DataFrame, own: DataFrame, width: int) -> DataFrame:
-    """Links between members of longer lists that are still in different groups, by the hashes of their full sets.
+    """Links that make one of all groups with similar members in a longer list, by the hashes of their full sets.
 
     A list is cut into blocks of about ``BLOCK_SHINGLES`` shingles; each two blocks meet in a group of their own, where the
-    full sets are compared without any pair being emitted but links.
+    full sets are compared without any pair being emitted but links between groups that no earlier link has joined.
     """
     lists = lists.where(F.col("n") > SHORT).select("key", "node", "size", "label")
     mixed = lists.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
@@ -188,14 +196,18 @@ def _compare(width: int):
         nodes, blocks, labels = (np.asarray(column(c)) for c in ("node", "block", "label"))
         across = table.column("b1")[0].as_py() != table.column("b2")[0].as_py()
         group = np.unique(labels, return_inverse=True)[1]
-        sets = [s for _, data, off in K.slices(column("_text")) for s in shingle_sets(data, off, width)]
+        texts = column("_text")
+        sets = [s for _, data, off in K.slices(texts) for s in shingle_sets(data, off, width)]
         sizes = np.array([len(s) for s in sets])
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         first = np.cumsum(sizes) - sizes
         mark = np.zeros(len(codes) + 1, np.int32)
         u, v = [], []
-        # members of the commonest group need no search of their own: the others find them
-        for x in np.flatnonzero(group != np.bincount(group).argmax()):
+        # members of the commonest group, also those that a link brings in, need no search of their own: the others find them
+        most = np.bincount(group).argmax()
+        for x in range(len(group)):
+            if group[x] == most:
+                continue
             mine = codes[first[x] : first[x] + sizes[x]]
             mark[mine] = 1
             both = np.add.reduceat(mark[codes], first)
@@ -204,8 +216,12 @@ def _compare(width: int):
             if across:
                 linked &= blocks != blocks[x]
             for y in np.flatnonzero(linked):
+                if group[x] == group[y] or not _alike(texts, x, y, width):
+                    continue
                 u.append(min(nodes[x], nodes[y]))
                 v.append(max(nodes[x], nodes[y]))
+                gone, stays = (group[x], most) if group[y] == most else (group[y], group[x])
+                group[group == gone] = stays
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -249,6 +265,12 @@ def _confirmed(left: K.Words, right: K.Words, a: tuple, b: tuple, width: int) ->
     return 100 * both >= 80 * (total - both)
 
 
+def _alike(texts: pa.Array, x: int, y: int, width: int) -> bool:
+    """Whether two rows of ``texts`` are confirmed, each on its own."""
+    left, right = (_words(data, ends) for i in (x, y) for _, data, ends in K.slices(texts.slice(i, 1)))
+    return _confirmed(left, right, *next(zip(_sets(left, width), _sets(right, width), strict=True)), width)
+
+
 def _verify(width: int):
     def run(batches):
         for batch in batches:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from pagewright.llm import minhash_dedup
 from pagewright.llm.components import components
 from pagewright.llm.minhash_dedup import keep_first, near_duplicates
@@ -137,3 +139,53 @@ def test_very_long_texts(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "q" * 3_000_000), (5, "q" * 3_000_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(df, 2).collect()) == brute(rows, 2)
+
+
+def near_copies(n, words, most, seed):
+    r = random.Random(seed)
+    vocab = [f"v{i}" for i in range(150)]
+    base = [r.choice(vocab) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(0, most)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        out.append(" ".join(w))
+    return out
+
+
+def test_stars_make_no_more_pairs_than_nodes(spark):
+    """A group whose members share many lists grows by a pair for each member in a round, not by one for each two members."""
+    r = random.Random(3)
+    members = [(key, node) for key in range(60) for node in range(50) if r.random() < 0.6]
+    lists = spark.createDataFrame(members, "key long, node long").selectExpr("key", "node", "node as label", "min(node) over (partition by key) as lo")
+    for turn in range(2):
+        pairs = {(x["u"], x["v"]) for x in minhash_dedup._star(lists, turn).distinct().collect()}
+        assert all(u < v for u, v in pairs)
+        assert 25 <= len(pairs) <= 50
+
+
+def test_long_lists_link_groups_and_not_members():
+    """Of n alike members n - 1 links come out, which join them all, in one block and across two."""
+    texts = near_copies(40, 90, 3, 4)
+    for blocks in ([0] * 40, [k % 2 for k in range(40)]):
+        table = pa.table({"b1": [0] * 40, "b2": [max(blocks)] * 40, "block": blocks, "node": range(40), "label": [k // 2 for k in range(40)], "_text": texts})
+        out = minhash_dedup._compare(2)(table)
+        links = list(zip(out.column("u").to_pylist(), out.column("v").to_pylist()))
+        assert len(links) == 19
+        label = [k // 2 for k in range(40)]
+        for u, v in links:
+            label = [label[u] if x == label[v] else x for x in label]
+        assert len(set(label)) == 1
+
+
+def test_large_groups_of_near_copies_against_brute_force(spark, monkeypatch):
+    """Groups larger than a list that emits pairs, with copies around the least similarity."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", 8)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 2_000)
+    texts = near_copies(70, 90, 16, 6) + near_copies(50, 30, 5, 7)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(df, 2).collect())
+    assert got == brute(rows, 2)
+    assert len({c for _, _, c in got}) > 2
