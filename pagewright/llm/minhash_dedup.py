@@ -46,6 +46,8 @@ STARS = 2
 #: Members up to which a list compares all that are still apart as pairs; longer lists do so in blocks of this many shingles.
 SHORT = 32
 BLOCK_SHINGLES = 500_000
+#: A member's shingles are counted through their holders where those are fewer than all shingles of the block divided by this.
+DENSE = 4
 #: Least estimate, in hundredths, that goes on to the exact check.
 CUT = 42
 LAST = (1 << 63) - 1
@@ -201,6 +203,10 @@ def _compare(width: int):
         sizes = np.array([len(s) for s in sets])
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         first = np.cumsum(sizes) - sizes
+        # the members that have each shingle, one shingle after another
+        holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(codes, kind="stable")]
+        held = np.bincount(codes)
+        at = np.cumsum(held) - held
         mark = np.zeros(len(codes) + 1, np.int32)
         u, v = [], []
         # members of the commonest group, also those that a link brings in, need no search of their own: the others find them
@@ -209,9 +215,12 @@ def _compare(width: int):
             if group[x] == most:
                 continue
             mine = codes[first[x] : first[x] + sizes[x]]
-            mark[mine] = 1
-            both = np.add.reduceat(mark[codes], first)
-            mark[mine] = 0
+            if DENSE * held[mine].sum() < len(codes):  # few members have its shingles, so only those are looked at
+                both = np.bincount(holders[K.ranges(at[mine], held[mine])], minlength=len(group))
+            else:
+                mark[mine] = 1
+                both = np.add.reduceat(mark[codes], first)
+                mark[mine] = 0
             linked = (group != group[x]) & (100 * both >= 80 * (sizes + sizes[x] - both))
             if across:
                 linked &= blocks != blocks[x]
@@ -229,7 +238,7 @@ def _compare(width: int):
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of like size whose similarity, as estimated from the union of their sketches, reaches the cut."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
     some = write_table(sieve(classes.select("node", "size", "sketch"), "node", nodes), "some")
     a = some.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("sketch").alias("su"))
     b = some.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("sketch").alias("sv"))

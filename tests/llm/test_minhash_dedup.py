@@ -3,6 +3,7 @@ import re
 
 import pyarrow as pa
 
+from pagewright.llm import components as components_module
 from pagewright.llm import minhash_dedup
 from pagewright.llm.components import components
 from pagewright.llm.minhash_dedup import keep_first, near_duplicates
@@ -189,3 +190,52 @@ def test_large_groups_of_near_copies_against_brute_force(spark, monkeypatch):
     got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(df, 2).collect())
     assert got == brute(rows, 2)
     assert len({c for _, _, c in got}) > 2
+
+
+def test_few_links_are_joined_without_shuffles(spark, monkeypatch):
+    """Up to a fixed number, links take no shuffle at all, and rounds give the same groups."""
+    r = random.Random(11)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, 5000)]
+    edges += [(1 << 62, -(1 << 62)), (2000, 2099)] + [(2099, 2001 + k) for k in range(40)] + edges[:20]
+    df = spark.createDataFrame(edges, "u long, v long")
+    parent = {x: x for u, v in edges if u != v for x in (u, v)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((root(u), root(v)))
+            parent[b] = a
+    want = {x: root(x) for x in parent}
+
+    def found(name):
+        spark.sparkContext.setJobGroup(name, name)
+        got = components(df).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(got) == len(want) and dict(map(tuple, got)) == want
+        return jobs
+
+    assert found("few links") <= 5
+    monkeypatch.setattr(components_module, "FEW", 5)
+    assert found("many links") > 5
+    assert components(df.limit(0)).collect() == components(df.where("u = 5000")).collect() == []
+    monkeypatch.undo()
+    assert components(df.limit(0)).collect() == components(df.where("u = 5000")).collect() == []
+
+
+def test_members_of_a_long_list_by_holders_and_by_marks(monkeypatch):
+    """Counting only the holders of a member's shingles links the same members as going through all shingles."""
+    r = random.Random(9)
+    texts = [f"a common line of words {' '.join(r.choice('pqrstuvwxyz') + str(r.randrange(40)) for _ in range(40))}" for _ in range(60)] + near_copies(20, 50, 4, 1) + near_copies(20, 60, 12, 2)
+    n = len(texts)
+    blocks = [k % 2 for k in range(n)]
+    table = pa.table({"b1": [0] * n, "b2": [1] * n, "block": blocks, "node": range(n), "label": range(n), "_text": texts})
+    out = []
+    for dense in (0, 4, 1 << 40):
+        monkeypatch.setattr(minhash_dedup, "DENSE", dense)
+        out.append(minhash_dedup._compare(2)(table).to_pylist())
+    assert out[0] == out[1] == out[2] and len(out[0]) >= 19
