@@ -44,6 +44,8 @@ LEARNER_TOKENS = 1 << 19
 FAN = 64
 EDGE = SIZE
 HEAD = 1 << 19
+#: Tokens that are scored at a time, so few that their numbers stay in a core's cache; scores do not depend on it.
+SCORED = 1 << 11
 #: Count of a word that the table lacks.
 UNSEEN = 0.5
 
@@ -76,61 +78,78 @@ class Net:
         self.flat = flat.astype(np.float32)
         parts = np.split(self.flat, np.cumsum(sizes)[:-1])
         self.tables, self.bias, self.up, self.up_bias, self.in_, self.in_bias = (p.reshape(s) for p, s in zip(parts, self.SHAPES))
+        self._room = None
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        z = self.bias + self.tables[0][context[:, 0]]
+    def _ordered(self, context: np.ndarray, target: np.ndarray):
+        """The tokens' order by group; in that order their contexts (a row for each place), hidden layer and ones (a row for each
+        unit), group and member, and for each group that has tokens its range."""
+        group = (target // MEMBERS).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        cut = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
+        ranges = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+        context = np.take(context.T, order, axis=1)
+        z = self.bias + np.take(self.tables[0], context[0], axis=0)
         for p in range(1, 2 * SIDE):
-            z += self.tables[p][context[:, p]]
-        return np.tanh(z)
-
-    @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+            z += np.take(self.tables[p], context[p], axis=0)
+        hidden = np.ones((HIDDEN + 1, len(order)), np.float32)
+        np.tanh(z.T, out=hidden[:HIDDEN])
+        return order, context, hidden, group, target[order] % MEMBERS, ranges
+
+    def _sums(self, hidden: np.ndarray, ranges: list) -> tuple[np.ndarray, np.ndarray]:
+        """What goes into the softmax over the groups and into that over the members of each token's group, a column for each token."""
+        n = hidden.shape[1]
+        if self._room is None or self._room.shape[1] != n:
+            self._room = np.empty((GROUPS + MEMBERS, n), np.float32)
+        by_group, by_member = self._room[:GROUPS], self._room[GROUPS:]
+        np.matmul(np.vstack([self.up, self.up_bias]).T, hidden, out=by_group)
+        inner = np.concatenate([self.in_, self.in_bias[:, None]], axis=1).transpose(0, 2, 1)
+        for g, at in ranges:
+            np.matmul(inner[g], hidden[:, at], out=by_member[:, at])
+        return by_group, by_member
 
     def score(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target."""
-        h = self.hidden(context)
-        group, member = target // MEMBERS, target % MEMBERS
-        out = self._log_softmax(h @ self.up + self.up_bias)[np.arange(len(target)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[cut[g] : cut[g + 1]]
-            if len(at):
-                out[at] += self._log_softmax(h[at] @ self.in_[g] + self.in_bias[g])[np.arange(len(at)), member[at]]
+        order, _, hidden, group, member, ranges = self._ordered(context, target)
+        sums, column = np.zeros(len(order)), np.arange(len(order))
+        for z, own in zip(self._sums(hidden, ranges), (group, member)):
+            z -= z.max(axis=0)
+            sums += z[own, column]
+            sums -= np.log(np.exp(z, out=z).sum(axis=0))
+        out = np.empty(len(order))
+        out[order] = sums
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """One step of gradient descent; each row of a table moves by the mean over its tokens."""
-        h = self.hidden(context)
-        n = len(target)
-        group, member = target // MEMBERS, target % MEMBERS
-        err = np.exp(self._log_softmax(h @ self.up + self.up_bias))
-        err[np.arange(n), group] -= 1
-        back = err @ self.up.T
-        self.up -= RATE / n * (h.T @ err)
-        self.up_bias -= RATE / n * err.sum(axis=0)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[cut[g] : cut[g + 1]]
-            if not len(at):
-                continue
-            err = np.exp(self._log_softmax(h[at] @ self.in_[g] + self.in_bias[g]))
-            err[np.arange(len(at)), member[at]] -= 1
-            back[at] += err @ self.in_[g].T
-            self.in_[g] -= RATE / len(at) * (h[at].T @ err)
-            self.in_bias[g] -= RATE / len(at) * err.sum(axis=0)
-        back *= 1 - h * h
-        self.bias -= RATE / n * back.sum(axis=0)
+        order, context, hidden, group, member, ranges = self._ordered(context, target)
+        n, column = len(order), np.arange(len(order))
+        by_group, by_member = self._sums(hidden, ranges)
+        for z, own in ((by_group, group), (by_member, member)):
+            z -= z.max(axis=0)
+            np.exp(z, out=z)
+            z /= z.sum(axis=0)
+            z[own, column] -= 1
+        back = self.up @ by_group
+        moved = RATE / n * (hidden @ by_group.T)
+        self.up -= moved[:HIDDEN]
+        self.up_bias -= moved[HIDDEN]
+        inner, moved = np.empty_like(back), np.zeros((GROUPS, HIDDEN + 1, MEMBERS), np.float32)
+        for g, at in ranges:
+            err = by_member[:, at]
+            np.matmul(self.in_[g], err, out=inner[:, at])
+            np.matmul(hidden[:, at], err.T, out=moved[g])
+            moved[g] *= RATE / (at.stop - at.start)
+        self.in_ -= moved[:, :HIDDEN]
+        self.in_bias -= moved[:, HIDDEN]
+        back += inner
+        back *= 1 - hidden[:HIDDEN] ** 2
+        self.bias -= RATE / n * back.sum(axis=1)
         back = back.astype(np.float64)
         for p in range(2 * SIDE):
-            rows = context[:, p]
-            count = np.maximum(np.bincount(rows, minlength=SIZE + 1), 1)
-            for j in range(HIDDEN):
-                self.tables[p][:, j] -= RATE * np.bincount(rows, back[:, j], SIZE + 1) / (count + 8)
+            total = np.array([np.bincount(context[p], unit, SIZE + 1) for unit in back])
+            total *= RATE / (np.bincount(context[p], minlength=SIZE + 1) + 8)
+            self.tables[p] -= total.T
 
 
 def windows(words: K.Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -264,8 +283,8 @@ def _score(model):
             for at, rows, words in _words(batch.column(0)):
                 context, ids = windows(words, vocabulary)
                 scores = np.zeros(len(ids) + 1)
-                for a in range(0, len(ids), 1 << 15):
-                    scores[a : min(len(ids), a + (1 << 15))] = net.score(context[a : a + (1 << 15)], ids[a : a + (1 << 15)])
+                for a in range(0, len(ids), SCORED):
+                    scores[a : min(len(ids), a + SCORED)] = net.score(context[a : a + SCORED], ids[a : a + SCORED])
                 name, carry = secrets.randbits(62), batch.column(1).slice(at, rows)
                 beyond = np.zeros(0, np.int64)
                 if share is not None and len(shared := np.flatnonzero(ids >= SIZE - SHARED)):

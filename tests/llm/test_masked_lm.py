@@ -127,3 +127,60 @@ def test_clashing_columns_repeated_rows_and_a_long_text(spark):
     got = M.score(df, M.train(df), carry=["_text"]).collect()
     assert sorted(((r["doc_id"], r["n_tokens"], r["_text"]) for r in got), key=str) == sorted([(1, 3, 5), (1, 3, 5), (None, 0, None), (2, 300_000, 1)], key=str)
     assert len({r["log_likelihood"] for r in got if r["doc_id"] == 1}) == 1
+
+
+class PlainNet(M.Net):
+    """A step and scores with whole rows, group by group, in plain terms."""
+
+    def softmax(self, h, up, bias):
+        z = np.exp((h @ up + bias).astype(float))
+        return z / z.sum(axis=1, keepdims=True)
+
+    def layer(self, context):
+        return np.tanh(self.bias + sum(self.tables[p][context[:, p]] for p in range(2 * M.SIDE)))
+
+    def score(self, context, target):
+        h = self.layer(context)
+        first = self.softmax(h, self.up, self.up_bias)
+        return np.array([np.log(first[i, t // M.MEMBERS] * self.softmax(h[i : i + 1], self.in_[t // M.MEMBERS], self.in_bias[t // M.MEMBERS])[0, t % M.MEMBERS]) for i, t in enumerate(target)])
+
+    def step(self, context, target):
+        h, n, group, member = self.layer(context), len(target), target // M.MEMBERS, target % M.MEMBERS
+        err = self.softmax(h, self.up, self.up_bias) - np.eye(M.GROUPS)[group]
+        back = err @ self.up.T
+        self.up -= M.RATE * h.T @ err / n
+        self.up_bias -= M.RATE * err.mean(axis=0)
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            err = self.softmax(h[at], self.in_[g], self.in_bias[g]) - np.eye(M.MEMBERS)[member[at]]
+            back[at] += err @ self.in_[g].T
+            self.in_[g] -= M.RATE * h[at].T @ err / len(at)
+            self.in_bias[g] -= M.RATE * err.mean(axis=0)
+        back *= 1 - h * h
+        self.bias -= M.RATE * back.mean(axis=0)
+        for p in range(2 * M.SIDE):
+            for x in np.unique(context[:, p]):
+                at = context[:, p] == x
+                self.tables[p][x] -= M.RATE * back[at].sum(axis=0) / (at.sum() + 8)
+
+
+def test_steps_and_scores_of_a_plain_network():
+    """Batches of any size, also with a single token or with one group alone, move the weights as the plain network's."""
+    r = np.random.default_rng(2)
+    one, other = M.Net(), PlainNet()
+    for n, most in ((700, M.SIZE), (1, M.SIZE), (300, 40), (700, 300), (33, M.SIZE)):
+        context, target = r.integers(0, min(most, M.SIZE) + 1, (n, 4)), r.integers(0, most, n)
+        one.step(context, target)
+        other.step(context, target)
+        assert np.allclose(one.flat, other.flat, atol=1e-4)
+        assert np.allclose(one.score(context, target), other.score(context, target), atol=1e-3)
+
+
+def test_a_step_works_on_one_block_of_memory():
+    """The numbers of a batch's softmaxes stand in one block that the next batch uses again."""
+    r = np.random.default_rng(4)
+    net, made = M.Net(), []
+    for _ in range(3):
+        net.step(r.integers(0, M.SIZE, (M.BATCH, 4)), r.integers(0, M.SIZE, M.BATCH))
+        made.append(net._room)
+    assert made[0] is made[1] is made[2] and made[0].nbytes == M.BATCH * (M.GROUPS + M.MEMBERS) * 4
